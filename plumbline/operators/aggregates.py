@@ -207,11 +207,16 @@ def xi_correlation(df: DataFrame, x: str, y: str, key: str, parts: int = 64) ->
 
 
 def _cuts(df: DataFrame, col: str, parts: int) -> list:
-    return sorted(set(df.approxQuantile(col, [i / parts for i in range(1, parts)], 0.01)))
+    """At most ``parts`` - 1 values that cut the column into ranges of about equal size; results never hang on where they lie."""
+    if dict(df.dtypes)[col] in ("double", "float", "bigint", "int", "smallint", "tinyint"):
+        return sorted(set(df.approxQuantile(col, [i / parts for i in range(1, parts)], 0.01)))
+    n = max(1, df.count())
+    drawn = [r[0] for r in df.select(col).where(F.col(col).isNotNull()).sample(min(1.0, 50 * parts / n), 1).orderBy(col).limit(100 * parts).collect()]
+    return sorted({drawn[len(drawn) * i // parts] for i in range(1, parts)}) if drawn else []
 
 
 def _part(col: str, cuts: list) -> Column:
-    return sum(((F.col(col) >= c).cast("int") for c in cuts), F.lit(0))
+    return sum((F.coalesce((F.col(col) >= F.lit(c)).cast("int"), F.lit(0)) for c in cuts), F.lit(0))
 
 
 def ranks_by_parts(df: DataFrame, y: str, parts: int) -> DataFrame:
@@ -233,6 +238,18 @@ def position_by_parts(df: DataFrame, order: list[str], parts: int) -> DataFrame:
     return p.withColumn("_r", F.row_number().over(Window.partitionBy("_part").orderBy(*order))).join(F.broadcast(before), "_part").withColumn("_pos", F.col("_b") + F.col("_r")).drop("_b", "_r")
 
 
+def running_by_parts(df: DataFrame, order: str, sums: dict[str, str], parts: int = 64, descending: bool = False) -> DataFrame:
+    """``df`` with running sums {name: column} along ``order``, which must not repeat: within ranges, set off by their totals."""
+    p = df.withColumn("_part", _part(order, _cuts(df, order, parts)) * (-1 if descending else 1))
+    key = F.desc(order) if descending else F.asc(order)
+    own = Window.partitionBy("_part").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
+    up = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = p.groupBy("_part").agg(*(F.sum(c).alias(f"_s_{n}") for n, c in sums.items()))
+    before = before.select("_part", *(F.coalesce(F.sum(f"_s_{n}").over(up), F.lit(0)).alias(f"_b_{n}") for n in sums))  # a row for each part
+    out = p.withColumns({f"_r_{n}": F.sum(c).over(own) for n, c in sums.items()}).join(F.broadcast(before), "_part")
+    return out.select(*df.columns, *((F.col(f"_r_{n}") + F.col(f"_b_{n}")).alias(n) for n in sums))
+
+
 def two_sample_ks(a: DataFrame, b: DataFrame, col: str, parts: int = 64) -> DataFrame:
     """Largest distance of the two distribution functions, and its asymptotic p-value (100 terms)."""
     t = a.groupBy(col).agg(F.count("*").alias("na")).join(b.groupBy(col).agg(F.count("*").alias("nb")), col, "full_outer").na.fill(0, ["na", "nb"]).where(F.col(col).isNotNull())

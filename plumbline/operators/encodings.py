@@ -31,11 +31,13 @@ def rounded_category(df: DataFrame, number: str, category: str, places: int = 0,
 
 
 def pseudo_groups(df: DataFrame, cols: list[Column], name: str = "pseudo_group") -> DataFrame:
-    """Rows whose columns are all equal share a number, by the columns' order. The distinct combinations are numbered, and
-    only these meet in one sort."""
+    """Rows whose columns are all equal share a number, by the columns' order: the position of their combination among the distinct ones,
+    counted within ranges of the first column."""
+    from .aggregates import position_by_parts
+
     named = {f"_g{i}": c for i, c in enumerate(cols)}
     keys = df.select(*(c.alias(n) for n, c in named.items())).distinct()
-    numbered = keys.withColumn(name, F.row_number().over(Window.orderBy(*named)))
+    numbered = position_by_parts(keys, list(named), 64).withColumn(name, F.col("_pos")).drop("_part", "_pos")
     same = F.lit(True)
     left = df.withColumns(named)
     for n in named:

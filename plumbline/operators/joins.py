@@ -110,9 +110,17 @@ def fuzzy_groups(df: DataFrame, key: str, prefix: int = 3, distance: int = 1) ->
 def sibling_fill(df: DataFrame, group: str, order: str, value: str, key: str) -> DataFrame:
     """``value`` filled, where null, by the last known of its group in order, else by that of the nearest earlier group that has
     one, else by the mean of all."""
+    from .aggregates import _cuts, _part
+
     known = df.groupBy(group).agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.struct(order, key))).alias("_last"))
-    back = Window.orderBy(group).rowsBetween(Window.unboundedPreceding, 0)  # one row a group
-    known = known.withColumn("_last", F.last("_last", ignorenulls=True).over(back))
+    # groups are filled within ranges, then from the ranges before
+    known = known.withColumn("_part", _part(group, _cuts(df, group, 64)))
+    ends = known.where(F.col("_last").isNotNull()).groupBy("_part").agg(F.max_by("_last", group).alias("_end"))
+    ends = known.select("_part").distinct().join(ends, "_part", "left")
+    ends = ends.select("_part", F.last("_end", ignorenulls=True).over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)).alias("_carry"))  # a row for each part
+    back = Window.partitionBy("_part").orderBy(group).rowsBetween(Window.unboundedPreceding, 0)
+    known = known.withColumn("_last", F.last("_last", ignorenulls=True).over(back)).join(F.broadcast(ends), "_part")
+    known = known.select(group, F.coalesce("_last", "_carry").alias("_last"))
     overall = df.agg(F.avg(value).alias("_mean"))
     seen = Window.partitionBy(group).orderBy(order, key).rowsBetween(Window.unboundedPreceding, 0)
     own = df.withColumn("_own", F.last(value, ignorenulls=True).over(seen))

@@ -81,9 +81,11 @@ def best_threshold(df: DataFrame, y: str, s: str, metric: str = "f1") -> DataFra
     """(threshold, value): predict positive at or above it; the first best from all negative (null threshold) downward. Only a row for
     each distinct score is sorted."""
     n = df.groupBy(s).agg(F.sum(F.col(y).cast("long")).alias("_p"), F.count("*").alias("_n"))
-    w = Window.partitionBy(F.lit(0)).orderBy(F.desc(s)).rowsBetween(Window.unboundedPreceding, 0)
+    from .aggregates import running_by_parts
+
+    n = n.withColumn("_q", F.col("_n") - F.col("_p")).where(F.col(s).isNotNull())
     tot = n.agg(F.sum("_p").alias("P"), F.sum(F.col("_n") - F.col("_p")).alias("N"))
-    cuts = n.select(F.col(s).alias("threshold"), F.sum("_p").over(w).alias("tp"), F.sum(F.col("_n") - F.col("_p")).over(w).alias("fp"))
+    cuts = running_by_parts(n, s, {"tp": "_p", "fp": "_q"}, descending=True).select(F.col(s).alias("threshold"), "tp", "fp")
     start = df.sparkSession.createDataFrame([(None, 0, 0)], "threshold double, tp bigint, fp bigint")
     t = cuts.unionByName(start).crossJoin(tot).withColumn("fn", F.col("P") - F.col("tp")).withColumn("tn", F.col("N") - F.col("fp"))
     tp, fp, fn, tn = (F.col(c).cast("double") for c in ("tp", "fp", "fn", "tn"))
