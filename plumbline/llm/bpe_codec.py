@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .vocabulary import WORDS, Vocabulary, byte_path, chunks, load, units
 
 #: Stretches kept from one batch to the next in a worker; beyond it the store starts anew.
-STORE = 1_200_000
+STORE = 700_000
 SCHEMA = "n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .vocabulary import WORDS, Vocabulary, byte_path, load, units
 
 #: Counts of words and stretches kept from one text to the next in a worker; beyond it the store starts anew.
-STORE = 2_000_000
+STORE = 1_200_000
 
 
 class MergeCounter:
