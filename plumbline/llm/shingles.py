@@ -7,7 +7,7 @@ import xxhash
 
 WORDS = 5
 #: Word hashes kept in a worker; beyond it the store starts anew.
-STORE = 1_000_000
+STORE = 250_000
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
