@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import heapq
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -94,11 +95,34 @@ def min_cost_flow(capacity: dict, members: dict, quota: dict, epochs: int) -> di
             cap[a ^ 1] += push
 
 
+def _fill(items: list[tuple[int, int, int]], left: int) -> list[tuple[int, int]]:
+    """(key, rows taken) of (key, size, rows) in seeded order: what still fits is taken in order; then single additions, removals and
+    exchanges bring the sum as near to ``left`` as they can."""
+    size, n = np.array([s for _, s, _ in items]), np.array([n for *_, n in items])
+    take, gap = np.zeros(len(items), int), left
+    for i in range(len(items)):
+        take[i] = min(n[i], gap // size[i]) if size[i] else n[i]
+        gap -= take[i] * size[i]
+    for _ in range(100):
+        more, less = np.flatnonzero((take < n) & (size > 0)), np.flatnonzero((take > 0) & (size > 0))
+        into, out = np.append(size[more], 0), np.append(size[less], 0)
+        after = np.abs(gap - into[:, None] + out[None, :])
+        i, j = np.unravel_index(after.argmin(), after.shape)
+        if after[i, j] >= abs(gap):
+            break
+        gap += out[j] - into[i]
+        if i < len(more):
+            take[more[i]] += 1
+        if j < len(less):
+            take[less[j]] -= 1
+    return [(k, int(t)) for (k, *_), t in zip(items, take, strict=True) if t]
+
+
 def _choose(rows: DataFrame, rest: dict) -> dict:
-    """For each pattern a cut: (level bits, prefix, chosen keys) whose sizes come nearest below rest[pattern].
+    """For each pattern a cut: (level bits, prefix, chosen keys) whose sizes come near rest[pattern].
 
     A distributed radix descent on the seeded key: 2**BITS sums for each pattern and level go to the driver,
-    until at most FINAL_ROWS rows stand at the cut; among these, rows are taken in order where they still fit.
+    until at most FINAL_ROWS rows stand at the cut; these fill what is left.
     """
     spark, cuts, open_ = rows.sparkSession, {}, {p: (0, 0, r) for p, r in rest.items() if r > 0}
     level = 0
@@ -129,12 +153,7 @@ def _choose(rows: DataFrame, rest: dict) -> dict:
             for r in last.groupBy("pattern", "key", "size").agg(F.count("*").alias("n")).collect():
                 groups.setdefault(r["pattern"], []).append((r["key"], r["size"], r["n"]))
             for p, (b, left) in final.items():
-                chosen = []
-                for k, size, n in sorted(groups[p]):
-                    if take := min(n, left // size if size else n):
-                        chosen.append((k, take))
-                        left -= take * size
-                cuts[p] = (shift, b, chosen)
+                cuts[p] = (shift, b, _fill(sorted(groups[p]), left))
         open_ = {p: (0, b, left) for p, (b, left) in deeper.items()}
         level += 1
     return cuts
