@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_dir
+
 #: Rows up to which a lookup table is broadcast; a larger one is joined by shuffle.
 SMALL = 100_000
 
@@ -83,11 +85,7 @@ def nearest_rows(queries: DataFrame, rows: DataFrame, vec: str, key: str, k: int
 
 def connected(edges: DataFrame, nodes: DataFrame, node: str) -> DataFrame:
     """``nodes`` with the least node that each is connected with, by spreading labels along edges (a, b) until none changes."""
-    spark = nodes.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp())
+    shared_dir(nodes.sparkSession)
     links = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
     labels = nodes.select(F.col(node).alias("node"), F.col(node).alias("label")).distinct().checkpoint()
     while True:

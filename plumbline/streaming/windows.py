@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -11,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..sources.shared import shared_dir
+
 
 def windowed(events: DataFrame, late: str = "1 day", every: str = "1 day") -> DataFrame:
     """Count and sum by type and window; rows later than ``late`` behind the newest are dropped when windows close."""
@@ -35,8 +36,7 @@ def running_mean(events: DataFrame) -> DataFrame:
 def run_batchwise(rows: DataFrame, build: Callable[[DataFrame], DataFrame], mode: str = "complete", keys: list[str] | None = None) -> DataFrame:
     """What a streaming query has said once it has read the table's files: complete results, or each key's last update."""
     spark = rows.sparkSession
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    root = f"{(shared or 'file://' + tempfile.mkdtemp()).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    root = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     rows.write.parquet(f"{root}/in")
     out, at = f"{root}/out", [0]
 
