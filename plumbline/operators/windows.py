@@ -116,7 +116,7 @@ def ewma(df: DataFrame, entity: str, order: list[str], value: str, alphas: tuple
         v = g[value].astype(float).where(np.isfinite(g[value].astype(float)), 0.0)
         return pd.DataFrame({key: g[key]} | {n: v.ewm(alpha=a, adjust=False).mean() for n, a in zip(names, alphas, strict=True)})
 
-    return df.select(entity, *order, value, key).groupBy(entity).applyInPandas(run, f"{key} {dict(df.dtypes)[key]}, " + ", ".join(f"{n} double" for n in names))
+    return df.select(*dict.fromkeys([entity, *order, value, key])).groupBy(entity).applyInPandas(run, f"{key} {dict(df.dtypes)[key]}, " + ", ".join(f"{n} double" for n in names))
 
 
 def adaptive_ewma(df: DataFrame, entity: str, order: list[str], value: str, alphas: tuple[float, ...], tail: int = 20) -> DataFrame:
@@ -128,7 +128,7 @@ def adaptive_ewma(df: DataFrame, entity: str, order: list[str], value: str, alph
         best = int(np.argmin(errors))
         return pd.DataFrame({entity: [g[entity].iloc[0]], "alpha": [alphas[best]], "sse": [errors[best]]})
 
-    return df.select(entity, *order, value).groupBy(entity).applyInPandas(run, f"{entity} {dict(df.dtypes)[entity]}, alpha double, sse double")
+    return df.select(*dict.fromkeys([entity, *order, value])).groupBy(entity).applyInPandas(run, f"{entity} {dict(df.dtypes)[entity]}, alpha double, sse double")
 
 
 def state_duration(df: DataFrame, entity: str, order: list[str], state: Column) -> DataFrame:
@@ -179,7 +179,7 @@ def merge_short_states(df: DataFrame, entity: str, order: list[str], state: str,
                 runs[i - 1][1] += runs.pop(i)[1]
         return pd.DataFrame({key: g[key].to_numpy(), state: [s for s, n in runs for _ in range(n)]})
 
-    return df.select(entity, *order, state, key).groupBy(entity).applyInPandas(run, f"{key} {dict(df.dtypes)[key]}, {state} string")
+    return df.select(*dict.fromkeys([entity, *order, state, key])).groupBy(entity).applyInPandas(run, f"{key} {dict(df.dtypes)[key]}, {state} string")
 
 
 def same_value_features(df: DataFrame, entity: str, order: list[str], value: str, time: str) -> DataFrame:
@@ -298,7 +298,7 @@ def change_points(df: DataFrame, entity: str, order: list[str], value: str, pena
             at = came[at]
         return pd.DataFrame({entity: [g[entity].iloc[0]] * len(out), "at": sorted(out)})
 
-    return df.select(entity, *order, value).groupBy(entity).applyInPandas(run, f"{entity} {dict(df.dtypes)[entity]}, at int")
+    return df.select(*dict.fromkeys([entity, *order, value])).groupBy(entity).applyInPandas(run, f"{entity} {dict(df.dtypes)[entity]}, at int")
 
 
 def density_mode(df: DataFrame, entity: str, order: list[str], value: str, half_life: float = 10.0, grid: int = 64) -> DataFrame:
@@ -318,7 +318,7 @@ def density_mode(df: DataFrame, entity: str, order: list[str], value: str, half_
                 mode, peak = float(xs[d.argmax()]), float(d.max())
         return pd.DataFrame({entity: [g[entity].iloc[0]], "mode": [mode], "peak": [peak]})
 
-    return df.select(entity, *order, value).groupBy(entity).applyInPandas(run, f"{entity} {dict(df.dtypes)[entity]}, mode double, peak double")
+    return df.select(*dict.fromkeys([entity, *order, value])).groupBy(entity).applyInPandas(run, f"{entity} {dict(df.dtypes)[entity]}, mode double, peak double")
 
 
 def cumsum_to_amount(df: DataFrame, entity: str, order: list[str], value: str, amount: float, use_abs: bool = False) -> DataFrame:
@@ -364,4 +364,4 @@ def best_positions(df: DataFrame, entity: str, order: list[str], price: str, fee
         held = states[path[::-1]] if path else np.empty(0, int)
         return pd.DataFrame({entity: g[entity].iloc[0], "step": np.arange(len(moves)), "position": held, "profit": held * moves})
 
-    return df.select(entity, *order, price).groupBy(entity).applyInPandas(run, f"{entity} {dict(df.dtypes)[entity]}, step int, position int, profit double")
+    return df.select(*dict.fromkeys([entity, *order, price])).groupBy(entity).applyInPandas(run, f"{entity} {dict(df.dtypes)[entity]}, step int, position int, profit double")
