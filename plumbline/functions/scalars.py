@@ -146,7 +146,7 @@ def gcd(a: Column, b: Column) -> Column:
 
 def lattice(a: Column, b: Column) -> dict[str, Column]:
     g = gcd(a, b)
-    return {"gcd": g, "lcm": (a * b / F.nullif(g, F.lit(0))).cast("long"), "and": a.bitwiseAND(b), "or": a.bitwiseOR(b), "xor": a.bitwiseXOR(b)}
+    return {"gcd": g, "lcm": F.coalesce((a * b / F.nullif(g, F.lit(0))).cast("long"), F.lit(0)), "and": a.bitwiseAND(b), "or": a.bitwiseOR(b), "xor": a.bitwiseXOR(b)}
 
 
 def chebyshev(x: Column, degree: int) -> list[Column]:

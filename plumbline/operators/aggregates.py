@@ -46,10 +46,12 @@ def group_bias(df: DataFrame, key: str, y: str, p: str, least: int = 20, shrink:
 
 
 def zero_sum(df: DataFrame, key: str, p: str, w: str | Column | None = None, target: float = 0.0) -> DataFrame:
-    """Predictions shifted so that each group's weighted sum is ``target``."""
+    """Predictions shifted so that each group's weighted sum is ``target``; groups of no weight stay."""
     weight = F.lit(1.0) if w is None else F.col(w) if isinstance(w, str) else w
     g = Window.partitionBy(key)
-    return df.withColumn(f"{p}_adjusted", F.col(p) - (F.sum(weight * F.col(p)).over(g) - target) / F.sum(weight).over(g))
+    total = F.sum(weight).over(g).cast("double")
+    shift = (F.sum(weight * F.col(p)).over(g) - target) / F.nullif(total, F.lit(0.0))
+    return df.withColumn(f"{p}_adjusted", F.col(p) - F.coalesce(shift, F.lit(0.0)))
 
 
 def zero_sums(df: DataFrame, keys: list[str], p: str, rounds: int = 5) -> DataFrame:

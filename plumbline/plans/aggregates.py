@@ -57,7 +57,7 @@ def group_bias(read):
     return A.group_bias(read("lineitem").withColumn("p", F.expr("l_quantity * 1500.0D")), "l_suppkey", "l_extendedprice", "p", shrink=50.0)
 
 
-@query("SELECT o_orderkey, o_totalprice - sum(o_custkey * o_totalprice) OVER (PARTITION BY o_orderdate) / sum(o_custkey) OVER (PARTITION BY o_orderdate) AS o_totalprice_adjusted FROM orders", "o_totalprice_adjusted")
+@query("SELECT o_orderkey, o_totalprice - coalesce(sum(o_custkey * o_totalprice) OVER (PARTITION BY o_orderdate) / nullif(sum(o_custkey) OVER (PARTITION BY o_orderdate), 0), 0) AS o_totalprice_adjusted FROM orders", "o_totalprice_adjusted")
 def zero_sum(read):
     return A.zero_sum(read("orders"), "o_orderdate", "o_totalprice", "o_custkey").select("o_orderkey", "o_totalprice_adjusted")
 
