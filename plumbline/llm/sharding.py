@@ -2,8 +2,8 @@
 
 Records are ordered by (hash of the text, hash of the id, row number). A size-weighted sample of these
 keys gives quantile boundaries of many narrow ranges; the exact bytes of every range are summed, ranges
-that came out overfull are sampled again and subdivided, and runs of adjacent ranges become shards of
-near-equal bytes. Equal texts have adjacent keys and stay in one shard, unless a group of copies is
+that came out overfull are sampled again and subdivided until none of several rows is left (a row larger than
+a range gets one of its own), and runs of adjacent ranges become shards of near-equal bytes. Equal texts have adjacent keys and stay in one shard, unless a group of copies is
 larger than a range, when the id's hash splits it.
 """
 
@@ -25,11 +25,14 @@ def _packed(k1: np.ndarray, k2: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(both.astype(">u8")).view("S16").ravel()
 
 
-def _boundaries(sample: pd.DataFrame, n_ranges: int) -> list[tuple[int, int]]:
+LOWEST, HIGHEST = np.iinfo(np.int64).min, np.iinfo(np.int64).max
+
+
+def _boundaries(sample: pd.DataFrame, n_ranges: int, whole: bool = True) -> list[tuple[int, int]]:
     """Quantile boundaries of a weighted key sample.
 
     A boundary inside a group of equal first keys moves to the group's start, unless the group spans a
-    whole range or more; so only groups that must be split are.
+    whole range or more; so only groups that must be split are. If not ``whole``, no boundary moves.
     """
     if not len(sample):
         return []
@@ -38,8 +41,13 @@ def _boundaries(sample: pd.DataFrame, n_ranges: int) -> list[tuple[int, int]]:
     at = np.unique(np.searchsorted(w, w[-1] * np.arange(1, n_ranges) / n_ranges, side="left"))
     picks = [(int(k1[i]), int(k2[i])) for i in at]
     inside = pd.Series([a for a, _ in picks]).value_counts() if picks else {}
-    lowest = np.iinfo(np.int64).min
-    return sorted({(a, b if inside[a] > 2 else lowest) for a, b in picks})
+    return sorted({(a, b if inside[a] > 2 or not whole else LOWEST) for a, b in picks})
+
+
+def _apart(large: pd.DataFrame) -> set[tuple[int, int]]:
+    """Boundaries before each of these rows and after each group of equal texts, so that each row has a range of its own."""
+    keys = [(int(a), int(b)) for a, b in zip(large["k1"], large["k2"], strict=True)]
+    return {*keys, *((a + 1, LOWEST) for a, _ in keys if a < HIGHEST)}
 
 
 def _range_of(bounds: list[tuple[int, int]]):
@@ -57,14 +65,14 @@ def shard(
     n_shards: int = 24,
     ranges_per_shard: int = 128,
     samples_per_range: int = 8,
-    rounds: int = 4,
 ) -> DataFrame:
     """Put every row in one of ``n_shards`` shards of near-equal bytes (UTF-8 bytes of the text plus 8).
 
     Returns doc_id, size, text_crc32, law ("bytes"), shard, slot (gapless from 0 in each shard) and a null
     grown_shard. A null text has size 8 and a null text_crc32; null ids and repeated rows are ordinary rows;
     an empty table gives no rows; other columns are ignored. To the driver go the sample (about
-    n_shards * ranges_per_shard * samples_per_range keys) and one sum for each range, whatever the input's size.
+    n_shards * ranges_per_shard * samples_per_range keys), the keys of rows larger than a range (fewer than there are
+    ranges) and one sum for each range, whatever the input's size.
     """
     spark = documents.sparkSession
     scratch = Scratch(spark, "shard")
@@ -85,21 +93,26 @@ def shard(
     n_ranges = n_shards * ranges_per_shard
     fair = total / n_ranges
 
-    def drawn(part: DataFrame, per_range: int) -> pd.DataFrame:
-        """Keys drawn with a chance in proportion to their size."""
+    def drawn(part: DataFrame, per_range: int, turn: int = 0) -> pd.DataFrame:
+        """Keys drawn with a chance in proportion to their size; another turn draws others."""
         p = F.col("size") * (per_range / fair)
-        u = F.shiftrightunsigned(F.xxhash64(F.lit(11), "k1", "k2"), 11) / float(1 << 53)
+        u = F.shiftrightunsigned(F.xxhash64(F.lit(11 + turn), "k1", "k2"), 11) / float(1 << 53)
         return part.where(u < p).select("k1", "k2", F.greatest(p, F.lit(1.0)).alias("w")).toPandas()
 
-    bounds = _boundaries(drawn(rows, samples_per_range), n_ranges)
-    for _ in range(rounds):
-        sums = rows.withColumn("r", _range_of(bounds)).groupBy("r").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
-        sums = {x["r"]: (x["bytes"], x["n"]) for x in sums.collect()}
+    bounds, turn = _boundaries(drawn(rows, samples_per_range), n_ranges), 0
+    while True:  # ends with the sums of the last bounds
+        dealt = rows.withColumn("r", _range_of(bounds))
+        sums = {x["r"]: (x["bytes"], x["n"]) for x in dealt.groupBy("r").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).collect()}
         over = [r for r, (b, n) in sums.items() if b > 2 * fair and n > 1]
         if not over:
             break
-        more = drawn(rows.withColumn("r", _range_of(bounds)).where(F.col("r").isin(over)), 4 * samples_per_range)
-        grown = sorted({*bounds, *_boundaries(more, max(2, round(2 * sum(sums[r][0] for r in over) / fair)))})
+        turn += 1
+        part = dealt.where(F.col("r").isin(over))
+        large = _apart(part.where(F.col("size") > fair).select("k1", "k2").toPandas())
+        more, n_more = drawn(part, 4 * samples_per_range, turn), max(2, round(2 * sum(sums[r][0] for r in over) / fair))
+        grown = sorted({*bounds, *large, *_boundaries(more, n_more)})
+        if grown == bounds:  # what is left is a group of copies, to be split inside
+            grown = sorted({*bounds, *_boundaries(more, n_more, whole=False)})
         if grown == bounds:
             break
         bounds = grown
@@ -113,8 +126,7 @@ def shard(
     where = F.broadcast(spark.createDataFrame(placed, "r int, shard int, base bigint"))  # a row for each range
     spot = F.expr("row_number() over (partition by r order by k1, k3, k2)")
     return (
-        rows.withColumn("r", _range_of(bounds))
-        .withColumn("spot", spot)
+        dealt.withColumn("spot", spot)
         .join(where, "r")
         .select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("base") + F.col("spot") - 1).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
     )

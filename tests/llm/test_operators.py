@@ -78,6 +78,15 @@ def test_sharding_is_even_and_keeps_small_groups(spark):
     assert all(len(s) == 1 for s in where.values())
 
 
+def test_sharding_keeps_every_row_among_long_texts(spark):
+    long = [(i, words(i, 40) * 200, "en", "s", 1) for i in range(120)]
+    short = [(1000 + i, words(1000 + i, 1), "en", "s", 1) for i in range(6000)]
+    got = sharding.shard(spark.createDataFrame(long + short, SCHEMA), 4).collect()
+    assert collections.Counter((r.doc_id, r.size) for r in got) == collections.Counter((i, len(t) + 8) for i, t, *_ in long + short)
+    sizes = check_shards(got, 4)
+    assert max(sizes) - min(sizes) < 2 * len(long[0][1])
+
+
 # 2 top-k
 
 
