@@ -1,8 +1,9 @@
 """From signature bands to classes: candidates by shared bands, exact verification, connected components.
 
-Rows are identified by a key of their content, so copies are one row. No bucket's pairs are all emitted: each
-member of a bucket is compared with the bucket's least and greatest key; members that join neither's class
-go on to buckets of one band more, where few members meet, until no bucket holds two unresolved classes.
+Rows are identified by a key of their content, so copies are one row. Two rows that share a bucket end in one class, or have
+been compared. Each member of a bucket is compared with the bucket's least and greatest key and, if it joins neither's
+class, with a few drawn members; that brings most of a bucket into one class. Where several classes are left, all pairs of
+unlike classes are compared: one by one in small buckets, else block by block, where only the links found are emitted.
 """
 
 from __future__ import annotations
@@ -18,9 +19,11 @@ from .common import Scratch
 
 #: Bits of the bitmap that spares rows without candidates the shuffle; a full bitmap spares none and loses none.
 BITMAP = 1 << 24
-#: Members up to which a narrow bucket's pairs of unlike classes are all compared, and further members of a bucket, drawn by hashes, that a
-#: row is compared with if it joined the class of neither end.
+#: Members up to which a bucket's pairs of unlike classes are emitted one by one, and further members of a bucket, drawn by hashes, that a
+#: row is compared with first if it joined the class of neither end.
 FEW, DRAWN = 8, 8
+#: About so many rows, or elements of their sets, make a block; shingles that are looked at together.
+BLOCK_ROWS, BLOCK_ELEMENTS, WIDE = 2048, 1_000_000, 2048
 
 
 def components(scratch: Scratch, links: DataFrame) -> DataFrame:
@@ -93,17 +96,14 @@ def link(
     classes = components(scratch, verified(firsts))
     drawn = _drawn(active, _unresolved(active, classes))
     done = scratch.keep(pairs.select("a", "b").unionByName(drawn).distinct(), "pairs")
-    rest, begun = done.join(firsts, ["a", "b"], "left_anti"), True
-    while True:
-        found = verified(_between(rest, classes))
-        if not found.isEmpty():
-            classes = _merged(scratch, classes, found)
-        active = _narrowed(scratch, active, classes, begun)
-        if active.isEmpty():
-            return classes
-        pairs = scratch.keep(_few(active).unionByName(_ends(active.where(F.col("n") > FEW)).select("a", "b")).distinct(), "pairs")
-        rest, begun = pairs.join(done, ["a", "b"], "left_anti"), False
-        done = done.unionByName(pairs)
+    found = verified(_between(done.join(firsts, ["a", "b"], "left_anti"), classes))
+    if not found.isEmpty():
+        classes = _merged(scratch, classes, found)
+    mixed = _mixed(scratch, active, classes)
+    some = verified(_few(mixed.where(F.col("n") <= FEW)).distinct().join(done, ["a", "b"], "left_anti"))
+    many = _by_blocks(scratch, mixed.where(F.col("n") > FEW), sets, similarity, threshold)
+    found = some.unionByName(many)
+    return classes if found.isEmpty() else _merged(scratch, classes, found)
 
 
 def _unresolved(active: DataFrame, classes: DataFrame) -> DataFrame:
@@ -130,8 +130,7 @@ def _ends(active: DataFrame) -> DataFrame:
 
 def _few(active: DataFrame) -> DataFrame:
     """(a, b): pairs of unlike classes in buckets of at most FEW members."""
-    small = active.where(F.col("n") <= FEW).select("bucket", "key", "class")
-    lists = small.groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct("key", "class"))).alias("m"))  # at most FEW each
+    lists = active.groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct("key", "class"))).alias("m"))  # at most FEW each
     a = lists.select("m", F.posexplode("m").alias("i", "x"))
     p = a.select("x", F.explode(F.slice("m", F.col("i") + 2, FEW)).alias("y")).where("x.class != y.class")
     return p.select(F.col("x.key").alias("a"), F.col("y.key").alias("b"))
@@ -154,17 +153,99 @@ def _between(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return pairs.join(ca, "a", "left").join(cb, "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
 
-def _narrowed(scratch: Scratch, active: DataFrame, classes: DataFrame, begun: bool) -> DataFrame:
-    """Members that joined the class of neither end of their bucket (in narrow buckets: of those above FEW members), in buckets of one band
-    more of those where they are unresolved: (used bands, bucket, key, class, n, lo, hi), where two classes are left. Rows that are alike share many such buckets, others hardly any."""
-    rows = active.withColumn("used", F.array("bucket")) if begun else active.where(F.col("n") > FEW).drop("class")
-    left = _unresolved(rows, classes).select("used", "bucket", "key", "class")
-    left = scratch.keep(left, "left")
-    two = left.groupBy("bucket").agg(F.min("class").alias("c0"), F.max("class").alias("c1")).where("c0 != c1").select("bucket")
-    own = left.join(two, "bucket")
-    every = own.groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list("used"))).alias("every"))  # at most a row's own bands
-    later = F.explode(F.filter("every", lambda b: b > F.element_at("used", -1))).alias("other")
-    rows = own.join(every, "key").select("key", "class", "used", later).withColumn("used", F.array_append("used", F.col("other")))
-    rows = scratch.keep(rows.select("used", F.xxhash64("used").alias("bucket"), "key", "class").distinct(), "rows")
-    ends = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("key").alias("lo"), F.max("key").alias("hi"), F.min("class").alias("c0"), F.max("class").alias("c1")).where("c0 != c1")
-    return scratch.keep(rows.join(ends, "bucket").select("used", "bucket", "key", "class", "n", "lo", "hi"), "active")
+def _mixed(scratch: Scratch, active: DataFrame, classes: DataFrame) -> DataFrame:
+    """(bucket, key, class, n, main): members of the buckets that hold several classes; ``main`` is the class of most of them."""
+    own = active.select("bucket", "key").join(classes, "key", "left").withColumn("class", F.coalesce("class", "key"))
+    own = scratch.keep(own, "own")
+    parts = own.groupBy("bucket", "class").agg(F.count("*").alias("m"))
+    kinds = parts.groupBy("bucket").agg(F.sum("m").alias("n"), F.max(F.struct("m", "class"))["class"].alias("main"), F.count("*").alias("kinds")).where("kinds > 1")
+    return scratch.keep(own.join(kinds.drop("kinds"), "bucket"), "mixed")
+
+
+def _by_blocks(scratch: Scratch, mixed: DataFrame, sets: DataFrame, similarity: Callable[[np.ndarray, np.ndarray], float], threshold: float) -> DataFrame:
+    """(a, b): links that join all linked rows of unlike classes of each bucket.
+
+    A bucket's main class and the rest are dealt to blocks; a block of the rest meets itself and all other blocks, one of the
+    main class those of the rest only. A group is one pair of blocks.
+    """
+    rows = mixed.join(sets.select("key", F.size("set").alias("size")), "key").withColumn("of_main", F.expr("class = main"))
+    count = lambda side: F.ceil(F.greatest(F.sum(F.when(side, 1)) / BLOCK_ROWS, F.sum(F.when(side, F.col("size"))) / BLOCK_ELEMENTS)).cast("int")
+    blocks = rows.groupBy("bucket").agg(count(~F.col("of_main")).alias("h"), count(F.col("of_main")).alias("g"))
+    spot = F.when(F.col("of_main"), F.expr("h + cast(pmod(xxhash64(key), g) as int)")).otherwise(F.expr("cast(pmod(xxhash64(key), h) as int)"))
+    before = "transform(sequence(0, least(spot, h - 1)), x -> struct(x as i, spot as j))"
+    after = "if(spot < h, transform(sequence(spot + 1, h + g - 1), x -> struct(spot as i, x as j)), array())"
+    dealt = rows.join(blocks, "bucket").withColumn("spot", spot).select("bucket", "key", "class", "spot", F.explode(F.expr(f"concat({before}, {after})")).alias("pair"))
+    dealt = dealt.join(sets, "key").select("bucket", "pair.i", "pair.j", "spot", "key", "class", "set")
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        left, right = (group[group["spot"] == group[x].iloc[0]] for x in ("i", "j"))
+        return pd.DataFrame(_links_of(left, right, similarity, threshold), columns=["a", "b"])
+
+    return scratch.keep(dealt.groupBy("bucket", "i", "j").applyInPandas(run, "a binary, b binary"), "links")
+
+
+def _bounds(left: list[np.ndarray], right: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """For all pairs, plain Jaccard of the distinct elements, and a bound of any weighted one.
+
+    With weights 1 + ln of the counts that sum to 1, the chance of a common draw is at most each side's weight of what both hold.
+    If neither side's elements repeat, the bound is the plain value.
+    """
+    held = []
+    for rows in (left, right):
+        row = np.repeat(np.arange(len(rows)), [len(x) for x in rows])
+        flat = np.concatenate(rows)
+        order = np.lexsort((flat, row))
+        row, flat = row[order], flat[order]
+        new = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (flat[1:] != flat[:-1])]))
+        weight = 1 + np.log(np.diff(np.append(new, len(flat))))
+        row, flat = row[new], flat[new]
+        total = np.bincount(row, weight, len(rows))
+        held.append((row, flat, (weight / total[row]).astype(np.float32), np.bincount(row, minlength=len(rows)), np.bincount(row, weight > 1, len(rows)) > 0))
+    (ra, fa, wa, na, da), (rb, fb, wb, nb, db) = held
+    both = np.intersect1d(fa, fb)
+    keep_a, keep_b = np.isin(fa, both), np.isin(fb, both)
+    ra, fa, wa, rb, fb, wb = ra[keep_a], np.searchsorted(both, fa[keep_a]), wa[keep_a], rb[keep_b], np.searchsorted(both, fb[keep_b]), wb[keep_b]
+    common, mass_a, mass_b = (np.zeros((len(left), len(right)), np.float32) for _ in range(3))
+    repeats = da.any() or db.any()
+    oa, ob = np.argsort(fa, kind="stable"), np.argsort(fb, kind="stable")
+    ra, fa, wa, rb, fb, wb = ra[oa], fa[oa], wa[oa], rb[ob], fb[ob], wb[ob]
+    for start in range(0, len(both), WIDE):
+        width = min(WIDE, len(both) - start)
+        (a0, a1), (b0, b1) = np.searchsorted(fa, [start, start + width]), np.searchsorted(fb, [start, start + width])
+        x, y = np.zeros((len(left), width), np.float32), np.zeros((len(right), width), np.float32)
+        x[ra[a0:a1], fa[a0:a1] - start] = 1
+        y[rb[b0:b1], fb[b0:b1] - start] = 1
+        common += x @ y.T
+        if repeats:
+            p, q = np.zeros_like(x), np.zeros_like(y)
+            p[ra[a0:a1], fa[a0:a1] - start] = wa[a0:a1]
+            q[rb[b0:b1], fb[b0:b1] - start] = wb[b0:b1]
+            mass_a += p @ y.T
+            mass_b += x @ q.T
+    plain = common / (na[:, None] + nb[None, :] - common)
+    bound = np.where(da[:, None] | db[None, :], np.minimum(mass_a, mass_b), plain) if repeats else plain
+    return plain, bound
+
+
+def _links_of(left: pd.DataFrame, right: pd.DataFrame, similarity: Callable[[np.ndarray, np.ndarray], float], threshold: float) -> list[tuple[bytes, bytes]]:
+    """Links between rows (key, class, set) of unlike classes, of which none follows from the others."""
+    ka, kb, sa, sb = left["key"].tolist(), right["key"].tolist(), left["set"].tolist(), right["set"].tolist()
+    kinds, of = np.unique(np.array([bytes(c).hex() for c in [*left["class"], *right["class"]]]), return_inverse=True)
+    ca, cb, up = of[: len(ka)], of[len(ka) :], list(range(len(kinds)))
+
+    def top(c: int) -> int:
+        while up[c] != c:
+            up[c] = up[up[c]]
+            c = up[c]
+        return c
+
+    plain, bound = _bounds(sa, sb)
+    apart, out = ca[:, None] != cb[None, :], []
+    sure = plain >= threshold - 1e-5  # the sure ones first; rounding is left to the exact measure
+    for some in (sure & apart, ~sure & (bound >= threshold - 1e-5) & apart):
+        for i, j in zip(*(x.tolist() for x in np.nonzero(some)), strict=True):
+            x, y = top(int(ca[i])), top(int(cb[j]))
+            if x != y and similarity(np.asarray(sa[i]), np.asarray(sb[j])) >= threshold:
+                up[y] = x
+                out.append((min(ka[i], kb[j]), max(ka[i], kb[j])))
+    return out

@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -362,6 +363,41 @@ def test_near_dedup_equals_all_pairs(spark):
     assert near_dedup.one_of_each(df).count() == len({r.class_id for r in got})
 
 
+def linked(spark, sets, bands):
+    """The classes that linking finds among sets, all in the same buckets, by place; and those of all pairs."""
+    keys = [hashlib.md5(str(i).encode()).digest() for i in range(len(sets))]
+    held = spark.createDataFrame([(k, bands) for k in keys], "key binary, bands array<bigint>")
+    texts = spark.createDataFrame([(k, " ".join(map(str, sorted(x)))) for k, x in zip(keys, sets)], "key binary, text string")
+    unpack = lambda t: pd.Series([np.array(x.split(), np.int64) for x in t])
+    jaccard = lambda a, b: len(np.intersect1d(a, b)) / len(np.union1d(a, b))
+    got = {bytes(r["key"]): bytes(r["class"]) for r in linking.link(Scratch(spark, "test"), held, texts, unpack, jaccard, 0.8).collect()}
+    near = [[i for i, y in enumerate(sets) if len(x & y) / len(x | y) >= 0.8] for x in sets]
+    return [got.get(k, k) for k in keys], near, keys
+
+
+def test_links_of_a_star_in_shared_buckets(spark):
+    """The base is like every row, also both ends; others are only like the base."""
+    r = random.Random(6)
+    sets = [set(range(100))] + [set(range(100)) - set(r.sample(range(100), 15)) for _ in range(79)]
+    got, near, keys = linked(spark, sets, [7, 8, 9])
+    assert all(0 in x for x in near) and sum(map(len, near)) < 4 * len(sets)
+    assert set(got) == {min(keys)}
+
+
+def test_near_dedup_of_a_star(spark):
+    """Each copy is like the base, and hardly any two copies are like each other."""
+    r, base, rows = random.Random(4), words(88, 120).split(), []
+    for i in range(1200):
+        v = list(base)
+        if i:
+            a, b = r.sample(range(6, 114, 12), 2)
+            v[a], v[b] = f"edit{r.random():.6f}", f"edit{r.random():.6f}"
+        rows.append((i, " ".join(v), "en", "s", 1))
+    got = near_dedup.classes(spark.createDataFrame(rows, SCHEMA).repartition(5)).collect()
+    assert all(near_dedup.similarity(*(np.sort(shingles(t[1])) for t in (rows[0], x))) >= 0.8 for x in rows[1:])
+    assert {x.class_id for x in got} == {0} and len(got) == len(rows)
+
+
 def test_fingerprint_classes_equal_all_pairs(spark):
     rows = near_corpus()
     jaccard = lambda a, b: len(np.intersect1d(a, b)) / max(1, len(np.union1d(a, b)))
