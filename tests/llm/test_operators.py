@@ -384,6 +384,13 @@ def test_links_of_a_star_in_shared_buckets(spark):
     assert set(got) == {min(keys)}
 
 
+def test_links_of_pairs_in_one_wide_bucket(spark):
+    """Each set is like one other, and all share one bucket only."""
+    sets = [set(range(60)) | set(range(100 * i, 100 * i + 40)) | {1_000_000 + 2 * i + j} for i in range(1, 41) for j in range(2)]
+    got, near, keys = linked(spark, sets, [7])
+    assert got == [min(keys[i] for i in x) for x in near] and all(len(x) == 2 for x in near)
+
+
 def test_near_dedup_of_a_star(spark):
     """Each copy is like the base, and hardly any two copies are like each other."""
     r, base, rows = random.Random(4), words(88, 120).split(), []
@@ -398,6 +405,19 @@ def test_near_dedup_of_a_star(spark):
     assert {x.class_id for x in got} == {0} and len(got) == len(rows)
 
 
+def test_near_dedup_of_pairs_in_wide_buckets(spark):
+    """Many documents share a passage and so buckets; each is like one other."""
+    r, shared, rows = random.Random(5), words(89, 90).split(), []
+    for i in range(150):
+        own = shared + words(9000 + i, 32).split()
+        for _ in range(2):
+            v = list(own)
+            v[r.randrange(95, 115)] = f"edit{r.random():.6f}"
+            rows.append((len(rows), " ".join(v), "en", "s", 1))
+    got = {x.doc_id: x.class_id for x in near_dedup.classes(spark.createDataFrame(rows, SCHEMA).repartition(5)).collect()}
+    assert got == brute_classes([x[:2] for x in rows], near_dedup.similarity)
+
+
 def test_fingerprint_classes_equal_all_pairs(spark):
     rows = near_corpus()
     jaccard = lambda a, b: len(np.intersect1d(a, b)) / max(1, len(np.union1d(a, b)))
