@@ -54,11 +54,11 @@ def missing_pattern(cols: list[str]) -> tuple[Column, Column]:
 
 def row_stats(cols: list[str], quantiles: tuple[float, ...] = (0.25, 0.75)) -> dict[str, Column]:
     """Mean, population deviation, extremes, median and interpolated quantiles across columns, nulls left out; null if all are."""
-    v = F.array_sort(F.filter(F.array(*(F.col(c).cast("double") for c in cols)), lambda x: x.isNotNull()))
-    n = F.size(v)
-    total = F.aggregate(v, F.lit(0.0), lambda a, x: a + x)
-    mean = total / F.nullif(n, F.lit(0))
-    spread = F.aggregate(v, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean))
+    own = [F.col(c).cast("double") for c in cols]
+    v = F.sort_array(F.array_compact(F.array(*own)))
+    n = sum((x.isNotNull().cast("int") for x in own), F.lit(0))
+    mean = sum((F.coalesce(x, F.lit(0.0)) for x in own), F.lit(0.0)) / F.nullif(n, F.lit(0))
+    spread = sum((F.coalesce((x - mean) * (x - mean), F.lit(0.0)) for x in own), F.lit(0.0))
 
     def quantile(q: float) -> Column:
         at = (n - 1) * F.lit(q)
@@ -66,7 +66,7 @@ def row_stats(cols: list[str], quantiles: tuple[float, ...] = (0.25, 0.75)) -> d
         get = lambda i: F.get(v, F.least(i, n - 1).cast("int"))
         return F.when(n > 0, get(lo) + (at - lo) * (get(lo + 1) - get(lo)))
 
-    out = {"mean": mean, "std": F.sqrt(spread / F.nullif(n, F.lit(0))), "min": F.array_min(v), "max": F.array_max(v), "median": quantile(0.5)}
+    out = {"mean": mean, "std": F.sqrt(spread / F.nullif(n, F.lit(0))), "min": F.get(v, F.lit(0)), "max": F.get(v, n - 1), "median": quantile(0.5)}
     return out | {f"q{round(q * 100)}": quantile(q) for q in quantiles}
 
 
@@ -193,8 +193,9 @@ def date_parts(d: Column) -> dict[str, Column]:
 
 
 def uncross(quantiles: Column) -> Column:
-    """A row's quantiles in order."""
-    return F.array_sort(quantiles)
+    """A row's quantiles in order, nulls last."""
+    known = F.array_compact(quantiles)
+    return F.concat(F.sort_array(known), F.array_repeat(F.lit(None), F.size(quantiles) - F.size(known)))
 
 
 def set_similarities(a: Column, b: Column, alpha: float = 0.5, beta: float = 0.5) -> dict[str, Column]:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import kept_table
+
 
 def moments(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Mean, population variance and deviation, skewness and excess kurtosis (population forms)."""
@@ -54,13 +56,46 @@ def zero_sum(df: DataFrame, key: str, p: str, w: str | Column | None = None, tar
     return df.withColumn(f"{p}_adjusted", F.col(p) - F.coalesce(shift, F.lit(0.0)))
 
 
-def zero_sums(df: DataFrame, keys: list[str], p: str, rounds: int = 5) -> DataFrame:
-    """Several groupings' sums brought to zero in turn."""
-    out = df.withColumn(f"{p}_adjusted", F.col(p).cast("double"))
+def zero_sums(df: DataFrame, keys: list[str], p: str, rounds: int = 10, tol: float = 1e-8) -> DataFrame:
+    """Several groupings' sums brought to zero in turn, until all are within ``tol`` or ``rounds`` sweeps are over. A sweep is one job for
+    each grouping; what is swept is one offset a group, so rows aren't shuffled: rows are summed by all keys together first."""
+    cells = kept_table(df.groupBy(*keys).agg(F.sum(F.col(p).cast("double")).alias("_s"), F.count(p).alias("_n")))
+    shifts = {k: kept_table(df.select(k).distinct().withColumn(f"_d_{i}", F.lit(0.0))) for i, k in enumerate(keys)}
+
+    def with_shifts(t: DataFrame) -> DataFrame:
+        for k, d in shifts.items():
+            t = t.join(d.withColumnRenamed(k, f"_k_{k}"), F.col(k).eqNullSafe(F.col(f"_k_{k}")), "left").drop(f"_k_{k}")
+        return t.withColumn("_shift", sum(F.coalesce(f"_d_{i}", F.lit(0.0)) for i in range(len(keys)))).drop(*(f"_d_{i}" for i in range(len(keys))))
+
     for _ in range(rounds):
-        for k in keys:
-            out = out.withColumn(f"{p}_adjusted", F.col(f"{p}_adjusted") - F.avg(f"{p}_adjusted").over(Window.partitionBy(k)))
-    return out
+        for i, k in enumerate(keys):
+            off = with_shifts(cells).groupBy(k).agg((F.sum(F.col("_s") - F.col("_n") * F.col("_shift")) / F.nullif(F.sum("_n"), F.lit(0))).alias("_more"))
+            old = shifts[k]
+            shifts[k] = kept_table(old.join(off.withColumnRenamed(k, "_k"), F.col(k).eqNullSafe(F.col("_k")), "left").select(k, (F.col(f"_d_{i}") + F.coalesce("_more", F.lit(0.0))).alias(f"_d_{i}")))
+        left = [with_shifts(cells).groupBy(k).agg(F.sum(F.col("_s") - F.col("_n") * F.col("_shift")).alias("x")).agg(F.max(F.abs("x"))).first()[0] for k in keys[:-1]]
+        if max((x or 0.0 for x in left), default=0.0) < tol:
+            break
+    return with_shifts(df).withColumn(f"{p}_adjusted", F.col(p).cast("double") - F.col("_shift")).drop("_shift")
+
+
+def geometric_median(df: DataFrame, cols: list[str], rounds: int = 200, tol: float = 1e-7, eps: float = 1e-10) -> tuple[float, ...]:
+    """The point of least summed Euclidean distance, by Weiszfeld's reweighting from the means; one aggregate a round. Rows with a
+    null don't count; without rows all is null."""
+    rows = df.select(*(F.col(c).cast("double").alias(c) for c in cols)).na.drop()
+    at = tuple(rows.agg(*(F.avg(c) for c in cols)).first())
+    if at[0] is None:
+        return at
+    rows = kept_table(rows)
+    for _ in range(rounds):
+        d = F.sqrt(sum(((F.col(c) - F.lit(x)) * (F.col(c) - F.lit(x)) for c, x in zip(cols, at, strict=True)), F.lit(0.0)))
+        w = 1 / F.greatest(d, F.lit(eps))
+        sums = rows.agg(F.sum(w), *(F.sum(w * F.col(c)) for c in cols)).first()
+        new = tuple(s / sums[0] for s in sums[1:])
+        moved = sum((a - b) ** 2 for a, b in zip(new, at, strict=True)) ** 0.5
+        at = new
+        if moved <= tol:
+            break
+    return at
 
 
 def collapse(df: DataFrame, entity: str, p: str, q: float | None = None) -> DataFrame:
@@ -109,8 +144,9 @@ def quantile_codes(df: DataFrame, col: str, bins: int, name: str) -> DataFrame:
 
 
 def mutual_information(df: DataFrame, x: str, y: str) -> DataFrame:
-    """Plug-in mutual information of two codes in nats, floored at 0. Counts of pairs; margins from these."""
-    n = df.groupBy(x, y).agg(F.count("*").alias("n"))
+    """Plug-in mutual information of two codes in nats, floored at 0. Counts of pairs; margins from these. Rows where a code is
+    null don't count."""
+    n = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(x, y).agg(F.count("*").alias("n"))
     nx, ny = n.groupBy(x).agg(F.sum("n").alias("nx")), n.groupBy(y).agg(F.sum("n").alias("ny"))
     total = n.agg(F.sum("n").alias("all"))
     t = n.join(nx, x).join(ny, y).crossJoin(total)
@@ -118,22 +154,22 @@ def mutual_information(df: DataFrame, x: str, y: str) -> DataFrame:
 
 
 def conditional_mutual_information(df: DataFrame, x: str, y: str, z: str) -> DataFrame:
-    """I(X; Y | Z) in nats from three-way counts."""
-    n = df.groupBy(x, y, z).agg(F.count("*").alias("n"))
+    """I(X; Y | Z) in nats from three-way counts. Rows where a code is null don't count."""
+    n = df.where(F.col(x).isNotNull() & F.col(y).isNotNull() & F.col(z).isNotNull()).groupBy(x, y, z).agg(F.count("*").alias("n"))
     xz, yz, nz = (n.groupBy(*k).agg(F.sum("n").alias(a)) for k, a in (((x, z), "xz"), ((y, z), "yz"), ((z,), "nz")))
     t = n.join(xz, [x, z]).join(yz, [y, z]).join(nz, z).crossJoin(n.agg(F.sum("n").alias("all")))
     return t.agg(F.greatest(F.sum(F.col("n") / F.col("all") * F.log(F.col("n") * F.col("nz") / (F.col("xz") * F.col("yz")))), F.lit(0.0)).alias("cmi"))
 
 
 def joint_mutual_information(df: DataFrame, x: str, z: str, y: str) -> DataFrame:
-    """I((X, Z); Y) in nats."""
-    return mutual_information(df.withColumn("_xz", F.concat_ws("|", x, z)), "_xz", y).withColumnRenamed("mi", "jmi")
+    """I((X, Z); Y) in nats. A null x or z is a value of the pair; rows with a null y don't count."""
+    return mutual_information(df.withColumn("_xz", F.struct(F.col(x).alias("x"), F.col(z).alias("z"))), "_xz", y).withColumnRenamed("mi", "jmi")
 
 
 def entropies(df: DataFrame, x: str) -> DataFrame:
     """Plug-in, Miller-Madow and Chao-Shen entropies of a code, in nats; the last divides by the chance of having been seen, with
-    coverage 1 - singletons / n (1 / n short of that if all are singletons)."""
-    n = df.groupBy(x).agg(F.count("*").alias("n"))
+    coverage 1 - singletons / n (1 / n short of that if all are singletons). Nulls don't count."""
+    n = df.where(F.col(x).isNotNull()).groupBy(x).agg(F.count("*").alias("n"))
     t = n.crossJoin(n.agg(F.sum("n").alias("all"), F.count("*").alias("k"), F.sum((F.col("n") == 1).cast("long")).alias("f1")))
     p = F.col("n") / F.col("all")
     cover = 1 - F.when(F.col("f1") == F.col("all"), F.col("f1") - 1).otherwise(F.col("f1")) / F.col("all")
@@ -142,7 +178,8 @@ def entropies(df: DataFrame, x: str) -> DataFrame:
 
 
 def symmetric_uncertainty(df: DataFrame, x: str, y: str) -> DataFrame:
-    """2 * I(X; Y) / (H(X) + H(Y)); 0 if both are constant."""
+    """2 * I(X; Y) / (H(X) + H(Y)); 0 if both are constant. Rows where a code is null don't count."""
+    df = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     h = entropies(df, x).select(F.col("plugin").alias("hx")).crossJoin(entropies(df, y).select(F.col("plugin").alias("hy")))
     return mutual_information(df, x, y).crossJoin(h).select(F.coalesce(2 * F.col("mi") / F.nullif(F.col("hx") + F.col("hy"), F.lit(0.0)), F.lit(0.0)).alias("su"))
 
@@ -194,55 +231,89 @@ def m_estimate(df: DataFrame, value: str, k: float = 1.345, rounds: int = 20) ->
     return at
 
 
-def xi_correlation(df: DataFrame, x: str, y: str, key: str, parts: int = 64) -> DataFrame:
+def xi_correlation(df: DataFrame, x: str, y: str, key: str, parts: int | None = None) -> DataFrame:
     """Chatterjee's xi: 1 - n * sum |r(i + 1) - r(i)| / (2 * sum l (n - l)), rows in order of x (ties by key), r(i) the number of y at or
-    below, l at or above. Ranks come from counts of distinct values, summed in two levels so that no task holds all rows."""
+    below, l at or above. Rows with a null x or y don't count. Ranks come from counts of distinct values, summed in two levels so that
+    no task holds all rows; ranges of x meet at their ends only."""
+    df = kept_table(df.select(key, x, y).where(F.col(x).isNotNull() & F.col(y).isNotNull()))
     n = df.count()
-    rk = ranks_by_parts(df.select(key, x, y), y, parts)
-    ordered = position_by_parts(rk, [x, key], parts)
-    w = Window.partitionBy("_part").orderBy("_pos")
-    step = ordered.withColumn("_next", F.lead("_le").over(w))
-    ends = ordered.groupBy("_part").agg(F.min_by("_le", "_pos").alias("first"), F.max_by("_le", "_pos").alias("last"), F.min("_pos").alias("at"))
-    seams = ends.withColumn("next", F.lead("first").over(Window.orderBy("at"))).agg(F.sum(F.abs(F.col("next") - F.col("last"))).alias("s"))  # a row for each part
-    sums = step.agg(F.sum(F.abs(F.col("_next") - F.col("_le"))).alias("d"), F.sum(F.col("_ge") * (n - F.col("_ge"))).alias("l"))
-    return sums.crossJoin(seams).select((1 - n * (F.coalesce("d", F.lit(0)) + F.coalesce("s", F.lit(0))) / (2 * F.col("l"))).alias("xi"))
+    parts = parts or max(8, n // RANGE_ROWS)
+    order = F.struct(x, key)
+    ranked = ranks_by_parts(df, y, parts).withColumn("_part", _part(order, _cuts(df, order, parts)))
+    step = ranked.withColumn("_next", F.lead("_le").over(Window.partitionBy("_part").orderBy(x, key)))
+    own = step.groupBy("_part").agg(
+        F.sum(F.abs(F.col("_next") - F.col("_le"))).alias("d"), F.sum(F.col("_ge") * (n - F.col("_ge"))).alias("l"),
+        F.min_by("_le", order).alias("first"), F.max_by("_le", order).alias("last"),
+    )
+    seams = own.withColumn("s", F.abs(F.lead("first").over(Window.orderBy("_part")) - F.col("last")))  # a row for each part
+    return seams.agg((1 - n * (F.coalesce(F.sum("d"), F.lit(0)) + F.coalesce(F.sum("s"), F.lit(0))) / (2 * F.sum("l"))).alias("xi"))
+
+
+#: Rows that a range of a global order holds about; results never hang on how many ranges there are.
+RANGE_ROWS = 500_000
+
+
+def parts_of(df: DataFrame) -> int:
+    return max(8, df.count() // RANGE_ROWS)
 
 
-def _cuts(df: DataFrame, col: str, parts: int) -> list:
+def _cuts(df: DataFrame, col: str | Column, parts: int) -> list:
     """At most ``parts`` - 1 values that cut the column into ranges of about equal size; results never hang on where they lie."""
-    if dict(df.dtypes)[col] in ("double", "float", "bigint", "int", "smallint", "tinyint"):
-        return sorted(set(df.approxQuantile(col, [i / parts for i in range(1, parts)], 0.01)))
+    if isinstance(col, str) and dict(df.dtypes)[col] in ("double", "float", "bigint", "int", "smallint", "tinyint"):
+        return sorted(set(df.approxQuantile(col, [i / parts for i in range(1, parts)], 0.2 / parts)))
+    col = F.col(col) if isinstance(col, str) else col
     n = max(1, df.count())
-    drawn = [r[0] for r in df.select(col).where(F.col(col).isNotNull()).sample(min(1.0, 50 * parts / n), 1).orderBy(col).limit(100 * parts).collect()]
-    return sorted({drawn[len(drawn) * i // parts] for i in range(1, parts)}) if drawn else []
+    drawn = df.select(col.alias("c")).where("c is not null").sample(min(1.0, 50 * parts / n), 1).orderBy("c").limit(100 * parts).collect()
+    found: list = []
+    for i in range(1, parts) if drawn else ():
+        c = drawn[len(drawn) * i // parts][0]
+        if not found or found[-1] != c:
+            found.append(c)
+    return found
+
+
+def _literal(x) -> Column:
+    return F.struct(*(F.lit(v).alias(k) for k, v in x.asDict().items())) if isinstance(x, Row) else F.lit(x)
+
+
+def _part(col: str | Column, cuts: list) -> Column:
+    """The number of cuts at or below a value (0 for null), found by halving."""
+    col = F.col(col) if isinstance(col, str) else col
 
+    def halve(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(col >= _literal(cuts[mid]), halve(mid + 1, hi)).otherwise(halve(lo, mid))
 
-def _part(col: str, cuts: list) -> Column:
-    return sum((F.coalesce((F.col(col) >= F.lit(c)).cast("int"), F.lit(0)) for c in cuts), F.lit(0))
+    return halve(0, len(cuts))
 
 
-def ranks_by_parts(df: DataFrame, y: str, parts: int) -> DataFrame:
-    """``df`` with _le and _ge, the numbers of values at or below and at or above each row's."""
-    counts = df.groupBy(y).agg(F.count("*").alias("_c")).withColumn("_p", _part(y, _cuts(df, y, parts)))
+def ranks_by_parts(df: DataFrame, y: str, parts: int | None = None) -> DataFrame:
+    """``df`` with _le and _ge, the numbers of values at or below and at or above each row's; both null for a null, which counts nowhere."""
+    counts = df.where(F.col(y).isNotNull()).groupBy(y).agg(F.count("*").alias("_c"))
+    parts = parts or parts_of(df)
+    counts = counts.withColumn("_p", _part(y, _cuts(df, y, parts)))
     w = Window.partitionBy("_p").orderBy(y).rowsBetween(Window.unboundedPreceding, 0)
     whole = counts.groupBy("_p").agg(F.sum("_c").alias("_s"))
     before = whole.withColumn("_b", F.coalesce(F.sum("_s").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row for each part
     t = counts.withColumn("_u", F.sum("_c").over(w)).join(F.broadcast(before), "_p").crossJoin(whole.agg(F.sum("_s").alias("_all")))
     t = t.select(y, (F.col("_b") + F.col("_u")).alias("_le"), (F.col("_all") - F.col("_b") - F.col("_u") + F.col("_c")).alias("_ge"))
-    return df.join(t, y)
+    return df.join(t, y, "left")
 
 
-def position_by_parts(df: DataFrame, order: list[str], parts: int) -> DataFrame:
-    """``df`` with _part, by ranges of the first order column, and _pos, the position in that order."""
-    p = df.withColumn("_part", _part(order[0], _cuts(df, order[0], parts)))
+def position_by_parts(df: DataFrame, order: list[str], parts: int | None = None) -> DataFrame:
+    """``df`` with _part, by ranges of the order columns together, and _pos, the position in that order (nulls first)."""
+    key = F.struct(*order)
+    p = df.withColumn("_part", _part(key, _cuts(df, key, parts or parts_of(df))))
     sizes = p.groupBy("_part").agg(F.count("*").alias("_s"))
     before = sizes.select("_part", F.coalesce(F.sum("_s").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))  # a row for each part
     return p.withColumn("_r", F.row_number().over(Window.partitionBy("_part").orderBy(*order))).join(F.broadcast(before), "_part").withColumn("_pos", F.col("_b") + F.col("_r")).drop("_b", "_r")
 
 
-def running_by_parts(df: DataFrame, order: str, sums: dict[str, str], parts: int = 64, descending: bool = False) -> DataFrame:
+def running_by_parts(df: DataFrame, order: str, sums: dict[str, str], parts: int | None = None, descending: bool = False) -> DataFrame:
     """``df`` with running sums {name: column} along ``order``, which must not repeat: within ranges, set off by their totals."""
-    p = df.withColumn("_part", _part(order, _cuts(df, order, parts)) * (-1 if descending else 1))
+    p = df.withColumn("_part", _part(order, _cuts(df, order, parts or parts_of(df))) * (-1 if descending else 1))
     key = F.desc(order) if descending else F.asc(order)
     own = Window.partitionBy("_part").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
     up = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
@@ -252,10 +323,10 @@ def running_by_parts(df: DataFrame, order: str, sums: dict[str, str], parts: int
     return out.select(*df.columns, *((F.col(f"_r_{n}") + F.col(f"_b_{n}")).alias(n) for n in sums))
 
 
-def two_sample_ks(a: DataFrame, b: DataFrame, col: str, parts: int = 64) -> DataFrame:
+def two_sample_ks(a: DataFrame, b: DataFrame, col: str, parts: int | None = None) -> DataFrame:
     """Largest distance of the two distribution functions, and its asymptotic p-value (100 terms)."""
     t = a.groupBy(col).agg(F.count("*").alias("na")).join(b.groupBy(col).agg(F.count("*").alias("nb")), col, "full_outer").na.fill(0, ["na", "nb"]).where(F.col(col).isNotNull())
-    t = t.withColumn("_p", _part(col, _cuts(t, col, parts)))
+    t = t.withColumn("_p", _part(col, _cuts(a, col, parts or parts_of(a))))
     w = Window.partitionBy("_p").orderBy(col).rowsBetween(Window.unboundedPreceding, 0)
     sums = t.groupBy("_p").agg(F.sum("na").alias("sa"), F.sum("nb").alias("sb"))
     up = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
@@ -268,13 +339,29 @@ def two_sample_ks(a: DataFrame, b: DataFrame, col: str, parts: int = 64) -> Data
 
 
 def bootstrap_mean(df: DataFrame, value: str, key: str, replicates: int = 200, level: float = 0.95, seed: int = 0) -> DataFrame:
-    """(mean, low, high): percentile interval from Poisson-weighted replicates. Weights hang on a seeded hash of the key, so a row's
-    weights are the same in any partition; only one sum for each replicate is shuffled."""
-    u = lambda r: F.shiftrightunsigned(F.xxhash64(F.lit(seed), r, F.col(key)), 11) / float(1 << 53)
-    marks = [0.36787944, 0.73575888, 0.9196986, 0.98101184, 0.99634015, 0.99940582, 0.99991676]  # Poisson(1)'s distribution function
-    rows = df.select(key, value, F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("r"))
-    w = sum((u(F.col("r")) >= m).cast("int") for m in marks)
-    each = rows.groupBy("r").agg((F.sum(w * F.col(value)) / F.nullif(F.sum(w), F.lit(0))).alias("m"))
+    """(mean, low, high): percentile interval from Poisson-weighted replicates; nulls don't count. Weights hang on a seeded hash of the
+    key, so a row's weights are the same in any partition. One pass: a partition gives two sums for each replicate."""
+    import numpy as np
+    import pyarrow as pa
+
+    marks = np.array([0.36787944, 0.73575888, 0.9196986, 0.98101184, 0.99634015, 0.99940582, 0.99991676])  # Poisson(1)'s distribution function
+    turns = np.arange(1, replicates + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+
+    def sums(batches):
+        n, total = np.zeros(replicates), np.zeros(replicates)
+        for b in batches:
+            h, v = b["h"].to_numpy().view(np.uint64), b["v"].to_numpy()
+            for i in range(0, len(h), 4096):
+                x = h[i : i + 4096, None] + turns[None, :]
+                x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+                x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+                w = np.searchsorted(marks, ((x ^ (x >> np.uint64(31))) >> np.uint64(11)) / float(1 << 53), side="right")
+                n += w.sum(axis=0)
+                total += v[i : i + 4096] @ w
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(replicates)), pa.array(n), pa.array(total)], ["r", "n", "t"])
+
+    rows = df.where(F.col(value).isNotNull()).select(F.xxhash64(F.lit(seed), key).alias("h"), F.col(value).cast("double").alias("v"))
+    each = rows.mapInArrow(sums, "r bigint, n double, t double").groupBy("r").agg((F.sum("t") / F.nullif(F.sum("n"), F.lit(0.0))).alias("m"))
     lo, hi = F.percentile("m", F.lit((1 - level) / 2)), F.percentile("m", F.lit((1 + level) / 2))
     return df.agg(F.avg(value).alias("mean")).crossJoin(each.agg(lo.alias("low"), hi.alias("high")))
 

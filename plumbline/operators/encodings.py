@@ -37,7 +37,7 @@ def pseudo_groups(df: DataFrame, cols: list[Column], name: str = "pseudo_group")
 
     named = {f"_g{i}": c for i, c in enumerate(cols)}
     keys = df.select(*(c.alias(n) for n, c in named.items())).distinct()
-    numbered = position_by_parts(keys, list(named), 64).withColumn(name, F.col("_pos")).drop("_part", "_pos")
+    numbered = position_by_parts(keys, list(named)).withColumn(name, F.col("_pos")).drop("_part", "_pos")
     same = F.lit(True)
     left = df.withColumns(named)
     for n in named:

@@ -74,15 +74,8 @@ def fit_seasonal(df: DataFrame, phase: Column, y: str, periods: tuple[int, ...]
     return left["period"], each.where(F.col("period") == left["period"]).select("phase", "mean")
 
 
-def causal_residual(df: DataFrame, y: str, anchor: str) -> tuple[float, DataFrame]:
-    """Robust slope of y on an earlier value (median of ratios), drawn to 0.5 by n / (n + 20), within [0, 1]; and the residuals."""
-    med, n = df.where(F.col(anchor) != 0).agg(F.median(F.col(y) / F.nullif(anchor, F.lit(0.0))), F.count(y)).first()
-    k = min(1.0, max(0.0, (n * (med or 0.5) + 20 * 0.5) / (n + 20)))
-    return k, df.withColumn("residual", F.col(y) - F.lit(k) * F.col(anchor))
-
-
-def rank_ecdf(df: DataFrame, y: str, parts: int = 64) -> DataFrame:
-    """``df`` with u = (rows at or below - 0.5) / n: the plotting position of the last of equal values."""
+def rank_ecdf(df: DataFrame, y: str, parts: int | None = None) -> DataFrame:
+    """``df`` with u = (rows at or below - 0.5) / n: the plotting position of the last of equal values; null for a null, which doesn't count."""
     from .aggregates import ranks_by_parts
 
     n = df.where(F.col(y).isNotNull()).count()
@@ -140,6 +133,54 @@ def pairwise(scores: DataFrame) -> DataFrame:
     return d.groupBy("model").agg(F.sum(F.signum(margin)).cast("long").alias("copeland"), F.max(F.greatest(-margin, F.lit(0))).alias("minimax"), (F.min(margin) > 0).cast("int").alias("condorcet"))
 
 
+def copeland(scores: DataFrame) -> DataFrame:
+    """By model the four Copeland slices, from duels between all models by majority of tasks: lower (duels won), upper (less duels
+    lost), difference (won less lost) and lower_with_ties (won, ties as halves)."""
+    margin = F.col("won") - F.col("lost")
+    count = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))
+    won, lost, tied = count(margin > 0), count(margin < 0), count(margin == 0)
+    return _of_all(scores, duels(scores).groupBy("model").agg(won.alias("lower"), (-lost).alias("upper"), (won - lost).alias("difference"), (won + tied / 2).alias("lower_with_ties")))
+
+
+def minimax(scores: DataFrame) -> DataFrame:
+    """By model the least opposition, the worst duel's value with its sign turned: winning_votes (tasks lost, where the duel is lost),
+    margins (tasks lost less won) and pairwise_opposition (tasks lost)."""
+    d = duels(scores).withColumn("votes", F.when(F.col("lost") > F.col("won"), F.col("lost")).otherwise(F.lit(0)))
+    worst = d.groupBy("model").agg((-F.max("votes")).alias("winning_votes"), (-F.max(F.col("lost") - F.col("won"))).alias("margins"), (-F.max("lost")).alias("pairwise_opposition"))
+    return _of_all(scores, worst)
+
+
+def _of_all(scores: DataFrame, found: DataFrame) -> DataFrame:
+    """A lone model has no duels: 0 throughout."""
+    return scores.select("model").distinct().join(found, "model", "left").na.fill(0)
+
+
+def median_filled(scores: DataFrame, models: DataFrame | None = None) -> DataFrame:
+    """A partial table (task, model, score) made whole: a model without a score takes the task's median. Tasks without any score go."""
+    known = scores.where("score is not null")
+    models = (models or scores).select("model").distinct()
+    medians = known.groupBy("task").agg(F.percentile("score", F.lit(0.5)).alias("_m"))
+    grid = medians.join(models, how="cross")  # a row for each task and model: the table itself
+    return grid.join(known, ["task", "model"], "left").select("task", "model", F.coalesce("score", "_m").alias("score"))
+
+
+def optimality_gap(scores: DataFrame, gamma: float) -> DataFrame:
+    """(model, optimality_gap): mean of min(score, gamma) - gamma."""
+    return scores.groupBy("model").agg(F.avg(F.least("score", F.lit(gamma)) - gamma).alias("optimality_gap"))
+
+
+def threshold_winners(scores: DataFrame) -> DataFrame:
+    """(model) left after rounds for the worst place, the second worst and so on, each of which keeps the models that take the place
+    in fewest tasks; ties share the worse place. The places taken by each model are counted once: models x places."""
+    taken = placings(scores).groupBy("model", "place").agg(F.count("*").alias("times")).collect()
+    left = {r["model"] for r in taken}
+    times = {(r["model"], r["place"]): r["times"] for r in taken}
+    for place in range(len(left), 1, -1):
+        least = min(times.get((m, place), 0) for m in left)
+        left = {m for m in left if times.get((m, place), 0) == least}
+    return scores.sparkSession.createDataFrame([(m,) for m in sorted(left)], "model string")
+
+
 def baldwin(scores: DataFrame) -> list[str]:
     """Winners left after the models of least Borda count are struck off again and again. A job a round; models are few."""
     left = scores

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+from itertools import product
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.shared import shared_dir
+from ..sources.shared import kept_table
 
 #: Rows up to which a lookup table is broadcast; a larger one is joined by shuffle.
 SMALL = 100_000
@@ -63,19 +66,25 @@ def nearest_rows(queries: DataFrame, rows: DataFrame, vec: str, key: str, k: int
 
         def part(batches, shipped=shipped):
             ids, q = shipped.value
-            best: list = [(np.empty(0), np.empty(0, np.int64))] * len(ids)
+            best_d, best_i = np.full((len(ids), k), np.inf), np.full((len(ids), k), np.iinfo(np.int64).max)
             for batch in batches:
-                if not len(ids) or not len(batch):
-                    continue
-                v, at = np.array(batch[vec].tolist(), float), batch[key].to_numpy(np.int64)
-                for i in range(len(ids)):
-                    d = np.sqrt(((v - q[i]) ** 2).sum(axis=1))
-                    use = at != ids[i]
-                    d, w = np.concatenate([best[i][0], d[use]]), np.concatenate([best[i][1], at[use]])
-                    top = np.lexsort([w, d])[:k]
-                    best[i] = d[top], w[top]
-            out = [(int(ids[i]), int(w), float(d)) for i in range(len(ids)) for d, w in zip(*best[i], strict=True)]
-            yield pd.DataFrame(out, columns=["query", "neighbour", "distance"])
+                for i in range(0, len(batch) if len(ids) else 0, 2048):
+                    some = batch.iloc[i : i + 2048]
+                    v, at = np.array(some[vec].tolist(), float), some[key].to_numpy(np.int64)
+                    square = (q * q).sum(axis=1)[:, None] + (v * v).sum(axis=1)[None, :] - 2 * (q @ v.T)
+                    square[ids[:, None] == at[None, :]] = np.inf
+                    # a little more than the products' rounding is let through; what is let through is measured term by term
+                    limit = np.minimum(best_d[:, -1], np.sqrt(np.maximum(np.partition(square, min(k, len(at)) - 1, axis=1)[:, min(k, len(at)) - 1], 0)) if len(at) >= k else np.inf)
+                    slack = 1e-9 * ((q * q).sum(axis=1).max(initial=0) + (v * v).sum(axis=1).max(initial=0))
+                    near, col = np.nonzero((square <= (limit * limit)[:, None] + slack) & np.isfinite(square))
+                    d = np.sqrt(((v[col] - q[near]) ** 2).sum(axis=1))
+                    for r in np.unique(near):
+                        own = near == r
+                        dist, who = np.concatenate([best_d[r], d[own]]), np.concatenate([best_i[r], at[col[own]]])
+                        top = np.lexsort([who, dist])[:k]
+                        best_d[r], best_i[r] = dist[top], who[top]
+            at, col = np.nonzero(np.isfinite(best_d))
+            yield pd.DataFrame({"query": ids[at], "neighbour": best_i[at, col], "distance": best_d[at, col]})
 
         got = rows.select(key, vec).mapInPandas(part, "query bigint, neighbour bigint, distance double")
         found = got if found is None else found.unionByName(got)
@@ -84,18 +93,47 @@ def nearest_rows(queries: DataFrame, rows: DataFrame, vec: str, key: str, k: int
 
 
 def connected(edges: DataFrame, nodes: DataFrame, node: str) -> DataFrame:
-    """``nodes`` with the least node that each is connected with, by spreading labels along edges (a, b) until none changes."""
-    shared_dir(nodes.sparkSession)
-    links = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
-    labels = nodes.select(F.col(node).alias("node"), F.col(node).alias("label")).distinct().checkpoint()
+    """``nodes`` with the least node that each is connected with. Labels spread along edges (a, b) and jump to their label's label, so a
+    chain takes rounds in the logarithm of its length. Edges' ends that aren't in ``nodes`` link their neighbours all the same."""
+    links = edges.select("a", "b").where("a is not null and b is not null and a != b")
+    links = kept_table(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    own = nodes.select(F.col(node).alias("node")).where(F.col(node).isNotNull())
+    labels = kept_table(own.unionByName(links.select(F.col("a").alias("node"))).distinct().withColumn("label", F.col("node")))
     while True:
         near = links.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("near"))
-        fresh = labels.join(near, F.col("node") == F.col("a"), "left").select("node", F.col("label").alias("old"), F.least("label", F.coalesce("near", "label")).alias("label")).checkpoint()
+        low = labels.join(near, F.col("node") == F.col("a"), "left").select("node", F.col("label").alias("old"), F.least("label", F.coalesce("near", "label")).alias("label"))
+        top = labels.select(F.col("node").alias("label"), F.col("label").alias("top"))
+        fresh = kept_table(low.join(top, "label").select("node", "old", F.least("label", "top").alias("label")))
         if fresh.where("label != old").isEmpty():
-            return fresh.select(F.col("node").alias(node), F.col("label").alias("group"))
+            return own.distinct().join(fresh, "node").select(F.col("node").alias(node), F.col("label").alias("group"))
         labels = fresh.drop("old")
 
 
+def radius_groups(df: DataFrame, key: str, coordinates: list[str], radius: float) -> DataFrame:
+    """(key, group): rows whose coordinates are within ``radius`` (Euclidean), linked through others or not, named by their least key.
+
+    Rows of equal coordinates are one point. Points fall into the cells of a grid whose diagonal is the radius, so a cell's points are
+    one group; cells are linked if two of their points are, which the distances of the points of cells near each other tell.
+    Rows with a null coordinate are in no group.
+    """
+    n, side = len(coordinates), radius / len(coordinates) ** 0.5
+    known = df.select(key, *(F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(coordinates))).na.drop()
+    xs = [f"x{i}" for i in range(n)]
+    cells = [f"c{i}" for i in range(n)]
+    points = known.groupBy(*xs).agg(F.min(key).alias("p")).withColumns({c: F.floor(F.col(x) / side) for c, x in zip(cells, xs, strict=True)})
+    points = kept_table(points)
+    points = kept_table(points.join(points.groupBy(*cells).agg(F.min("p").alias("cell")), cells))
+    reach = math.ceil(n**0.5)  # cells of this side that a radius can span
+    moves = [m for m in product(range(-reach, reach + 1), repeat=n) if m > (0,) * n]
+    step = F.explode(F.array(*(F.struct(*(F.lit(v).alias(f"m{i}") for i, v in enumerate(m))) for m in moves)))
+    a = points.select(F.col("cell").alias("a"), *(F.col(x).alias(f"a{i}") for i, x in enumerate(xs)), *cells, step.alias("m"))
+    a = a.select("a", *(f"a{i}" for i in range(n)), *((F.col(c) + F.col(f"m.m{i}")).alias(c) for i, c in enumerate(cells)))
+    gap = sum((F.col(f"a{i}") - F.col(f"x{i}")) * (F.col(f"a{i}") - F.col(f"x{i}")) for i in range(n))
+    near = a.join(points.withColumnRenamed("cell", "b"), cells).where(gap <= radius * radius).select("a", "b").distinct()
+    groups = connected(near, points.select("cell"), "cell")
+    return known.join(points.select(*xs, "cell"), xs).join(groups, "cell").select(key, "group")
+
+
 def fuzzy_groups(df: DataFrame, key: str, prefix: int = 3, distance: int = 1) -> DataFrame:
     """Distinct keys and the least key of their group: keys of one prefix within a Levenshtein distance are linked, transitively."""
     keys = df.select(key).where(F.col(key).isNotNull()).distinct()
@@ -108,11 +146,11 @@ def fuzzy_groups(df: DataFrame, key: str, prefix: int = 3, distance: int = 1) ->
 def sibling_fill(df: DataFrame, group: str, order: str, value: str, key: str) -> DataFrame:
     """``value`` filled, where null, by the last known of its group in order, else by that of the nearest earlier group that has
     one, else by the mean of all."""
-    from .aggregates import _cuts, _part
+    from .aggregates import _cuts, _part, parts_of
 
     known = df.groupBy(group).agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.struct(order, key))).alias("_last"))
     # groups are filled within ranges, then from the ranges before
-    known = known.withColumn("_part", _part(group, _cuts(df, group, 64)))
+    known = known.withColumn("_part", _part(group, _cuts(df, group, parts_of(df))))
     ends = known.where(F.col("_last").isNotNull()).groupBy("_part").agg(F.max_by("_last", group).alias("_end"))
     ends = known.select("_part").distinct().join(ends, "_part", "left")
     ends = ends.select("_part", F.last("_end", ignorenulls=True).over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)).alias("_carry"))  # a row for each part

@@ -46,7 +46,7 @@ def _placed(df: DataFrame, s: str, key: str, bins: int) -> DataFrame:
     from .aggregates import position_by_parts
 
     n = df.count()
-    placed = position_by_parts(df.withColumn("_s", -F.col(s)), ["_s", key], 64).withColumn("_i", F.col("_pos") - 1)
+    placed = position_by_parts(df.withColumn("_s", -F.col(s)), ["_s", key]).withColumn("_i", F.col("_pos") - 1)
     return placed.withColumn("bin", sum((F.col("_i") >= (n * b) // bins).cast("int") for b in range(1, bins))).drop("_s", "_part", "_pos")
 
 
@@ -65,7 +65,7 @@ def hosmer_lemeshow(df: DataFrame, y: str, p: str, key: str, groups: int = 10) -
 
     n = df.count()
     size, extra = n // groups, n % groups
-    t = position_by_parts(df, [p, key], 64)
+    t = position_by_parts(df, [p, key])
     g = F.greatest(F.floor((F.col("_pos") - 1 - extra) / max(1, size)), F.lit(0))
     t = t.withColumn("g", g).groupBy("g").agg(F.count("*").alias("n"), F.sum(y).alias("o"), F.sum(p).alias("e"))
     v = F.col("e") * (1 - F.col("e") / F.col("n"))
@@ -173,6 +173,11 @@ def wilson(successes: Column, n: Column, z: float = 1.959963984540054) -> tuple[
     return centre - half, centre + half
 
 
+def required_n(p: Column, half_width: float, z: float = 1.959963984540054) -> Column:
+    """Rows that a proportion ``p`` needs for an interval of +- ``half_width``."""
+    return F.ceil(z * z * p * (1 - p) / (half_width * half_width))
+
+
 def two_proportion_z(s1: Column, n1: Column, s2: Column, n2: Column) -> Column:
     p = (s1 + s2) / (n1 + n2)
     return _safe(s1 / n1 - s2 / n2, F.sqrt(p * (1 - p) * (1 / n1 + 1 / n2)))
@@ -239,13 +244,13 @@ def distribution_drift(a: DataFrame, b: DataFrame, col: str, bins: int = 10, flo
     return t.agg(F.sum((q - p) * F.log(q / p)).alias("psi"), F.sum(q * F.log(q / p)).alias("kl"), F.sum((p * F.log(p / m) + q * F.log(q / m)) / 2).alias("js"))
 
 
-def wasserstein(a: DataFrame, b: DataFrame, col: str, parts: int = 64) -> DataFrame:
+def wasserstein(a: DataFrame, b: DataFrame, col: str, parts: int | None = None) -> DataFrame:
     """Wasserstein-1 distance: the area between the two distribution functions. Distinct values are summed in ranges, set off by the
     ranges' totals."""
-    from .aggregates import _cuts, _part
+    from .aggregates import _cuts, _part, parts_of
 
     t = a.groupBy(col).agg(F.count("*").alias("na")).join(b.groupBy(col).agg(F.count("*").alias("nb")), col, "full_outer").na.fill(0, ["na", "nb"]).where(F.col(col).isNotNull())
-    t = t.withColumn("_p", _part(col, _cuts(t, col, parts)))
+    t = t.withColumn("_p", _part(col, _cuts(a, col, parts or parts_of(a))))
     sums = t.groupBy("_p").agg(F.sum("na").alias("sa"), F.sum("nb").alias("sb"), F.min(col).alias("lo"))
     over = Window.orderBy("_p")
     up = over.rowsBetween(Window.unboundedPreceding, -1)

@@ -184,10 +184,10 @@ def outlier_bounds(read):
 
 
 @query(
-    """WITH e AS (SELECT min(o_totalprice) AS a, max(o_totalprice) AS b, min(o_custkey) AS c, max(o_custkey) AS d FROM orders WHERE o_orderdate < '1995-02-01')
+    """WITH e AS (SELECT min(o_totalprice) AS a, max(o_totalprice) AS b, min(o_custkey) AS c, max(o_custkey) AS d FROM orders WHERE o_orderdate < '1999-01-01')
        SELECT o_orderkey, ((o_totalprice < a OR o_totalprice > b)::INT + (o_custkey < c OR o_custkey > d)::INT) / 2 AS out_share FROM orders, e WHERE o_orderdate >= '1999-01-01'""",
     "out_share",
 )
 def out_of_range_share(read):
     o = read("orders")
-    return C.out_of_range_share(o.where("o_orderdate < '1995-02-01'"), o.where("o_orderdate >= '1999-01-01'"), ["o_totalprice", "o_custkey"]).select("o_orderkey", "out_share")
+    return C.out_of_range_share(o.where("o_orderdate < '1999-01-01'"), o.where("o_orderdate >= '1999-01-01'"), ["o_totalprice", "o_custkey"]).select("o_orderkey", "out_share")

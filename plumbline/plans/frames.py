@@ -44,13 +44,13 @@ def target_transforms(read):
     return rows.select("l_orderkey", "l_linenumber", P.linear_forward(y, b, p).alias("residual"), P.log_ratio_forward(y, b).alias("log_ratio"), P.asinh_forward(y, 30000.0, 1000.0).alias("scaled"))
 
 
-@query("SELECT max(abs(0.0)) AS worst FROM orders", "worst", 4)
+@query("SELECT l_orderkey, l_linenumber, l_extendedprice AS linear, l_extendedprice AS log_ratio, l_extendedprice AS scaled FROM lineitem", "linear log_ratio scaled", 4)
 def transform_inverses(read):
     rows = read("lineitem")
     y, b = F.col("l_extendedprice"), F.col("l_quantity")
     p = P.fit_linear(rows, "l_extendedprice", "l_quantity")
     back = [P.linear_inverse(P.linear_forward(y, b, p), b, p), P.log_ratio_inverse(P.log_ratio_forward(y, b), b), P.asinh_inverse(P.asinh_forward(y, 30000.0, 1000.0), 30000.0, 1000.0)]
-    return rows.agg(F.max(F.greatest(*(F.abs(y - v) for v in back))).alias("worst"))
+    return rows.select("l_orderkey", "l_linenumber", *(v.alias(n) for v, n in zip(back, ("linear", "log_ratio", "scaled"), strict=True)))
 
 
 @query("SELECT o_orderkey, o_totalprice - 2 * lag(o_totalprice) OVER w + lag(o_totalprice, 2) OVER w AS second FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)", "second")
@@ -84,14 +84,6 @@ def gaussian_copula(read):
     return P.rank_ecdf(read("orders"), "o_totalprice").select("o_orderkey", P.normal_score(F.col("u")).alias("z"))
 
 
-@query()
-def causal_residual(read):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
-    return P.causal_residual(read("orders").withColumn("anchor", F.lag("o_totalprice").over(w)), "o_totalprice", "anchor")[1].select("o_orderkey", "residual")
-
-
 _SCORES = "(SELECT year(o_orderdate) AS task, o_orderpriority AS model, sum(o_totalprice) AS score FROM orders GROUP BY 1, 2)"
 
 
@@ -164,18 +156,21 @@ def constant_columns(read):
 
 
 @query(
-    """WITH h AS (SELECT l_returnflag AS k1, l_linestatus AS k2, l_linenumber AS k3, l_suppkey % 5 AS k4, l_quantity AS metric, l_linenumber AS n_obs, l_shipdate AS ts FROM lineitem WHERE l_orderkey <= 500),
+    """WITH h AS (SELECT l_returnflag AS k1, l_linestatus AS k2, l_linenumber AS k3, l_suppkey % 5 AS k4, l_quantity AS metric, l_linenumber AS n_obs, l_shipdate AS ts FROM lineitem),
        x AS (SELECT *, unnest(range(n_obs)) FROM h) SELECT k1, k2, k3, k4, median(metric) AS metric, count(*) AS n_obs, max(ts) AS ts FROM x GROUP BY ALL""",
     "metric",
 )
 def store_fold(read):
-    h = read("lineitem").where("l_orderkey <= 500").select(F.col("l_returnflag").alias("k1"), F.col("l_linestatus").alias("k2"), F.col("l_linenumber").alias("k3"), (F.col("l_suppkey") % 5).alias("k4"), F.col("l_quantity").alias("metric"), F.col("l_linenumber").alias("n_obs"), F.col("l_shipdate").alias("ts"))
+    h = read("lineitem").select(F.col("l_returnflag").alias("k1"), F.col("l_linestatus").alias("k2"), F.col("l_linenumber").alias("k3"), (F.col("l_suppkey") % 5).alias("k4"), F.col("l_quantity").alias("metric"), F.col("l_linenumber").alias("n_obs"), F.col("l_shipdate").alias("ts"))
     return files.fold_observations(h, ["k1", "k2", "k3", "k4"], ["metric"])
 
 
-@query("SELECT split_part(text, ' ', 1) AS word, CAST(len(string_split(text, ' ')) - 1 AS INTEGER) AS width FROM benchmark WHERE text LIKE '% %'")
+@query("SELECT 'v' || vec_id AS word, CAST(len(embedding) AS INTEGER) AS width, round(list_sum(embedding::DOUBLE[]), 4) AS total, round(embedding[1]::DOUBLE, 4) AS first FROM embeddings", places=4)
 def vector_text(read):
-    return files.parse_vectors(read("benchmark").select(F.col("text").alias("value"))).select("word", F.size("vector").alias("width"))
+    lines = read("embeddings").select(F.concat_ws(" ", F.concat(F.lit("v"), "vec_id"), F.transform("embedding", lambda x: x.cast("string"))).alias("value"))
+    v = files.parse_vectors(lines)
+    total = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double"))
+    return v.select("word", F.size("vector").alias("width"), total.alias("total"), F.col("vector")[0].cast("double").alias("first"))
 
 
 @query()

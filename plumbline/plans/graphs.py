@@ -8,14 +8,15 @@ from ..operators import graphs as G
 from ..operators.joins import connected
 from .registry import query
 
-_E = "(SELECT l_suppkey AS a, l_orderkey % 97 + 1000 AS b FROM lineitem WHERE l_orderkey <= 1500 AND l_suppkey <= 60)"
-_U = f"WITH u AS (SELECT DISTINCT a AS s, b AS d FROM {_E} UNION SELECT DISTINCT b, a FROM {_E} UNION SELECT DISTINCT l_suppkey, l_suppkey % 10 + 1 FROM lineitem WHERE l_suppkey <= 60 AND l_suppkey <> l_suppkey % 10 + 1 UNION SELECT DISTINCT l_suppkey % 10 + 1, l_suppkey FROM lineitem WHERE l_suppkey <= 60 AND l_suppkey <> l_suppkey % 10 + 1)"
+_E = "(SELECT l_suppkey AS a, l_orderkey % 97 + 1000000000 AS b FROM lineitem)"
+_U = f"WITH u AS (SELECT DISTINCT a AS s, b AS d FROM {_E} UNION SELECT DISTINCT b, a FROM {_E} UNION SELECT DISTINCT l_suppkey, l_suppkey % 10 + 1 FROM lineitem WHERE l_suppkey <> l_suppkey % 10 + 1 UNION SELECT DISTINCT l_suppkey % 10 + 1, l_suppkey FROM lineitem WHERE l_suppkey <> l_suppkey % 10 + 1)"
 
 
 def edges(read):
-    x = read("lineitem").where("l_suppkey <= 60")
-    a = x.where("l_orderkey <= 1500").select(F.col("l_suppkey").alias("src"), (F.col("l_orderkey") % 97 + 1000).alias("dst"))
-    return a.unionByName(x.select(F.col("l_suppkey").alias("src"), (F.col("l_suppkey") % 10 + 1).alias("dst"))).distinct()
+    """Suppliers and buckets of orders, and suppliers among each other: whole tables."""
+    pair = lambda b: F.struct(F.col("l_suppkey").cast("bigint").alias("src"), b.cast("bigint").alias("dst"))
+    both = F.explode(F.array(pair(F.col("l_orderkey") % 97 + 1000000000), pair(F.col("l_suppkey") % 10 + 1)))
+    return read("lineitem").select(both.alias("e")).select("e.*").distinct()
 
 
 @query(
@@ -33,14 +34,14 @@ def neighbour_aggregate(read):
 
 
 @query(
-    f"""{_U}, g AS (SELECT s, count(*) AS d FROM u GROUP BY 1), p AS (SELECT s_suppkey AS a, s_suppkey + 1 AS b FROM supplier WHERE s_suppkey < 60),
+    f"""{_U}, g AS (SELECT s, count(*) AS d FROM u GROUP BY 1), p AS (SELECT s_suppkey AS a, s_suppkey + 1 AS b FROM supplier),
         c AS (SELECT a, b, count(*) AS n, sum(1 / ln(g.d)) AS aa, sum(1 / g.d) AS ra FROM p JOIN u x ON x.s = a JOIN u y ON y.s = b AND y.d = x.d JOIN g ON g.s = x.d GROUP BY 1, 2)
         SELECT p.a, p.b, coalesce(n, 0) AS common, coalesce(coalesce(n, 0) / nullif(coalesce(ga.d, 0) + coalesce(gb.d, 0) - coalesce(n, 0), 0), 0) AS jaccard, coalesce(ga.d, 0) * coalesce(gb.d, 0) AS attachment, coalesce(aa, 0) AS adamic_adar, coalesce(ra, 0) AS allocation
         FROM p LEFT JOIN c ON p.a = c.a AND p.b = c.b LEFT JOIN g ga ON ga.s = p.a LEFT JOIN g gb ON gb.s = p.b""",
     "jaccard adamic_adar allocation",
 )
 def link_prediction(read):
-    pairs = read("supplier").where("s_suppkey < 60").select(F.col("s_suppkey").alias("a"), (F.col("s_suppkey") + 1).alias("b"))
+    pairs = read("supplier").select(F.col("s_suppkey").alias("a"), (F.col("s_suppkey") + 1).alias("b"))
     return G.link_prediction(edges(read), pairs)
 
 
@@ -76,7 +77,7 @@ def oof_neighbours(read):
 
 
 @query(
-    """WITH a AS (SELECT vec_id AS t, embedding AS tv, label AS ty FROM embeddings WHERE vec_id % 25 = 0), b AS (SELECT * FROM embeddings WHERE vec_id % 25 <> 0), n AS (SELECT count(*) AS n FROM b),
+    """WITH a AS (SELECT vec_id AS t, embedding AS tv, label AS ty FROM embeddings WHERE vec_id % 20 = 0), b AS (SELECT * FROM embeddings WHERE vec_id % 20 <> 0), n AS (SELECT count(*) AS n FROM b),
        p AS (SELECT t, vec_id, (label = ty)::INT AS hit, row_number() OVER (PARTITION BY t ORDER BY list_sum(list_transform(list_zip(tv, embedding), lambda p: pow(CAST(p[1] AS DOUBLE) - CAST(p[2] AS DOUBLE), 2))), vec_id) AS i FROM a, b),
        s AS (SELECT *, lead(hit) OVER (PARTITION BY t ORDER BY i) AS nx FROM p), v AS (SELECT vec_id, sum(CASE WHEN nx IS NULL THEN hit / n ELSE (hit - nx) / 5 * least(5, i) / i END) OVER (PARTITION BY t ORDER BY i DESC) AS s FROM s, n)
        SELECT vec_id, avg(s) AS value FROM v GROUP BY 1""",
@@ -85,7 +86,7 @@ def oof_neighbours(read):
 )
 def knn_shapley(read):
     v = read("embeddings")
-    return G.knn_shapley(v.where("vec_id % 25 != 0"), v.where("vec_id % 25 = 0"), "vec_id", "embedding", "label")
+    return G.knn_shapley(v.where("vec_id % 20 != 0"), v.where("vec_id % 20 = 0"), "vec_id", "embedding", "label")
 
 
 @query(
@@ -101,5 +102,8 @@ def adversarial_validation(read):
 
 @query()
 def spectral_gap(read):
-    e = edges(read)
-    return G.spectral(e.withColumn("part", F.col("src") % 5), "part")
+    """The gap of each connected component of the graph in which nations supply their neighbours by number."""
+    n = read("supplier").select((F.col("s_nationkey") * 7).alias("src"), (F.col("s_nationkey") * 7 + 1 + F.col("s_suppkey") % 3).alias("dst")).distinct()
+    e = G.undirected(n)
+    groups = connected(e.select(F.col("src").alias("a"), F.col("dst").alias("b")), e.select("src").distinct(), "src")
+    return G.spectral(e.join(groups, "src").select("group", "src", "dst"), "group")

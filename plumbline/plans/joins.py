@@ -103,31 +103,39 @@ def affiliation_edges(read):
 @query(
     """WITH d AS (SELECT q.vec_id AS query, r.vec_id AS neighbour,
          sqrt(list_sum(list_transform(list_zip(q.embedding, r.embedding), lambda p: pow(CAST(p[1] AS DOUBLE) - CAST(p[2] AS DOUBLE), 2)))) AS distance
-         FROM embeddings q JOIN embeddings r ON q.vec_id <> r.vec_id WHERE q.vec_id % 50 = 0),
+         FROM embeddings q JOIN embeddings r ON q.vec_id <> r.vec_id WHERE q.vec_id % 20 = 0),
        o AS (SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY distance, neighbour) AS INTEGER) AS rank FROM d)
        SELECT query, neighbour, distance, rank, 1 / (1 + distance) AS weight FROM o WHERE rank <= 5""",
     "distance weight",
 )
 def knn_topk(read):
     v = read("embeddings")
-    return joins.nearest_rows(v.where("vec_id % 50 = 0"), v, "embedding", "vec_id", 5)
+    return joins.nearest_rows(v.where("vec_id % 20 = 0"), v, "embedding", "vec_id", 5)
 
 
 @query(
-    """WITH RECURSIVE k AS (SELECT DISTINCT substr(p_name, 1, 12) AS k FROM part WHERE p_partkey <= 600), e AS (
-         SELECT a.k AS a, b.k AS b FROM k a JOIN k b ON substr(a.k, 1, 6) = substr(b.k, 1, 6) AND a.k <> b.k AND levenshtein(a.k, b.k) <= 1),
+    """WITH RECURSIVE k AS (SELECT DISTINCT p_name AS k FROM part), e AS (
+         SELECT a.k AS a, b.k AS b FROM k a JOIN k b ON substr(a.k, 1, 6) = substr(b.k, 1, 6) AND a.k <> b.k AND abs(length(a.k) - length(b.k)) <= 2 AND levenshtein(a.k, b.k) <= 2),
        r AS (SELECT k, k AS g FROM k UNION SELECT e.b, r.g FROM r JOIN e ON r.k = e.a)
-       SELECT k AS name, min(g) AS "group" FROM r GROUP BY 1""",
+       SELECT k AS p_name, min(g) AS "group" FROM r GROUP BY 1""",
 )
 def fuzzy_keys(read):
-    return joins.fuzzy_groups(read("part").where("p_partkey <= 600").select(F.substring("p_name", 1, 12).alias("name")), "name", 6, 1)
+    return joins.fuzzy_groups(read("part"), "p_name", 6, 2)
 
 
-@query("SELECT l_orderkey, l_linenumber, dense_rank() OVER (ORDER BY round(l_quantity), round(l_discount, 2), l_returnflag) AS pseudo_group FROM lineitem WHERE l_orderkey <= 2000")
-def radius_linkage(read):
+@query("SELECT l_orderkey, l_linenumber, dense_rank() OVER (ORDER BY round(l_quantity), round(l_discount, 2), l_returnflag) AS pseudo_group FROM lineitem")
+def rounded_groups(read):
     from ..operators.encodings import pseudo_groups
 
-    return pseudo_groups(read("lineitem").where("l_orderkey <= 2000"), [F.round("l_quantity"), F.round("l_discount", 2), F.col("l_returnflag")]).select("l_orderkey", "l_linenumber", "pseudo_group")
+    return pseudo_groups(read("lineitem"), [F.round("l_quantity"), F.round("l_discount", 2), F.col("l_returnflag")]).select("l_orderkey", "l_linenumber", "pseudo_group")
+
+
+@query(
+    """WITH o AS (SELECT o_orderkey, o_totalprice AS x, CASE WHEN o_totalprice - lag(o_totalprice) OVER (ORDER BY o_totalprice) <= 0.75 THEN 0 ELSE 1 END AS new FROM orders),
+       g AS (SELECT o_orderkey, sum(new) OVER (ORDER BY x) AS g FROM o) SELECT o_orderkey, min(o_orderkey) OVER (PARTITION BY g) AS "group" FROM g"""
+)
+def radius_linkage(read):
+    return joins.radius_groups(read("orders"), "o_orderkey", ["o_totalprice"], 0.75)
 
 
 @query(

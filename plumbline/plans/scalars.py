@@ -157,11 +157,11 @@ def quantile_uncross(read):
 
 
 @query(
-    """WITH p AS (SELECT l_suppkey AS k, list(DISTINCT l_partkey % 50) AS s FROM lineitem WHERE l_suppkey <= 20 GROUP BY 1), x AS (SELECT a.k AS a, b.k AS b, len(list_intersect(a.s, b.s))::DOUBLE AS n, len(a.s) AS na, len(b.s) AS nb FROM p a JOIN p b ON b.k = a.k + 1)
+    """WITH p AS (SELECT l_suppkey AS k, list(DISTINCT l_partkey % 50) AS s FROM lineitem GROUP BY 1), x AS (SELECT a.k AS a, b.k AS b, len(list_intersect(a.s, b.s))::DOUBLE AS n, len(a.s) AS na, len(b.s) AS nb FROM p a JOIN p b ON b.k = a.k + 1)
        SELECT a, b, n / (na + nb - n) AS jaccard, 2 * n / (na + nb) AS dice, n / least(na, nb) AS overlap, n / greatest(na, nb) AS braun_blanquet, n / sqrt(na * nb) AS ochiai, (n / na + n / nb) / 2 AS kulczynski, n / (n + 0.5 * (na - n) + 0.5 * (nb - n)) AS tversky FROM x""",
     "jaccard dice overlap braun_blanquet ochiai kulczynski tversky",
 )
 def set_similarity(read):
-    p = read("lineitem").where("l_suppkey <= 20").groupBy("l_suppkey").agg(F.collect_set(F.col("l_partkey") % 50).alias("s"))
+    p = read("lineitem").groupBy("l_suppkey").agg(F.collect_set(F.col("l_partkey") % 50).alias("s"))
     a, b = p.select(F.col("l_suppkey").alias("a"), F.col("s").alias("sa")), p.select(F.col("l_suppkey").alias("b"), F.col("s").alias("sb"))
     return a.join(b, F.col("b") == F.col("a") + 1).select("a", "b", *(c.alias(n) for n, c in S.set_similarities(F.col("sa"), F.col("sb")).items()))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -18,3 +18,9 @@ def shared_dir(spark: SparkSession) -> str:
     if not context.getCheckpointDir():
         context.setCheckpointDir(found)
     return found.rstrip("/")
+
+
+def kept_table(df: DataFrame) -> DataFrame:
+    """``df`` computed once and checkpointed in the shared folder, where it outlives lost executors; Spark's cleaner deletes it."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint()
