@@ -186,3 +186,20 @@ def stream_windows(read):
 @query("SELECT user_id, count(*) AS n, sum(value) / count(*) AS mean FROM events GROUP BY 1", "mean", 9)
 def stream_running_mean(read):
     return stream.run_batchwise(read("events"), stream.running_mean, "update", keys=["user_id"])
+
+
+@query(
+    f"""SELECT event_type, {_BUCKET.format('1 DAY')} AS start, count(*) AS n, sum(value) AS total FROM events WHERE ts >= TIMESTAMP '2024-01-11' GROUP BY 1, 2
+        HAVING {_BUCKET.format('1 DAY')} + INTERVAL 2 DAY <= (SELECT max(ts) FROM events)""",
+    "total",
+    5,
+)
+def stream_late_rows(read):
+    """Rows before the eleventh come after all others, so later than the watermark allows: they are dropped."""
+    e, cut = read("events"), F.lit("2024-01-11").cast("timestamp_ntz")
+    return stream.run_in_turn([e.where(F.col("ts") >= cut), e.where(F.col("ts") < cut)], stream.windowed)
+
+
+@query()
+def stream_ewma(read):
+    return stream.run_batchwise(read("events"), stream.running_ewma, "update", keys=["user_id"])

@@ -14,7 +14,8 @@ from ..sources.shared import shared_dir
 
 
 def windowed(events: DataFrame, late: str = "1 day", every: str = "1 day") -> DataFrame:
-    """Count and sum by type and window; rows later than ``late`` behind the newest are dropped when windows close."""
+    """Count and sum by type and window, with a watermark ``late`` behind the newest time. In append and update mode, rows of windows that
+    the watermark has passed are dropped; in complete mode no row is."""
     w = F.window("ts", every)
     out = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy("event_type", w.alias("w")).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
     return out.select("event_type", F.col("w.start").cast("timestamp_ntz").alias("start"), "n", "total")
@@ -33,6 +34,34 @@ def running_mean(events: DataFrame) -> DataFrame:
     return events.groupBy("user_id").applyInPandasWithState(step, "user_id bigint, n bigint, mean double", "n bigint, total double", "update", GroupStateTimeout.NoTimeout)
 
 
+def running_ewma(events: DataFrame, alpha: float = 0.2) -> DataFrame:
+    """(user_id, n, ewma) after each trigger: alpha * value + (1 - alpha) * ewma along a user's rows by time, from the first value on. The
+    state is two numbers a user; rows that come in a later trigger count as later."""
+
+    def step(key, batches, state: GroupState):
+        n, at = state.get if state.exists else (0, 0.0)
+        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"], kind="stable")
+        for v in rows["value"].fillna(0).astype(float):
+            at, n = (alpha * v + (1 - alpha) * at if n else v), n + 1
+        state.update((n, float(at)))
+        yield pd.DataFrame({"user_id": [key[0]], "n": [n], "ewma": [at]})
+
+    return events.groupBy("user_id").applyInPandasWithState(step, "user_id bigint, n bigint, ewma double", "n bigint, ewma double", "update", GroupStateTimeout.NoTimeout)
+
+
+def run_in_turn(tables: list[DataFrame], build: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """All rows that a streaming query in append mode says when it reads the tables one after the other, a trigger each: windows that
+    the watermark has passed by the end."""
+    spark = tables[0].sparkSession
+    root = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    for rows in tables:
+        rows.coalesce(1).write.mode("append").parquet(f"{root}/in")
+        source = spark.readStream.schema(tables[0].schema).parquet(f"{root}/in")
+        sink = build(source).writeStream.outputMode("append").format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state")
+        sink.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{root}/out")
+
+
 def run_batchwise(rows: DataFrame, build: Callable[[DataFrame], DataFrame], mode: str = "complete", keys: list[str] | None = None) -> DataFrame:
     """What a streaming query has said once it has read the table's files: complete results, or each key's last update."""
     spark = rows.sparkSession

@@ -202,3 +202,14 @@ def test_required_n_and_bootstrap(spark):
     a, b = (A.bootstrap_mean(df.repartition(n), "v", "k").first() for n in (2, 7))
     assert a.mean == pytest.approx(4.5) and (a.low, a.high) == pytest.approx((b.low, b.high))
     assert a.low < 4.5 < a.high and a.high - a.low == pytest.approx(2 * 1.96 * math.sqrt(8.25 / 2000), rel=0.2)
+
+
+def test_stream_ewma_equals_the_batch(spark):
+    from plumbline.operators import windows
+    from plumbline.streaming import windows as stream
+
+    e = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    last = {r.user_id: r for r in stream.run_batchwise(e, stream.running_ewma, "update", keys=["user_id"]).collect()}
+    batch = windows.ewma(e, "user_id", ["ts", "event_id"], "value", (0.2,), "event_id").join(e, "event_id")
+    ends = {r.user_id: r.v for r in batch.groupBy("user_id").agg(F.max_by("ewma_0_2", F.struct("ts", "event_id")).alias("v")).collect()}
+    assert {u: r.ewma for u, r in last.items()} == pytest.approx(ends) and sum(r.n for r in last.values()) == e.count()
