@@ -108,15 +108,30 @@ def hull(df: DataFrame, entity: str, order: list[str], value: str, width: int) -
 
 def ewma(df: DataFrame, entity: str, order: list[str], value: str, alphas: tuple[float, ...], key: str) -> DataFrame:
     """(key, ewma_<alpha>...): out = alpha * value + (1 - alpha) * out, from an entity's first value on; null and non-finite values
-    count as 0. A recursion along each entity, so grouped pandas."""
+    count as 0. A recursion along each entity: its rows are a stream in order, of which one number for each alpha is carried on, so
+    an entity may be of any length."""
     names = [f"ewma_{a:g}".replace(".", "_") for a in alphas]
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(order, kind="stable")
-        v = g[value].astype(float).where(np.isfinite(g[value].astype(float)), 0.0)
-        return pd.DataFrame({key: g[key]} | {n: v.ewm(alpha=a, adjust=False).mean() for n, a in zip(names, alphas, strict=True)})
-
-    return df.select(*dict.fromkeys([entity, *order, value, key])).groupBy(entity).applyInPandas(run, f"{key} {dict(df.dtypes)[key]}, " + ", ".join(f"{n} double" for n in names))
+    def run(batches):
+        last: list[float] = []
+        for b in batches:
+            v = b["_v"].to_numpy(float)
+            first = b["_first"].to_numpy(bool)
+            group = np.cumsum(first)
+            out = {key: b[key]}
+            for i, (n, a) in enumerate(zip(names, alphas, strict=True)):
+                carried = [] if first[:1].all() else [last[i]]  # goes on with the entity of the batch before
+                x, g = np.concatenate([carried, v]), np.concatenate([group[:1] if carried else [], group])
+                out[n] = pd.Series(x).groupby(g).ewm(alpha=a, adjust=False).mean().to_numpy()[len(carried) :]
+            if len(v):
+                last = [float(out[n][-1]) for n in names]
+                yield pd.DataFrame(out)
+
+    v = F.col(value).cast("double")
+    clean = F.when(v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")), F.lit(0.0)).otherwise(v)
+    first = F.row_number().over(by(entity, order)) == 1
+    rows = df.select(*dict.fromkeys([entity, *order, key]), clean.alias("_v")).withColumn("_first", first).sortWithinPartitions(entity, *order)
+    return rows.select(key, "_v", "_first").mapInPandas(run, f"{key} {dict(df.dtypes)[key]}, " + ", ".join(f"{n} double" for n in names))
 
 
 def adaptive_ewma(df: DataFrame, entity: str, order: list[str], value: str, alphas: tuple[float, ...], tail: int = 20) -> DataFrame:

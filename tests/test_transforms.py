@@ -213,3 +213,18 @@ def test_stream_ewma_equals_the_batch(spark):
     batch = windows.ewma(e, "user_id", ["ts", "event_id"], "value", (0.2,), "event_id").join(e, "event_id")
     ends = {r.user_id: r.v for r in batch.groupBy("user_id").agg(F.max_by("ewma_0_2", F.struct("ts", "event_id")).alias("v")).collect()}
     assert {u: r.ewma for u, r in last.items()} == pytest.approx(ends) and sum(r.n for r in last.values()) == e.count()
+
+
+def test_ewma_goes_on_from_batch_to_batch(spark):
+    from plumbline.operators import windows
+
+    r = random.Random(1)
+    rows = [(i, r.choice([None, "a", "a", "b", "c"]), None if i % 50 == 9 else r.random()) for i in range(1500)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    got = {x[0]: x[1:] for x in windows.ewma(spark.createDataFrame(rows, "i int, e string, v double").repartition(3), "e", ["i"], "v", (0.3, 0.05), "i").collect()}
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    at = {}
+    for i, e, v in rows:
+        at[e] = tuple(a * (v or 0) + (1 - a) * o for a, o in zip((0.3, 0.05), at[e])) if e in at else (v or 0, v or 0)
+        assert got[i] == pytest.approx(at[e])
+    assert len(got) == len(rows)
