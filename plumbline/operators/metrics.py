@@ -210,20 +210,21 @@ def calibration(df: DataFrame, y: str, p: str, bins: int = 10) -> DataFrame:
     )
 
 
-def ranking_scores(df: DataFrame, query: str, s: str, rel: str, key: str, k: int) -> DataFrame:
-    """NDCG@k (gain 2 ** rel - 1), MAP@k over min(k, relevant), MRR, precision@k over min(k, rows), hit@k and ERR@k (largest grade 4) of each
-    query, ties by key; NDCG and MAP are null without relevant rows."""
+def ranking_scores(df: DataFrame, query: str, s: str, rel: str, key: str, k: int, largest: int = 4) -> DataFrame:
+    """DCG@k and NDCG@k (gain 2 ** rel - 1), MAP@k over min(k, relevant), MRR, precision@k over min(k, rows), hit@k and ERR@k (grades above
+    ``largest`` count as that) of each query, ties by key; NDCG and MAP are null without relevant rows."""
     if k <= 0:
         raise ValueError("k must be positive")
     by_s, by_r = Window.partitionBy(query).orderBy(F.desc(s), key), Window.partitionBy(query).orderBy(F.desc(rel), key)
     r = df.select(query, F.col(rel).alias("_rel"), F.row_number().over(by_s).alias("_i"), F.row_number().over(by_r).alias("_b"))
     up = Window.partitionBy(query).orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
     hit = (F.col("_rel") > 0).cast("int")
-    stop = (F.pow(F.lit(2.0), F.col("_rel")) - 1) / 16.0
+    stop = (F.pow(F.lit(2.0), F.least(F.col("_rel"), F.lit(largest))) - 1) / 2.0**largest
     r = r.withColumn("_hits", F.sum(hit).over(up)).withColumn("_go", F.exp(F.coalesce(F.sum(F.log(1 - stop)).over(up.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))))
     gain = F.pow(F.lit(2.0), F.col("_rel")) - 1
     top = F.col("_i") <= k
     return r.groupBy(query).agg(
+        F.sum(F.when(top, gain / F.log2(F.col("_i") + 1))).alias("dcg"),
         _safe(F.sum(F.when(top, gain / F.log2(F.col("_i") + 1))), F.sum(F.when(F.col("_b") <= k, gain / F.log2(F.col("_b") + 1)))).alias("ndcg"),
         _safe(F.coalesce(F.sum(F.when(top & (hit == 1), F.col("_hits") / F.col("_i"))), F.lit(0.0)), F.least(F.lit(k), F.sum(hit))).alias("map"),
         F.coalesce(1 / F.min(F.when(hit == 1, F.col("_i"))), F.lit(0.0)).alias("mrr"), (F.sum(F.when(top, hit)) / F.least(F.lit(k), F.count("*"))).alias("precision"),

@@ -176,9 +176,9 @@ def ece_bins(read):
     f"""WITH s AS (SELECT lang AS q, doc_id, p AS s, y + t * 2 AS rel FROM {S}), r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY s DESC, doc_id) AS i, row_number() OVER (PARTITION BY q ORDER BY rel DESC, doc_id) AS b FROM s),
         h AS (SELECT *, (rel > 0)::INT AS hit, sum((rel > 0)::INT) OVER (PARTITION BY q ORDER BY i) AS hits, (pow(2, rel) - 1) / 16 AS stop,
           exp(coalesce(sum(ln(1 - (pow(2, rel) - 1) / 16)) OVER (PARTITION BY q ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS go FROM r)
-        SELECT q, sum((pow(2, rel) - 1) / log2(i + 1)) FILTER (i <= 10) / nullif(sum((pow(2, rel) - 1) / log2(b + 1)) FILTER (b <= 10), 0) AS ndcg, coalesce(sum(hits / i) FILTER (i <= 10 AND hit = 1), 0) / nullif(least(10, sum(hit)), 0) AS map,
+        SELECT q, sum((pow(2, rel) - 1) / log2(i + 1)) FILTER (i <= 10) AS dcg, sum((pow(2, rel) - 1) / log2(i + 1)) FILTER (i <= 10) / nullif(sum((pow(2, rel) - 1) / log2(b + 1)) FILTER (b <= 10), 0) AS ndcg, coalesce(sum(hits / i) FILTER (i <= 10 AND hit = 1), 0) / nullif(least(10, sum(hit)), 0) AS map,
           coalesce(1 / min(i) FILTER (hit = 1), 0) AS mrr, sum(hit) FILTER (i <= 10) / least(10, count(*)) AS precision, max(hit) FILTER (i <= 10) AS hit, sum(go * stop / i) FILTER (i <= 10) AS err FROM h GROUP BY 1""",
-    "ndcg map mrr precision err",
+    "dcg ndcg map mrr precision err",
 )
 def ndcg_map_mrr(read):
     s = scored(read).select(F.col("lang").alias("q"), "doc_id", F.col("p").alias("s"), (F.col("y") + F.col("t") * 2).alias("rel"))
