@@ -12,24 +12,30 @@ from __future__ import annotations
 import hashlib
 from array import array
 
-import pandas as pd
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .vocabulary import WORDS, Vocabulary, byte_path, chunks, load, units
+from .common import small_batches, text_lists
+from .stores import Store, kept
+from .vocabulary import WORDS, Vocabulary, byte_path, chunks, load, spans, units
 
-#: Stretches kept from one batch to the next in a worker; beyond it the store starts anew.
-STORE = 700_000
+#: Bytes of stretches and their ids that a worker keeps from one batch to the next; pairs of tokens that it remembers.
+STORE, PAIRS = 100_000_000, 200_000
 SCHEMA = "n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 
 
 class TrieEncoder:
     def __init__(self, vocabulary: Vocabulary):
-        self.v, self.apart, self.longest = vocabulary, {}, max(map(len, vocabulary.ids))
-        self.whole: dict[bytes, int | None] = {}
+        self.v, self.apart = vocabulary, {}
+        self.whole: dict[int, int | None] = {}
+        self.tokens = ahocorasick.Automaton()
+        for piece, i in vocabulary.ids.items():
+            self.tokens.add_word(piece.decode("latin-1"), (i, len(piece)))
+        self.tokens.make_automaton()
         self.edges: tuple[dict, dict] = {}, {}
-        self.after_space: dict[str, bytes] = {}
-        self.alone: dict[str, bytes] = {}
+        self.after_space, self.alone = Store(STORE), Store(STORE // 8)
 
     def _edge(self, token: int, right: int) -> tuple[list[int], list[float]]:
         """What stands at a token's edge while it is merged: bottom-up symbols, and the rank at which each is replaced."""
@@ -63,25 +69,25 @@ class TrieEncoder:
         self.apart[a << 32 | b] = ok
         return ok
 
-    def _token(self, piece: bytes) -> int | None:
-        """The id of a piece whose bytes merge to it."""
-        i = self.v.ids.get(piece)
-        if i is not None and len(piece) > 1:
-            ids = [self.v.byte_ids[x] for x in piece]
-            while len(ids) > 1:
-                r, at = min((self.v.rank.get(x << 32 | y, 1 << 60), n) for n, (x, y) in enumerate(zip(ids, ids[1:], strict=False)))
-                if r == 1 << 60:
-                    break
-                ids[at : at + 2] = [self.v.made[r]]
-            i = i if ids == [i] else None
-        self.whole[piece] = i
-        return i
+    def _token(self, i: int) -> int | None:
+        """The token, if its bytes merge to it."""
+        ids = [self.v.byte_ids[x] for x in self.v.bytes_of[i]]
+        while len(ids) > 1:
+            r, at = min((self.v.rank.get(x << 32 | y, 1 << 60), n) for n, (x, y) in enumerate(zip(ids, ids[1:], strict=False)))
+            if r == 1 << 60:
+                break
+            ids[at : at + 2] = [self.v.made[r]]
+        self.whole[i] = i if ids == [i] else None
+        return self.whole[i]
 
     def encode_words(self, words: list[bytes]) -> list[list[int]]:
-        """Ids of each word. Sorted order visits the trie depth first: the stack holds the path's states."""
+        """Ids of each word. Sorted order visits the trie depth first: the stack holds the path's states.
+
+        The tokens that end at a node come from an automaton over the vocabulary, the longest first.
+        """
         out: list = [None] * len(words)
-        path, states, longest = b"", [], self.longest
-        ids, whole, apart = self.v.ids, self.whole, self.apart
+        path, states = b"", []
+        whole, apart, ends = self.whole, self.apart, self.tokens.iter
         for at in sorted(range(len(words)), key=words.__getitem__):
             word = words[at]
             shared = 0
@@ -90,21 +96,20 @@ class TrieEncoder:
                     break
                 shared += 1
             del states[shared:]
-            for end in range(shared + 1, len(word) + 1):
-                for start in range(max(0, end - longest), end):
-                    piece = word[start:end]
-                    if piece not in ids:
+            done = shared
+            for last, (piece, n) in ends(word.decode("latin-1")):
+                if last < done:  # the state of this node is known
+                    continue
+                token = whole[piece] if piece in whole else self._token(piece)
+                if token is None:
+                    continue
+                if n <= last:
+                    left = states[last - n]
+                    ok = apart.get(left << 32 | token)
+                    if not (self._stay_apart(left, token) if ok is None else ok):
                         continue
-                    token = whole[piece] if piece in whole else self._token(piece)
-                    if token is None:
-                        continue
-                    if start:
-                        left = states[start - 1]
-                        ok = apart.get(left << 32 | token)
-                        if not (self._stay_apart(left, token) if ok is None else ok):
-                            continue
-                    states.append(token)
-                    break
+                states.append(token)
+                done += 1
             path = word
             got, end = [], len(word)
             while end:
@@ -114,54 +119,56 @@ class TrieEncoder:
             out[at] = got[::-1]
         return out
 
-    def _learn(self, fresh: set[str], store: dict[str, bytes], space: str) -> None:
-        """Put the words of stretches that the store lacks through the trie."""
-        words: dict[str, int] = {}
-        split = {u: [words.setdefault(w, len(words)) for w in WORDS.findall(space + u)] for u in fresh}
-        done = self.encode_words([w.encode() for w in words])
-        for u, parts in split.items():
-            store[u] = array("I", [t for p in parts for t in done[p]]).tobytes()
+    def _learn(self, fresh: list[str], space: str) -> list[bytes]:
+        """The ids of stretches; of their words, those that are no known stretch go through the trie."""
+        known, old = self.after_space.young, self.after_space.old
+        done: dict[str, bytes | None] = {}
+        split = [WORDS.findall(space + u) for u in fresh]
+        for parts in split:
+            for w in parts:
+                if w not in done:
+                    done[w] = known.get(w[1:]) or old.get(w[1:]) if w[0] == " " else None
+        new = [w for w, got in done.items() if got is None]
+        done.update(zip(new, (array("I", ids).tobytes() for ids in self.encode_words([w.encode() for w in new])), strict=True))
+        return [done[parts[0]] if len(parts) == 1 else b"".join([done[w] for w in parts]) for parts in split]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Each text's ids as little-endian unsigned 32-bit integers."""
-        return [ids for part in chunks(texts) for ids in self._encode(part)]
+        """Each text's ids as little-endian unsigned 32-bit integers. Long texts are taken part by part."""
+        out = []
+        for part in chunks(texts):
+            if len(part) > 1:
+                out += self._encode(part)
+            else:
+                pieces = [x for special, p in self.v.pieces(part[0]) for x in ([special] if special is not None else spans(p))]
+                out.append(b"".join(i for x in pieces for i in self._encode([x])))
+        return out
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.after_space) + len(self.alone) > STORE:
-            self.after_space.clear()
-            self.alone.clear()
+        if len(self.apart) > PAIRS:
+            self.apart.clear()
         plans, inner, alone = [], set(), set()
         for text in texts:
             plan = []
             for special, part in self.v.pieces(text):
                 if special is not None:
                     plan.append(array("I", [self.v.special[special]]).tobytes())
-                elif (cut := units(part)) is None:
-                    plan.append((WORDS.findall(part), []))
-                    alone.update(plan[-1][0])
                 else:
-                    plan.append((cut[:1] if cut[0] else [], cut[1:]))
-                    alone.update(plan[-1][0])
-                    inner.update(cut[1:])
+                    plan.append(units(part))
+                    alone.add(plan[-1][0])
+                    inner.update(plan[-1][1:])
             plans.append(plan)
-        self._learn(alone.difference(self.alone), self.alone, "")
-        self._learn(inner.difference(self.after_space), self.after_space, " ")
-        first, later = self.alone.__getitem__, self.after_space.__getitem__
-        return [b"".join([x if x.__class__ is bytes else b"".join(map(first, x[0])) + b"".join(map(later, x[1])) for x in plan]) for plan in plans]
+        first = self.alone.ready(alone, lambda u: self._learn(u, ""))
+        later = self.after_space.ready(inner, lambda u: self._learn(u, " "))
+        return [b"".join([x if x.__class__ is bytes else first(x[0]) + b"".join(map(later, x[1:])) for x in plan]) for plan in plans]
 
     def decode(self, ids: bytes) -> str:
         """The text of ids; bytes that aren't UTF-8 become U+FFFD."""
         return b"".join(map(self.v.bytes_of.__getitem__, array("I", ids))).decode("utf-8", "replace")
 
 
-_encoders: dict[str, TrieEncoder] = {}
-
-
 def encoder(path: str) -> TrieEncoder:
     """A worker's encoder; it is kept from task to task."""
-    if path not in _encoders:
-        _encoders[path] = TrieEncoder(load(path))
-    return _encoders[path]
+    return kept(("codec", path), lambda: TrieEncoder(load(path)))
 
 
 def encode_table(documents: DataFrame, path: str | None = None, with_ids: bool = False) -> DataFrame:
@@ -172,23 +179,25 @@ def encode_table(documents: DataFrame, path: str | None = None, with_ids: bool =
     replaced. A map without shuffle: a lost task is simply run again.
     """
     path = path or byte_path()
+    small_batches(documents.sparkSession)
 
-    def run(text: pd.Series) -> pd.DataFrame:
+    def run(text: pa.Array) -> pa.Array:
         own = encoder(path)
-        texts = text.fillna("").tolist()
         out: dict = {"n_tokens": [], "ids_sha256": [], "decoded_sha256": []} | ({"ids": [], "decoded": []} if with_ids else {})
-        for ids in own.encode(texts):
-            decoded = own.decode(ids)
-            out["n_tokens"].append(len(ids) // 4)
-            out["ids_sha256"].append(hashlib.sha256(ids).hexdigest())
-            out["decoded_sha256"].append(hashlib.sha256(decoded.encode("utf-8")).hexdigest())
-            if with_ids:
-                out["ids"].append(list(array("I", ids)))
-                out["decoded"].append(decoded)
-        return pd.DataFrame(out)
+        for texts in text_lists(text):
+            for ids in own.encode(texts):
+                decoded = own.decode(ids)
+                out["n_tokens"].append(len(ids) // 4)
+                out["ids_sha256"].append(hashlib.sha256(ids).hexdigest())
+                out["decoded_sha256"].append(hashlib.sha256(decoded.encode("utf-8")).hexdigest())
+                if with_ids:
+                    out["ids"].append(list(array("I", ids)))
+                    out["decoded"].append(decoded)
+        kinds = {"n_tokens": pa.int64(), "ids": pa.list_(pa.int32())}
+        return pa.StructArray.from_arrays([pa.array(v, kinds.get(k, pa.string())) for k, v in out.items()], list(out))
 
     kind = SCHEMA + (", ids array<int>, decoded string" if with_ids else "")
     made = [x.split()[0] for x in kind.split(", ")]
     keep = [c for c in documents.columns if c not in ("text", *made)]
-    got = F.pandas_udf(run, kind)(F.col("text"))
+    got = F.arrow_udf(run, kind)(F.col("text"))
     return documents.select(*keep, got.alias("_e")).select(*keep, "_e.*")

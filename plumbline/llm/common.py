@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,6 +47,24 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Bytes of an Arrow batch between Spark and Python, instead of Spark's default of 64 MB.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the session's Arrow batches by BATCH_BYTES, unless the user has set a bound. By rows alone, a batch of long texts
+    takes tens of times that, in Spark and in Python, for each task."""
+    name, default = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+    if spark.conf.get(name) == default:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
+def text_lists(text: pa.Array, most: int = 500) -> Iterator[list[str]]:
+    """An Arrow array's texts, a few at a time, so that a batch isn't held twice; nulls as empty texts."""
+    for i in range(0, len(text), most):
+        yield [t or "" for t in text.slice(i, most).to_pylist()]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -71,6 +91,9 @@ def label_sample(labels: DataFrame, label: str, per_class: int, seed: int = 7) -
 
 
 def labelled(documents: DataFrame, labels: DataFrame, label: str, per_class: int) -> DataFrame:
-    """(doc_id, text, y) of a bounded labelled sample; the ids are broadcast, so no text is shuffled."""
+    """(doc_id, text, y) of a bounded labelled sample: at most 2 * per_class rows, since of several texts of an id only the least
+    by hash is taken. The ids are broadcast, so only texts of the sample are shuffled."""
     ids = label_sample(labels, label, per_class)
-    return documents.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    rows = documents.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    one = F.min_by(F.struct("text"), F.struct(F.xxhash64("text"), F.md5(F.col("text").cast("binary")))).alias("t")
+    return rows.groupBy("doc_id", "y").agg(one).select("doc_id", "t.text", "y")

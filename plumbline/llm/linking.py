@@ -12,18 +12,21 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch
 
-#: Bits of the bitmap that spares rows without candidates the shuffle; a full bitmap spares none and loses none.
-BITMAP = 1 << 24
+#: Bits of the bitmaps that spare rows without candidates the shuffle; a full bitmap spares none and loses none.
+BITMAP, PAGE = 1 << 26, 1 << 15
 #: Members up to which a bucket's pairs of unlike classes are emitted one by one, and further members of a bucket, drawn by hashes, that a
 #: row is compared with first if it joined the class of neither end.
 FEW, DRAWN = 8, 8
 #: About so many rows, or elements of their sets, make a block; shingles that are looked at together.
-BLOCK_ROWS, BLOCK_ELEMENTS, WIDE = 2048, 1_000_000, 2048
+BLOCK_ROWS, BLOCK_ELEMENTS, WIDE = 1024, 500_000, 1024
 
 
 def components(scratch: Scratch, links: DataFrame) -> DataFrame:
@@ -45,45 +48,80 @@ def components(scratch: Scratch, links: DataFrame) -> DataFrame:
             return labels
 
 
+def _bitmap(spots: DataFrame) -> Broadcast:
+    """A bit for each of the ``spot``s (from 1 to BITMAP) of a table, BITMAP bits whatever its size."""
+    page, bit = F.bitmap_bucket_number("spot"), F.bitmap_bit_position("spot")
+    pages = spots.groupBy(page.alias("page")).agg(F.bitmap_construct_agg(bit).alias("bits")).collect()
+    bits = np.zeros(BITMAP // 8, np.uint8)
+    for p in pages:
+        bits[(p["page"] - 1) * PAGE // 8 : p["page"] * PAGE // 8] = np.frombuffer(bytes(p["bits"]), np.uint8)
+    return spots.sparkSession.sparkContext.broadcast(bits)
+
+
+def _held(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+
+def _spot(of: Column) -> Column:
+    return F.pmod(of, F.lit(BITMAP)) + 1
+
+
 def _texts_of(edges: DataFrame, contents: DataFrame) -> DataFrame:
     """(key, text) of the keys that edges name: a bitmap of bounded size drops most other rows, copies become one row, then
     an exact join follows."""
     keys = edges.select(F.col("a").alias("key")).unionByName(edges.select(F.col("b").alias("key"))).distinct()
-    spot = F.pmod(F.xxhash64("key"), F.lit(BITMAP)) + 1
-    pages = keys.groupBy(F.bitmap_bucket_number(spot).alias("page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(spot)).alias("bits")).collect()
-    bits = np.zeros(BITMAP // 8, np.uint8)
-    for p in pages:
-        bits[(p["page"] - 1) * 4096 : p["page"] * 4096] = np.frombuffer(bytes(p["bits"]), np.uint8)
-    held = contents.sparkSession.sparkContext.broadcast(bits)
+    held = _bitmap(keys.select(_spot(F.xxhash64("key")).alias("spot")))
+    maybe = F.arrow_udf(lambda at: pa.array(_held(held.value, at.to_numpy() - 1)), "boolean")
+    return contents.where(maybe(_spot(F.xxhash64("key")))).groupBy("key").agg(F.min("text").alias("text")).join(keys, "key", "left_semi")
+
+
+def _members(scratch: Scratch, bands: DataFrame) -> DataFrame:
+    """(bucket, key) of distinct keys in buckets that several rows share; few other rows are left.
+
+    Buckets are counted by their hashes alone; a bitmap of bounded size of those that several rows share then spares the rest
+    the shuffle of their keys.
+    """
+    busy = bands.select(F.explode("bands").alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    held = _bitmap(busy.select(_spot(F.col("bucket")).alias("spot")))
+
+    def shared(bands: pa.Array) -> pa.Array:
+        flat, sizes = pc.list_flatten(bands).to_numpy(), pc.fill_null(pc.list_value_length(bands), 0).to_numpy()
+        keep = _held(held.value, flat % BITMAP)
+        ends = np.cumsum(np.concatenate([[0], keep]))[np.cumsum(np.concatenate([[0], sizes]))]
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat[keep]))
+
+    some = bands.select("key", F.arrow_udf(shared, "array<bigint>")(F.col("bands")).alias("bands")).where(F.size("bands") > 0)
+    few = scratch.keep(some.groupBy("key").agg(F.first("bands").alias("bands")), "few")
+    return few.select("key", F.explode("bands").alias("bucket"))
 
-    @F.pandas_udf("boolean")
-    def maybe(at: pd.Series) -> pd.Series:
-        x = at.to_numpy() - 1
-        return pd.Series((held.value[x >> 3] >> (x & 7).astype(np.uint8)) & 1 == 1)
 
-    return contents.where(maybe(spot)).groupBy("key").agg(F.min("text").alias("text")).join(keys, "key", "left_semi")
+def arrays(lists: pa.Array) -> list[np.ndarray]:
+    """An Arrow array of lists of longs as views."""
+    ends = np.cumsum(np.concatenate([[0], pc.fill_null(pc.list_value_length(lists), 0).to_numpy()]))
+    flat = pc.list_flatten(lists).to_numpy()
+    return [flat[i:j] for i, j in zip(ends, ends[1:], strict=False)]
 
 
 def link(
     scratch: Scratch,
     bands: DataFrame,
     contents: DataFrame,
-    unpack: Callable[[pd.Series], pd.Series],
+    unpack: Callable[[pa.Array], pa.Array],
     similarity: Callable[[np.ndarray, np.ndarray], float],
     threshold: float,
 ) -> DataFrame:
     """(key, class) of every key that has a link; the class is the least key of its component.
 
-    ``bands``: distinct (key, bands array<long>). ``contents``: (key, text), from which ``unpack`` makes the array<long> that
-    ``similarity`` compares; only rows with candidates are shuffled or unpacked.
+    ``bands``: (key, bands array<long>), equal for equal keys. ``contents``: (key, text), from which ``unpack`` makes the
+    array<long> that ``similarity`` compares; only rows with candidates are shuffled or unpacked.
     """
-    measure = F.pandas_udf(lambda x, y: pd.Series([similarity(np.asarray(a), np.asarray(b)) for a, b in zip(x, y, strict=True)], dtype="float64"), "double")
-    members = bands.select("key", F.explode("bands").alias("bucket"))
+    measure = F.arrow_udf(lambda x, y: pa.array([similarity(a, b) for a, b in zip(arrays(x), arrays(y), strict=True)], pa.float64()), "double")
+    members = _members(scratch, bands)
     busy = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("key").alias("lo"), F.max("key").alias("hi")).where("n > 1")
     active = scratch.keep(members.join(busy, "bucket").select("bucket", "key", "lo", "hi"), "active")
     pairs = scratch.keep(_ends(active), "pairs")
     # all later rounds' keys are in a pair of the first
-    sets = scratch.keep(_texts_of(pairs, contents).select("key", F.pandas_udf(unpack, "array<bigint>")(F.col("text")).alias("set")), "sets")
+    sets = scratch.keep(_texts_of(pairs, contents).select("key", F.arrow_udf(unpack, "array<bigint>")(F.col("text")).alias("set")), "sets")
 
     def verified(p: DataFrame) -> DataFrame:
         left = sets.select(F.col("key").alias("a"), F.col("set").alias("x"))
@@ -241,8 +279,8 @@ def _links_of(left: pd.DataFrame, right: pd.DataFrame, similarity: Callable[[np.
 
     plain, bound = _bounds(sa, sb)
     apart, out = ca[:, None] != cb[None, :], []
-    sure = plain >= threshold - 1e-5  # the sure ones first; rounding is left to the exact measure
-    for some in (sure & apart, ~sure & (bound >= threshold - 1e-5) & apart):
+    likely, open_ = plain >= threshold - 1e-5, apart & (bound >= threshold - 1e-5)  # rounding is left to the exact measure
+    for some in (likely & open_, ~likely & open_):
         for i, j in zip(*(x.tolist() for x in np.nonzero(some)), strict=True):
             x, y = top(int(ca[i])), top(int(cb[j]))
             if x != y and similarity(np.asarray(sa[i]), np.asarray(sb[j])) >= threshold:

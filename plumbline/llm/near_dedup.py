@@ -10,16 +10,16 @@ Jaccard similarity. Bands of components give candidates, which are verified exac
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, small_batches, text_lists
 from .linking import link
 from .shingles import GOLDEN, mix, shingles
 
 BANDS, ROWS = 32, 6
-CHUNK_CHARS = 1_500_000
+CHUNK_CHARS = 500_000
 
 
 def weighted(text: str | None) -> tuple[np.ndarray, np.ndarray]:
@@ -84,15 +84,14 @@ def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, n
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
-    """The larger of plain and probability Jaccard of two shingle multisets; equal where no shingle repeats."""
+    """Probability Jaccard of two shingle multisets; the plain Jaccard where no shingle repeats. Without shingles 0."""
     (ha, ca), (hb, cb) = np.unique(a, return_counts=True), np.unique(b, return_counts=True)
     if not len(ha) or not len(hb):
         return 0.0
-    both = len(np.intersect1d(ha, hb, assume_unique=True))
-    plain = both / (len(ha) + len(hb) - both)
-    if ca.max() == cb.max() == 1 or plain < 0.3:
-        return plain
-    return max(plain, probability_jaccard((ha, 1 + np.log(ca)), (hb, 1 + np.log(cb))))
+    if ca.max() == cb.max() == 1:
+        both = len(np.intersect1d(ha, hb, assume_unique=True))
+        return both / (len(ha) + len(hb) - both)
+    return probability_jaccard((ha, 1 + np.log(ca)), (hb, 1 + np.log(cb)))
 
 
 def text_key(text: Column) -> Column:
@@ -100,38 +99,46 @@ def text_key(text: Column) -> Column:
     return F.unhex(F.md5(text.cast("binary")))
 
 
-def _bands(text: pd.Series) -> pd.Series:
+def _bands(text: pa.Array) -> pa.Array:
     out, part, size = [], [], 0
-    texts = text.tolist()
-    for i, t in enumerate(texts):
-        part.append(weighted(t))
-        size += len(t)
-        if size > CHUNK_CHARS or i == len(texts) - 1:
-            filled = [len(h) > 0 for h, _ in part]
-            out += [b if f else np.empty(0, np.int64) for b, f in zip(bands_of(prob_minhash(part), BANDS, ROWS), filled, strict=True)]
-            part, size = [], 0
-    return pd.Series(out)
+    for texts in text_lists(text):
+        for t in texts:
+            part.append(weighted(t))
+            size += len(t)
+            if size > CHUNK_CHARS:
+                out += _banded(part)
+                part, size = [], 0
+    return pa.array(out + _banded(part), pa.list_(pa.int64()))
+
+
+def _banded(part: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+    """Hashes of the sets' bands; none for an empty set."""
+    found = bands_of(prob_minhash(part), BANDS, ROWS)
+    return [b if len(h) else b[:0] for b, (h, _) in zip(found, part, strict=True)]
 
 
 def classes(documents: DataFrame, threshold: float = 0.8) -> DataFrame:
     """(doc_id, class_id, key, kept): the near-duplicate class of every row, named by the least doc_id in it.
 
-    Equal texts are one class; texts with a similarity of ``threshold`` or more are linked, and linked texts are one
+    Equal texts are one class; texts with a probability Jaccard of ``threshold`` or more are linked, and linked texts are one
     class. A null text is like no other row: its class is its own id. Empty texts equal each other only. A text of fewer
     than five words is one shingle. Null ids count last; a class of null ids only has a null name. ``kept`` marks the rows
     with the class's least (doc_id, key); repeated rows are all marked. Clashing columns play no part.
     """
     spark = documents.sparkSession
+    small_batches(spark)
     scratch = Scratch(spark, "neardup")
     real = documents.where("text is not null").select("doc_id", text_key(F.col("text")).alias("key"), "text")
-    rows = scratch.keep(real.select("doc_id", "key", F.pandas_udf(_bands, "array<bigint>")(F.col("text")).alias("bands")), "rows")
-    bands = scratch.keep(rows.groupBy("key").agg(F.first("bands").alias("bands")), "bands")
-    unpack = lambda t: pd.Series([np.sort(shingles(x)).view(np.int64) for x in t])
-    found = link(scratch, bands, real.select("key", "text"), unpack, similarity, threshold)
+    rows = scratch.keep(real.select("doc_id", "key", F.arrow_udf(_bands, "array<bigint>")(F.col("text")).alias("bands")), "rows")
+
+    def unpack(text: pa.Array) -> pa.Array:
+        return pa.array([np.sort(shingles(x)).view(np.int64) for texts in text_lists(text) for x in texts], pa.list_(pa.int64()))
+
+    found = link(scratch, rows.select("key", "bands"), real.select("key", "text"), unpack, similarity, threshold)
     ids = rows.select("doc_id", "key").join(found, "key", "left").select("doc_id", "key", F.coalesce("class", "key").alias("class"))
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("least")
     ids = scratch.keep(ids, "ids")
-    named = ids.join(ids.groupBy("class").agg(least), "class")
+    named = ids.join(scratch.keep(ids.groupBy("class").agg(least), "least"), "class")
     kept = F.col("least.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("least.key") == F.col("key"))
     out = named.select("doc_id", F.col("least.doc_id").alias("class_id"), "key", kept.alias("kept"))
     lone = documents.where("text is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(None).cast("binary").alias("key"), F.lit(True).alias("kept"))

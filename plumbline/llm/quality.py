@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, labelled
+from .common import held_out, labelled, small_batches
 
 #: Labelled rows of each class that the fit draws at most, its parts and its random features.
 PER_CLASS, PARTS, FEATURES = 6000, 16, 256
@@ -102,6 +102,7 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "quality", per_cla
     rows takes no part in the ridge fit and calibrates it. Sums are added in a fixed order, so reruns agree.
     """
     spark = documents.sparkSession
+    small_batches(spark)
     rates = {r["y"]: r["n"] for r in labels.where(F.col(label).isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy(F.col(label).cast("int").alias("y")).agg(F.count("*").alias("n")).collect()}
     if len(rates) < 2:
         return None
@@ -155,6 +156,8 @@ def score_documents(documents: DataFrame, model: Model | None, threshold: float
     held out. Repeated rows score alike; clashing columns are replaced. ``spark`` ships the model with the function.
     """
 
+    small_batches(documents.sparkSession)
+
     def run(text: pd.Series) -> pd.Series:
         return pd.Series(np.full(len(text), 0.5) if model is None else model.score(_matrix(text)))
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
+from .stores import kept
+
 WORDS = 5
 #: Word hashes kept in a worker; beyond it the store starts anew.
 STORE = 250_000
@@ -17,9 +19,6 @@ class _Hashes(dict):
         return got
 
 
-_words = _Hashes()
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers that spreads every bit (the finalizer of splitmix64)."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -32,9 +31,10 @@ def shingles(text: str | None, n: int = WORDS) -> np.ndarray:
     words = (text or "").split()
     if not words:
         return np.empty(0, np.uint64)
-    if len(_words) > STORE:
-        _words.clear()
-    w = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+    store = kept("words", _Hashes)
+    if len(store) > STORE:
+        store.clear()
+    w = np.fromiter(map(store.__getitem__, words), np.uint64, len(words))
     n = min(n, len(w))
     out = np.zeros(len(w) - n + 1, np.uint64)
     for i in range(n):

@@ -4,19 +4,21 @@ from __future__ import annotations
 
 import heapq
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .vocabulary import WORDS, Vocabulary, byte_path, load, units
+from .common import small_batches, text_lists
+from .stores import Store, kept
+from .vocabulary import WORDS, Vocabulary, byte_path, load, spans, units
 
-#: Counts of words and stretches kept from one text to the next in a worker; beyond it the store starts anew.
-STORE = 1_200_000
+#: Bytes of stretches and their counts that a worker keeps from one text to the next.
+STORE = 120_000_000
 
 
 class MergeCounter:
     def __init__(self, vocabulary: Vocabulary):
-        self.v, self.words, self.after_space = vocabulary, {}, {}
+        self.v, self.after_space = vocabulary, Store(STORE)
 
     def count_word(self, word: bytes) -> int:
         """Initial symbols minus merges: the lowest-ranked adjacent pair is merged again and again, the leftmost first.
@@ -58,35 +60,23 @@ class MergeCounter:
         return n - merges
 
     def _stretch(self, text: str) -> int:
-        words, total = self.words, 0
-        for w in WORDS.findall(text):
-            got = words.get(w)
-            if got is None:
-                got = words[w] = self.count_word(w.encode())
-            total += got
-        return total
+        return sum(self.count_word(w.encode()) for w in WORDS.findall(text))
 
     def count(self, text: str) -> int:
-        total, store = 0, self.after_space
-        if len(store) + len(self.words) > STORE:
-            store.clear()
-            self.words.clear()
+        total = 0
         for special, part in self.v.pieces(text):
             if special is not None:
                 total += 1
-            elif (cut := units(part)) is None:
-                total += self._stretch(part)
-            else:
-                total += self._stretch(cut.pop(0))
-                for u in set(cut).difference(store):
-                    store[u] = self._stretch(" " + u)
-                total += sum(map(store.__getitem__, cut))
+                continue
+            for span in spans(part):
+                cut = units(span)
+                if cut[0]:
+                    total += self._stretch(cut[0])
+                del cut[0]
+                total += sum(map(self.after_space.ready(set(cut), lambda lack: [self._stretch(" " + u) for u in lack]), cut))
         return total
 
 
-_counters: dict[str, MergeCounter] = {}
-
-
 def count_tokens(documents: DataFrame, limit: int = 512, path: str | None = None) -> DataFrame:
     """All columns of ``documents`` but text, with n_bytes (UTF-8), n_tokens and over_limit (n_tokens > limit).
 
@@ -95,13 +85,13 @@ def count_tokens(documents: DataFrame, limit: int = 512, path: str | None = None
     and columns that clash with the results' names are replaced.
     """
     path = path or byte_path()
+    small_batches(documents.sparkSession)
 
-    def run(text: pd.Series) -> pd.Series:
-        if path not in _counters:
-            _counters[path] = MergeCounter(load(path))
-        return pd.Series([_counters[path].count(t) for t in text.fillna("")], dtype="int64")
+    def run(text: pa.Array) -> pa.Array:
+        own = kept(("counts", path), lambda: MergeCounter(load(path)))
+        return pa.array([own.count(t) for texts in text_lists(text) for t in texts], pa.int64())
 
     keep = [c for c in documents.columns if c not in ("text", "n_bytes", "n_tokens", "over_limit")]
     return documents.select(
-        *keep, F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.pandas_udf(run, "bigint")(F.col("text")).alias("n_tokens")
+        *keep, F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.arrow_udf(run, "bigint")(F.col("text")).alias("n_tokens")
     ).withColumn("over_limit", F.col("n_tokens") > limit)

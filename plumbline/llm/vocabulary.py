@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import json
+import re
 
 import regex
 
@@ -12,6 +13,8 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 #: Fixed value: the characters that \s stands for there (Unicode's white space).
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 WORDS = regex.compile(PATTERN.replace(r"[^\s", f"[^{SPACE}").replace(r"\S", f"[^{SPACE}]").replace(r"\s", f"[{SPACE}]"))
+#: A space that begins a word; and one that doesn't.
+CUT, UNEVEN = re.compile(f" (?=[^{SPACE}])"), re.compile(f" (?:[{SPACE}]|\\Z)")
 
 
 def byte_names() -> list[str]:
@@ -57,17 +60,25 @@ def load(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-def units(text: str) -> list[str] | None:
-    """The text cut before its spaces, the spaces left off; None if these cuts may fall inside a word of WORDS.
+def units(text: str) -> list[str]:
+    """The text cut before each space that a character other than white space follows; these spaces are left off.
 
-    A space before a character that isn't white space always begins a word. So a text without a run of
-    two spaces, nor a last space, splits into independent stretches: the first, and each later one with
-    its space before it.
+    Such a space always begins a word, and white space before it ends one. So the words of the text are those of the first
+    part and of each later one with its space before it.
     """
-    return None if "  " in text or text[-1:] == " " else text.split(" ")
+    return CUT.split(text) if UNEVEN.search(text) else text.split(" ")
 
 
-def chunks(texts: list[str], most: int = 4_000_000):
+def spans(text: str, most: int = 1_000_000) -> list[str]:
+    """The text cut in the same places into parts of about ``most`` characters, as far as it has such places; no space is left off."""
+    out, start = [], 0
+    while len(text) - start > most and (m := CUT.search(text, start + most)):
+        out.append(text[start : m.start()])
+        start = m.start()
+    return [*out, text[start:]]
+
+
+def chunks(texts: list[str], most: int = 1_000_000):
     """Runs of texts of about ``most`` characters, or single longer texts."""
     part, size = [], 0
     for t in texts:
