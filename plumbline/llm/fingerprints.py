@@ -10,10 +10,11 @@ import hashlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, small_batches, text_lists
 from .linking import link
 from .near_dedup import bands_of, text_key
 from .shingles import shingles
@@ -22,8 +23,10 @@ PLACES = 128
 _rng = np.random.default_rng(20)
 A = _rng.integers(0, 1 << 63, PLACES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 B = _rng.integers(0, 1 << 63, PLACES, dtype=np.uint64)
-#: Rows of a range of ids, and the most ranges; a range is a stream, so its size bounds no memory.
-RANGE_ROWS, MOST_RANGES = 20_000, 20_000
+#: Bands and their rows; a pair of Jaccard 0.8 shares a band with a chance of 0.998.
+BANDS, ROWS = 21, 6
+#: Text bytes of a range of ids, and the most ranges. A range is a stream, so neither bounds memory nor changes results.
+RANGE_BYTES, MOST_RANGES, PER_RANGE = 8 << 20, 20_000, 16
 
 
 def signature(text: str | None) -> np.ndarray:
@@ -51,73 +54,107 @@ def fingerprint(documents: DataFrame) -> DataFrame:
     return documents.withColumn("fingerprint", run(F.col("text")))
 
 
-def near_classes(documents: DataFrame, threshold: float = 0.8, bands: int = 25, rows: int = 5) -> DataFrame:
-    """(doc_id, class_id): the class of documents whose shingle sets have a Jaccard similarity of ``threshold`` or more, linked
-    through others or not, named by its least id. Bands of the fingerprints are joined and every link is verified."""
+def near_classes(documents: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """(doc_id, h, class_id): the class of documents whose shingle sets have a Jaccard similarity of ``threshold`` or more, linked
+    through others or not, named by its least id. Bands of the signatures are joined and every link is verified.
+
+    ``h`` is the text's hash. A null text counts as empty; texts without words are like equal texts only; a text of fewer
+    than five words is one shingle. Null ids count last. Repeated rows are repeated; clashing columns play no part.
+    """
+    small_batches(documents.sparkSession)
     scratch = Scratch(documents.sparkSession, "prints")
     own = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("key", text_key(F.col("text")))
-    places = F.pandas_udf(lambda t: pd.Series([b if s.any() else np.empty(0, np.int64) for s in map(signature, t) for b in bands_of(s[None, :].astype(np.uint64), bands, rows)]), "array<bigint>")
-    held = scratch.keep(own.select("doc_id", "key", places("text").alias("bands")), "rows")
+
+    def places(text: pa.Array) -> pa.Array:
+        marks = [signature(t) for texts in text_lists(text) for t in texts]
+        found = bands_of(np.array(marks, np.uint64).reshape(-1, PLACES), BANDS, ROWS)
+        return pa.array([b if m.any() else b[:0] for b, m in zip(found, marks, strict=True)], pa.list_(pa.int64()))
+
+    def unpack(text: pa.Array) -> pa.Array:
+        return pa.array([np.unique(shingles(t)).view(np.int64) for texts in text_lists(text) for t in texts], pa.list_(pa.int64()))
 
     def jaccard(a: np.ndarray, b: np.ndarray) -> float:
-        both = len(np.intersect1d(a, b))
+        both = len(np.intersect1d(a, b, assume_unique=True))
         return both / max(1, len(a) + len(b) - both)
 
-    unpack = lambda t: pd.Series([np.unique(shingles(x)).view(np.int64) for x in t])
-    found = link(scratch, held.groupBy("key").agg(F.first("bands").alias("bands")), own.select("key", "text"), unpack, jaccard, threshold)
-    ids = held.select("doc_id", "key").join(found, "key", "left").withColumn("class", F.coalesce("class", "key"))
-    return ids.join(ids.groupBy("class").agg(F.min("doc_id").alias("class_id")), "class").select("doc_id", "class_id")
+    rows = scratch.keep(own.select("doc_id", F.xxhash64("text").alias("h"), "key", F.arrow_udf(places, "array<bigint>")(F.col("text")).alias("bands")), "rows")
+    found = link(scratch, rows.select("key", "bands"), own.select("key", "text"), unpack, jaccard, threshold)
+    ids = scratch.keep(rows.select("doc_id", "h", "key").join(found, "key", "left").withColumn("class", F.coalesce("class", "key")), "ids")
+    scratch.drop(rows)
+    least = scratch.keep(ids.groupBy("class").agg(F.min("doc_id").alias("class_id")), "least")
+    return ids.join(least, "class").select("doc_id", "h", "class_id")
+
+
+def _order(none: np.ndarray, ids: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Keys of 24 bytes in the order of (none, id, hash)."""
+    parts = np.stack([none.astype(np.int64), ids.astype(np.int64), h.astype(np.int64)], axis=1)
+    return np.ascontiguousarray((parts.view(np.uint64) ^ np.uint64(1 << 63)).astype(">u8")).view("S24").ravel()
 
 
-def compare_edits(documents: DataFrame) -> DataFrame:
+def compare_edits(documents: DataFrame, classes: bool = True) -> DataFrame:
     """Fingerprints of every text, of its edited text, and their likeness.
 
     The edited text has its last floor(n_chars / 2) code points replaced by the first as many (or all) of the next
     document's, by ascending doc_id; after the last comes the first, and a lone document follows itself. Null ids come
     last, equal ids in order of their texts' hashes. A null text counts as empty; empty texts are like each other (1.0)
-    and like no other text. Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
+    and like no other text. Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next
+    and class_id, the least id of the near-duplicates' class (null if not ``classes``).
 
-    Ranges of ids are streams; each range's stream also gets the first row of the next range. So a text is shuffled once,
-    and to the driver goes one row for each range.
+    Ranges of (id, hash) are streams; each range's stream also gets the first row of the next range. So a text is shuffled
+    once, and to the driver go a bounded sample of keys and one row for each range. Identical rows share a range.
     """
     spark = documents.sparkSession
-    rows = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
-    n = documents.select("doc_id").count()
-    schema = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    small_batches(spark)
+    schema = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, class_id bigint"
+    n, size = documents.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     if not n:
         return spark.createDataFrame([], schema)
-    n_ranges = min(MOST_RANGES, max(8, n // RANGE_ROWS))
-    cuts = sorted(set(documents.approxQuantile("doc_id", [i / n_ranges for i in range(1, n_ranges)], 0.5 / n_ranges)))
-    cuts = [int(c) for c in cuts]
-    where = F.pandas_udf(lambda x: pd.Series(np.searchsorted(np.array(cuts, np.int64), x.to_numpy(np.int64), side="right").astype(np.int32)), "int")
-    rows = rows.withColumn("none", F.col("doc_id").isNull()).withColumn("range", F.when(F.col("none"), F.lit(len(cuts))).otherwise(where(F.coalesce("doc_id", F.lit(0)))))
-    firsts = {r["range"]: r["first"] for r in rows.groupBy("range").agg(F.min(F.struct("none", "doc_id", "h")).alias("first")).collect()}
+    keyed = lambda df: df.withColumn("none", F.col("doc_id").isNull()).withColumn("id", F.coalesce("doc_id", F.lit(0)))
+    rows = keyed(documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text")))
+    n_ranges = min(MOST_RANGES, max(8, size // RANGE_BYTES))
+    u = F.pmod(F.xxhash64(F.lit(31), "id", "h"), F.lit(1 << 30)) / float(1 << 30)
+    some = rows.where(u < min(1.0, PER_RANGE * n_ranges / n)).select("none", "id", "h").distinct().toPandas()
+    sample = np.sort(_order(*(some[c].to_numpy() for c in ("none", "id", "h"))))
+    cuts = np.unique(sample[np.arange(1, n_ranges) * len(sample) // n_ranges]) if len(sample) else sample
+    of = F.arrow_udf(lambda none, i, h: pa.array(np.searchsorted(cuts, _order(*(x.to_numpy(zero_copy_only=False) for x in (none, i, h))), side="right"), pa.int32()), "int")
+    rows = rows.withColumn("range", of("none", "id", "h"))
+    firsts = {r["range"]: r["first"] for r in rows.groupBy("range").agg(F.min(F.struct("none", "id", "h")).alias("first")).collect()}
     order = sorted(firsts)
-    before = [(r, order[i - 1], firsts[r]["none"], firsts[r]["doc_id"], firsts[r]["h"]) for i, r in enumerate(order)]
-    heads = F.broadcast(spark.createDataFrame(before, "range int, back int, f_none boolean, f_id bigint, f_h bigint"))
-    head = F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.col("h") == F.col("f_h"))
-    own = F.struct(F.col("range").alias("to"), F.lit(0).alias("guest"))
-    spots = F.explode(F.when(head, F.array(own, F.struct(F.col("back").alias("to"), F.lit(1).alias("guest")))).otherwise(F.array(own)))
-    dealt = rows.join(heads, "range").select("doc_id", "text", "h", "none", spots.alias("s")).select("doc_id", "text", "h", "none", "s.to", "s.guest")
-    dealt = dealt.repartition("to").sortWithinPartitions("to", "guest", "none", "doc_id", "h")
+    before = [(r, order[i - 1], firsts[r]["none"], firsts[r]["id"], firsts[r]["h"]) for i, r in enumerate(order)]
+    heads = F.broadcast(spark.createDataFrame(before, "range int, back int, f_none boolean, f_id bigint, f_h bigint"))  # a row for each range
+    head = (F.col("none") == F.col("f_none")) & (F.col("id") == F.col("f_id")) & (F.col("h") == F.col("f_h"))
+    place = lambda to, guest: F.struct(F.col(to).alias("to"), F.lit(guest).alias("guest"))
+    spots = F.explode(F.when(head, F.array(place("range", 0), place("back", 1))).otherwise(F.array(place("range", 0))))
+    columns = ["doc_id", "text", "h", "none", "id", "s.to", "s.guest", "class_id"]
+    dealt = rows.join(heads, "range").withColumn("class_id", F.lit(None).cast("bigint")).withColumn("s", spots).select(*columns)
+    if classes:  # small rows that come just before the texts of their (id, hash)
+        named = keyed(near_classes(documents).where(~F.col("class_id").eqNullSafe(F.col("doc_id"))).distinct()).withColumn("text", F.lit(None).cast("string"))
+        dealt = dealt.unionByName(named.withColumn("range", of("none", "id", "h")).withColumn("s", place("range", 0)).select(*columns))
+    dealt = dealt.repartition(n_ranges, "to").sortWithinPartitions("to", "guest", "none", "id", "h", F.col("text").isNotNull())
+    names = [x.split()[0] for x in schema.split(", ")]
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64()]
 
     def walk(batches):
-        held = None
-        for b in batches:
-            out = []
-            for doc, text, to, guest in zip(b["doc_id"], b["text"], b["to"], b["guest"], strict=True):
-                if held and held[2] != to:
-                    raise RuntimeError("a range of ids has no follower")
-                mark = signature(text) if held or not guest else None
-                if held:
-                    old, before_text, _, own = held
-                    half = len(before_text) // 2
-                    edited = before_text[: len(before_text) - half] + text[:half]
-                    other = signature(edited)
-                    out.append((old, len(before_text), hashlib.sha256(edited.encode("utf-8")).hexdigest(), written(own), written(other), likeness(own, other), likeness(own, mark)))
-                held = None if guest else (doc, text, to, mark)
-            yield pd.DataFrame(out, columns=[x.split()[0] for x in schema.split(", ")])
-
-    # ids travel as text, since pandas would turn a column of longs with nulls into doubles
-    found = dealt.select(F.col("doc_id").cast("string").alias("doc_id"), "text", "to", "guest").mapInPandas(walk, schema.replace("doc_id bigint", "doc_id string"))
-    return found.withColumn("doc_id", F.col("doc_id").cast("bigint"))
+        held = named = None
+        for batch in batches:
+            for i in range(0, len(batch), 500):
+                b, out = batch.slice(i, 500).to_pydict(), []
+                for doc, text, h, to, guest, class_id in zip(b["doc_id"], b["text"], b["h"], b["to"], b["guest"], b["class_id"], strict=True):
+                    if text is None:
+                        named = doc, h, class_id
+                        continue
+                    if held and held[2] != to:
+                        raise RuntimeError("a range of ids has no follower")
+                    mark = signature(text) if held or not guest else None
+                    if held:
+                        old, before_text, _, own, group = held
+                        half = len(before_text) // 2
+                        edited = before_text[: len(before_text) - half] + text[:half]
+                        other = signature(edited)
+                        out.append((old, len(before_text), hashlib.sha256(edited.encode("utf-8")).hexdigest(), written(own), written(other), likeness(own, other), likeness(own, mark), group))
+                    group = (named[2] if named and named[:2] == (doc, h) else doc) if classes else None
+                    held = None if guest else (doc, text, to, mark, group)
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
+
+    return dealt.select("doc_id", "text", "h", "to", "guest", "class_id").mapInArrow(walk, schema)
