@@ -1,9 +1,9 @@
 """Secret scans with a trigram inverted index, in DataFrame functions only.
 
 For each rule's regex a Boolean trigram query is derived on the driver: every text that matches must satisfy
-it. The index holds posting lists (trigram, text key) of the trigrams that the queries name. A rule's
-postings are brought together by text key and its query is evaluated on them; only these candidates are
-verified with the regex itself. A rule whose regex has no mandatory trigram scans every text.
+it. The index holds posting lists (trigram, text key) of the trigrams that the queries name. A query's lists are
+intersected by key: a key meets a conjunction if it stands in all of its lists, and a query if it meets an option of each
+clause. These candidates alone are verified with the rule's regex. A rule whose regex has no mandatory trigram scans every text.
 """
 
 from __future__ import annotations
@@ -20,6 +20,9 @@ from .common import Scratch
 
 #: Expansions of a stretch of a regex that are followed before its trigrams are taken.
 MOST = 64
+#: Bits of the bitmap that spares other rows than candidates the shuffle (a full one spares none and loses none); matches of a run.
+BITMAP, RUN = 1 << 24, 512
+SPANS = "array<struct<start:int,nth:int,end:int,kind:string>>"
 
 
 @dataclass(frozen=True)
@@ -114,20 +117,63 @@ def trigram_queries(pattern: str) -> list[list[list[str]]]:
 
 
 def _spans(text: Column, rule: Rule, at: int) -> Column:
-    """array<struct<start, nth, end, kind>> of a rule's matches, in code points: the texts between matches give the offsets."""
+    """array<struct<start, nth, end, kind>> of a rule's matches, in code points: the texts between matches give the offsets.
+
+    Runs of RUN matches are placed within themselves, then set off by the runs before them, so that long lists aren't copied
+    for each match.
+    """
     gaps, hits = F.split(text, rule.pattern, -1), F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
     key = hits if rule.group == 0 else F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group))
-    none = F.expr("cast(array() as array<struct<start:int,nth:int,end:int,kind:string>>)")
-    empty = F.struct(F.lit(0).alias("pos"), none.alias("out"))
+    none = F.expr(f"cast(array() as {SPANS})")
+
+    def span(start: Column, end: Column) -> Column:
+        return F.struct(start.alias("start"), F.lit(at).alias("nth"), end.alias("end"), F.lit(rule.kind).alias("kind"))
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["pos"] + F.length(x["gap"])
         end = start + F.length(x["hit"])
-        span = F.struct(start.alias("start"), F.lit(at).alias("nth"), end.alias("end"), F.lit(rule.kind).alias("kind"))
-        return F.struct(end.alias("pos"), F.when(F.length(x["key"]) >= rule.least, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+        return F.struct(end.alias("pos"), F.when(F.length(x["key"]) >= rule.least, F.concat(acc["out"], F.array(span(start, end)))).otherwise(acc["out"]).alias("out"))
+
+    def set_off(acc: Column, x: Column) -> Column:
+        moved = F.transform(x["out"], lambda s: span(acc["pos"] + s["start"], acc["pos"] + s["end"]))
+        return F.struct((acc["pos"] + x["pos"]).alias("pos"), F.concat(acc["out"], F.array(moved)).alias("out"))
 
     rows = F.arrays_zip(F.slice(gaps, 1, F.size(hits)).alias("gap"), hits.alias("hit"), key.alias("key"))
-    return F.when(text.rlike(rule.pattern), F.aggregate(rows, empty, step, lambda acc: acc["out"])).otherwise(none)
+    starts = F.sequence(F.lit(1), F.greatest(F.size(hits), F.lit(1)), F.lit(RUN))
+    runs = F.transform(starts, lambda i: F.aggregate(F.slice(rows, i, RUN), F.struct(F.lit(0).alias("pos"), none.alias("out")), step))
+    nested = F.expr(f"cast(array() as array<{SPANS}>)")
+    placed = F.aggregate(runs, F.struct(F.lit(0).alias("pos"), nested.alias("out")), set_off, lambda acc: F.flatten(acc["out"]))
+    return F.when(text.rlike(rule.pattern), placed).otherwise(none)
+
+
+def _postings(docs: DataFrame, named: list[str]) -> DataFrame:
+    """The inverted index: (trigram, as its place in ``named``; _scan_key) without repetition. Texts are put in lower case once."""
+    low = docs.where("text is not null").select("_scan_key", F.lower("text").alias("_scan_low"))
+    held = F.filter(F.array(*(F.when(F.contains("_scan_low", F.lit(t)), F.lit(i)) for i, t in enumerate(named))), lambda i: i.isNotNull())
+    return low.select("_scan_key", F.explode(held).alias("trigram")).distinct()
+
+
+def _candidates(postings: DataFrame, queries: list[list[list[list[str]]]], named: list[str]) -> DataFrame:
+    """(_scan_key, _scan_kinds): the rules whose queries a key meets, from the intersections of their posting lists."""
+    spark, at = postings.sparkSession, {t: i for i, t in enumerate(named)}
+    terms = [(at[t], r, c, o, len(every)) for r, q in enumerate(queries) for c, either in enumerate(q) for o, every in enumerate(either) for t in every]
+    terms = F.broadcast(spark.createDataFrame(terms, "trigram int, rule int, clause int, option int, need int"))  # the rules' trigrams
+    sizes = F.create_map(*(F.lit(x) for r, q in enumerate(queries) if q for x in (r, len(q))))
+    lists = postings.repartition("_scan_key").join(terms, "trigram")  # all that follows is by key
+    met = lists.groupBy("_scan_key", "rule", "clause", "option").agg(F.count("*").alias("n"), F.first("need").alias("need")).where("n = need")
+    met = met.groupBy("_scan_key", "rule").agg(F.count_distinct("clause").alias("n")).where(F.col("n") == sizes[F.col("rule")])
+    return met.groupBy("_scan_key").agg(F.collect_set("rule").alias("_scan_kinds"))
+
+
+def _may_hold(key: Column, bits: Column) -> Column:
+    """Whether a page's bit for a key is set; without a page it isn't."""
+    place = F.bitmap_bit_position(_spot(key))
+    byte = F.conv(F.hex(F.substring(bits, (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return F.coalesce(F.getbit(byte, (place % 8).cast("int")) == 1, F.lit(False))
+
+
+def _spot(key: Column) -> Column:
+    return F.pmod(key, F.lit(BITMAP)) + 1
 
 
 def scan(documents: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -136,36 +182,34 @@ def scan(documents: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     Spans are leftmost, non-overlapping for each rule, in code points, the end exclusive. A null text has no
     spans. Null ids, repeated rows and other columns change nothing (a clashing secret_spans is replaced).
     Equal texts share a key, so copies share postings; a collision of keys only adds a candidate, which the
-    regex then rejects. Only posting lists of the queries' trigrams are built.
+    regex then rejects. Only posting lists of the queries' trigrams are built. Candidates' texts meet their rules by a
+    join; a bitmap of bounded size tells most others, which stay where they are.
     """
     scratch = Scratch(documents.sparkSession, "secrets")
-    queries = {r.kind: trigram_queries(r.pattern) for r in rules}
-    named = sorted({t for q in queries.values() for either in q for every in either for t in every})
-    docs = documents.drop("secret_spans").withColumn("_key", F.xxhash64("text"))
-    low = F.lower("text")
-    held = F.filter(F.array(*(F.when(F.contains(low, F.lit(t)), F.lit(t)) for t in named)), lambda t: t.isNotNull())
-    postings = scratch.keep(docs.where("text is not null").select("_key", F.explode(held).alias("trigram")).distinct(), "postings")
-    lists = postings.groupBy("_key").agg(F.collect_set("trigram").alias("has"))
-
-    def meets(query) -> Column:
-        out = F.lit(True)
-        for either in query:
-            some = F.lit(False)
-            for every in either:
-                some = some | (F.size(F.array_intersect("has", F.array(*map(F.lit, every)))) == len(every))
-            out = out & some
-        return out
-
-    kinds = F.filter(F.array(*(F.when(meets(q), F.lit(k)) for k, q in queries.items() if q)), lambda k: k.isNotNull())
-    candidates = lists.select("_key", kinds.alias("_kinds")).where(F.size("_kinds") > 0)
-    joined = docs.join(candidates, "_key", "left")
-    none = F.expr("cast(array() as array<struct<start:int,nth:int,end:int,kind:string>>)")
-    found = [
-        F.when(F.array_contains("_kinds", r.kind), _spans(F.col("text"), r, i)).otherwise(none) if queries[r.kind] else F.coalesce(_spans(F.col("text"), r, i), none)
-        for i, r in enumerate(rules)
-    ]
-    spans = F.array_sort(F.concat(*(F.coalesce(f, none) for f in found)))
-    return joined.withColumn("secret_spans", spans).drop("_key", "_kinds")
+    queries = [trigram_queries(r.pattern) for r in rules]
+    named = sorted({t for q in queries for either in q for every in either for t in every})
+    keep = [c for c in documents.columns if c not in ("secret_spans", "_scan_key", "_scan_kinds", "_scan_page", "_scan_bits", "_scan_at")]
+    docs = documents.select(*keep).withColumn("_scan_key", F.xxhash64("text"))
+    none = F.expr(f"cast(array() as {SPANS})")
+
+    def found(rows: DataFrame, kinds: Column | None) -> DataFrame:
+        spans = [_spans(F.col("text"), r, i) for i, r in enumerate(rules)]
+        if kinds is not None:
+            spans = [F.when(F.array_contains(kinds, i), s) if queries[i] else s for i, s in enumerate(spans)]
+        else:
+            spans = [s for i, s in enumerate(spans) if not queries[i]]
+        return rows.select(*keep, F.array_sort(F.concat(none, *(F.coalesce(s, none) for s in spans))).alias("secret_spans"))
+
+    if not named:
+        return found(docs, None)
+    postings = scratch.keep(_postings(docs, named), "postings")
+    candidates = scratch.keep(_candidates(postings, queries, named), "candidates")
+    page, bit = F.bitmap_bucket_number(_spot(F.col("_scan_key"))), F.bitmap_bit_position(_spot(F.col("_scan_key")))
+    pages = scratch.keep(candidates.groupBy(page.alias("_scan_page")).agg(F.bitmap_construct_agg(bit).alias("_scan_bits")), "pages")
+    docs = docs.withColumn("_scan_at", page).join(F.broadcast(pages), F.col("_scan_at") == F.col("_scan_page"), "left")  # BITMAP / 8 bytes at most
+    maybe = F.col("text").isNotNull() & _may_hold(F.col("_scan_key"), F.col("_scan_bits"))
+    near = docs.where(maybe).drop("_scan_page", "_scan_bits", "_scan_at").join(candidates, "_scan_key", "left")
+    return found(near, F.coalesce("_scan_kinds", F.array().cast("array<int>"))).unionByName(found(docs.where(~maybe), None))
 
 
 def digest(scanned: DataFrame) -> DataFrame:
