@@ -13,13 +13,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import held_out, labelled
+from .common import held_out, labelled, small_batches
+from .stores import kept
 
-#: Bounds of the training sample: documents of each class, and windows of a document.
-PER_CLASS, DOC_WINDOWS = 1500, 12
+#: Bounds of the training sample: documents of each class, and words of them all; a document takes an eighth of the words at most.
+PER_CLASS, MOST_WORDS = 1500, 1_200_000
 WINDOW, STRIDE = 64, 48
 DIM, HIDDEN, ATTEND = 16, 12, 12
 BUCKETS = 1 << 14
@@ -295,29 +296,30 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(top - self.net.shift, -50, 50)))
 
 
-_scorers: dict[int, Scorer] = {}
-
-
 def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = PER_CLASS) -> Network | None:
-    """Train on at most ``per_class`` labelled documents of each class outside the held-out fold; None without both classes.
+    """Train on a bounded sample of labelled documents outside the held-out fold; None without both classes.
 
-    Executors cut each of them into windows and send DOC_WINDOWS at most, evenly spread over the text.
+    At most ``per_class`` documents of each class are drawn, in an order by hash, and of them as many as come to half of
+    MOST_WORDS words; documents of more than an eighth of MOST_WORDS words aren't drawn. All windows of a drawn document are
+    learned from. Of several texts of an id one is taken, and of several labels the largest.
     """
+    small_batches(documents.sparkSession)
     rates = {r["y"]: r["n"] for r in labels.where(F.col(label).isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy(F.col(label).cast("int").alias("y")).agg(F.count("*").alias("n")).collect()}
     if len(rates) < 2:
         return None
 
     def cut(batches):
         for b in batches:
-            out = []
-            for d, t, y in zip(b["doc_id"], b["text"], b["y"], strict=True):
-                words = words_of(t)
-                starts = window_starts(len(words))
-                pick = sorted({round(i * (len(starts) - 1) / max(1, min(DOC_WINDOWS, len(starts)) - 1)) for i in range(min(DOC_WINDOWS, len(starts)))})
-                out += [(d, j, " ".join(words[starts[j] : starts[j] + WINDOW]), y) for j in pick]
-            yield pd.DataFrame(out, columns=["doc_id", "j", "words", "y"])
-
-    rows = labelled(documents, labels, label, per_class).mapInPandas(cut, "doc_id bigint, j int, words string, y int").collect()
+            for i in range(0, len(b), 100):
+                some = b.iloc[i : i + 100]
+                texts = ((d, words_of(t), y) for d, t, y in zip(some["doc_id"], some["text"], some["y"], strict=True))
+                out = [(d, j, " ".join(words[s : s + WINDOW]), y) for d, words, y in texts for j, s in enumerate(window_starts(len(words)))]
+                yield pd.DataFrame(out, columns=["doc_id", "j", "words", "y"])
+
+    sized = labelled(documents, labels, label, per_class).withColumn("n", F.coalesce(F.regexp_count("text", F.lit(r"\S+")), F.lit(0)))
+    turn = Window.partitionBy("y").orderBy(F.xxhash64(F.lit(7), "doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)  # per_class rows at most
+    drawn = sized.where(F.col("n") <= MOST_WORDS // 8).withColumn("so_far", F.sum("n").over(turn)).where(F.col("so_far") <= MOST_WORDS // 2)
+    rows = drawn.select("doc_id", "text", "y").mapInPandas(cut, "doc_id bigint, j int, words string, y int").collect()
     rows = [(r["doc_id"], r["words"].split(), r["y"]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["j"], r["words"]))]
     rows = [r for r in rows if r[1]]
     return train(rows, rates[1] / sum(rates.values())) if len({r[2] for r in rows}) == 2 else None
@@ -329,16 +331,15 @@ def score_documents(documents: DataFrame, net: Network | None, threshold: float
     Null texts score as empty ones, which have one window without words. Without a network (no labels of both classes)
     every score is 0. Null ids are never held out. Repeated rows score alike; clashing columns are replaced.
     """
+    small_batches(documents.sparkSession)
     shipped = documents.sparkSession.sparkContext.broadcast(net)
     mark = 0 if net is None else zlib.crc32(net.p["E"].tobytes())
 
     def run(text: pd.Series) -> pd.Series:
         if shipped.value is None:
             return pd.Series(np.zeros(len(text)))
-        if mark not in _scorers:
-            _scorers.clear()
-            _scorers[mark] = Scorer(shipped.value)
-        return pd.Series(_scorers[mark].score(text.fillna("").tolist()), dtype="float64")
+        own = kept(("toxicity", mark), lambda: Scorer(shipped.value))
+        return pd.Series(own.score(text.fillna("").tolist()), dtype="float64")
 
     keep = [c for c in documents.columns if c not in ("held_out", "score", "predicted")]
     scored = documents.select(*keep, held_out(F.col("doc_id")).alias("held_out"), F.pandas_udf(run, "double")(F.col("text")).alias("score"))
