@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .common import Scratch
 
 MAX_NODES = 100_000
-BITS, FINAL_ROWS = 10, 512
+BITS, FINAL_ROWS, SALTS = 10, 512, 256
 
 
 def word_count(text: Column) -> Column:
@@ -171,7 +171,7 @@ def mix(documents: DataFrame, quotas, size: Column, members: Column, epochs: int
     spark = documents.sparkSession
     scratch = Scratch(spark, "mix")
     rows = scratch.keep(
-        documents.select(*carry, F.sort_array(members).alias("members"), size.alias("size"), F.shiftrightunsigned(F.xxhash64(F.lit(seed), *carry, F.xxhash64("text")), 2).alias("key")), "rows"
+        documents.select(*carry, F.sort_array(members).alias("members"), size.alias("size"), F.shiftrightunsigned(F.xxhash64(F.lit(seed), *carry, F.xxhash64("text")), 2).alias("key"), (F.monotonically_increasing_id() % SALTS).alias("salt")), "rows"
     )
     found = rows.groupBy("members").agg(F.sum("size").alias("size")).limit(MAX_NODES + 1).collect()
     if len(found) > MAX_NODES:
@@ -196,19 +196,24 @@ def mix(documents: DataFrame, quotas, size: Column, members: Column, epochs: int
     picked = spark.createDataFrame([(i, k, t) for i, (_, _, c) in cuts.items() for k, t in c], "pattern int, key bigint, take bigint")
     rows = rows.join(hint(edge), "pattern", "left").join(hint(picked), ["pattern", "key"], "left")  # at most FINAL_ROWS keys a pattern
     below = F.col("shift").isNotNull() & (F.col("cut").isNull() | (F.expr("shiftright(key, shift)") < F.col("cut")))
-    repeated = [r[0] for r in picked.where("take > 0").select("key").join(rows.select("key"), "key").groupBy("key").count().where("count > 1").limit(FINAL_ROWS * 64).collect()] if cuts else []
-    if repeated:  # identical rows at the cut: only so many of them as fit
-        nth = F.expr("row_number() over (partition by pattern, key order by size)")
-        some = F.col("key").isin(repeated)
-        rows = rows.where(~some).withColumn("nth", F.lit(1)).unionByName(rows.where(some).withColumn("nth", nth))
-    else:
-        rows = rows.withColumn("nth", F.lit(1))
+    # rows at the cut that share a key: only so many of them as fit, counted off salt by salt
+    at_cut = rows.where("take > 0")
+    spots = ["pattern", "key", "salt"]
+    counts = at_cut.groupBy(*spots).agg(F.count("*").alias("n"))
+    before = counts.select(*spots, F.expr("sum(n) over (partition by pattern, key order by salt) - n").alias("before"))  # SALTS rows a key at most
+    at_cut = at_cut.join(before, spots).withColumn("nth", F.col("before") + F.expr("row_number() over (partition by pattern, key, salt order by size)")).drop("before")
+    rows = rows.where(~F.coalesce(F.col("take") > 0, F.lit(False))).withColumn("nth", F.lit(1).cast("long")).unionByName(at_cut)
     extra = below | (F.col("nth") <= F.coalesce("take", F.lit(0)))
     return rows.select(*carry, "members", "size", (F.col("size") * (F.coalesce("full", F.lit(0)) + extra.cast("long"))).alias("taken"))
 
 
 def source_mix(documents: DataFrame, carry: tuple = ("doc_id",)) -> DataFrame:
-    """The mix of ``documents`` whose only membership is their source: ``carry``, size, source_size, target, taken."""
+    """The mix of ``documents`` whose only membership is their source: ``carry``, size, source_size, target, taken.
+
+    A null source is a source of its own, the last; a null or blank text has size 0 and takes nothing. Null ids and repeated
+    rows are ordinary rows; of rows that are alike in ``carry`` and text, as many are taken as fit, whichever. An empty
+    table gives no rows. Columns of ``documents`` that clash with the results' names aren't carried.
+    """
     held: dict = {}
 
     def quotas(sizes):
