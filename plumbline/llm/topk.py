@@ -1,10 +1,10 @@
 """Exact top-k by inner product with block-at-a-time pruning.
 
-A vector's components are the weights of its terms. Rows are range-partitioned by id; in a partition they
-are cut into blocks, and for each block the largest and smallest weight of every term is kept. A query's
-bound for a block is the sum, over terms, of its weight times the block's extreme of the matching sign.
-Blocks are taken in order of falling bound and scored through their forward index (the rows' weights)
-until the next bound is below the query's k-th score.
+A vector's components are the weights of its terms. Rows are range-partitioned by id. In a partition documents are numbered
+anew, by the signs of its heaviest terms and then by id, so that ranges of documents are alike; each range of ``block`` numbers is
+a block, for which the largest and smallest weight of every term is kept. A query's bound for a block is the sum, over terms, of
+its weight times the block's extreme of the matching sign. Blocks are taken in order of falling bound and scored through their
+forward index (the rows' weights) until the next bound is below the query's k-th score.
 """
 
 from __future__ import annotations
@@ -38,7 +38,7 @@ def _matrix(vectors: list, width: int) -> np.ndarray:
 
 
 def _search(ids: np.ndarray, rows: np.ndarray, q_ids: np.ndarray, queries: np.ndarray, floor: np.ndarray, k: int, block: int):
-    """The k best of these rows for each query, of those that reach its floor; ties to the smaller id."""
+    """(place of the query, id, score) of the k best of these rows for each query, of those that reach its floor; ties to the smaller id."""
     big = max(int(np.abs(rows).max(initial=0)), int(np.abs(queries).max(initial=0)))
     exact = np.float64 if float(big) ** 2 * max(1, rows.shape[1]) < EXACT else np.int64
     # rows of the same leading signs stand together, which makes the blocks' extremes tight
@@ -63,7 +63,7 @@ def _search(ids: np.ndarray, rows: np.ndarray, q_ids: np.ndarray, queries: np.nd
                 top = np.lexsort([best_i, -best_s])[:k]
                 best_s, best_i = best_s[top], best_i[top]
                 kth = max(kth, best_s[-1])
-        out.append((np.full(len(best_i), q_ids[at]), best_i, best_s.astype(np.int64)))
+        out.append((np.full(len(best_i), at), best_i, best_s.astype(np.int64)))
     return [np.concatenate(x) if x else np.empty(0, np.int64) for x in zip(*out, strict=True)] if out else [np.empty(0, np.int64)] * 3
 
 
@@ -78,16 +78,17 @@ def exact_top_k(
 ) -> DataFrame:
     """The ``k`` best rows of ``vectors`` (vec_id, v) for each row of ``queries``, never the query's own id.
 
-    Returns query_id, rank (from 1), vec_id, score; ties go to the smaller vec_id. Repeated ids or vectors
-    are ordinary rows; no rows give no result; vectors of unequal length are padded with zeros; scores must
-    fit a long. Queries travel in chunks of ``chunk`` vectors, each met by all rows in blocks. A first
+    Returns query_id, rank (from 1), vec_id, score; ties go to the smaller vec_id. Repeated ids or vectors are ordinary rows;
+    a query that is repeated is one query, an id with several vectors several; no rows give no result; vectors of unequal length
+    are padded with zeros; null ids and vectors take no part; other columns are ignored; scores must fit a long. Queries travel in chunks of ``chunk`` vectors, each met by all rows in blocks. A first
     ``seed_rows`` rows, scored on the driver, give each query a k-th score from which pruning starts; it
     saves work and changes no result.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "topk")
-    vectors = scratch.keep(vectors.select("vec_id", "v"), "vectors")
-    queries = scratch.keep(queries.select("vec_id", "v").dropDuplicates(["vec_id", "v"]), "queries")
+    known = F.col("vec_id").isNotNull() & F.col("v").isNotNull()
+    vectors = scratch.keep(vectors.where(known).select("vec_id", "v"), "vectors")
+    queries = scratch.keep(queries.where(known).select("vec_id", "v").dropDuplicates(["vec_id", "v"]), "queries")
     n, width = vectors.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
     parts = max(1, math.ceil(n / partition_rows), min(spark.sparkContext.defaultParallelism, n // 4096))
     seeds = vectors.limit(seed_rows).collect()
@@ -107,17 +108,17 @@ def exact_top_k(
             floor -= 1e-9 * np.abs(floor)  # scores beyond 2**53 are rounded
         shipped = spark.sparkContext.broadcast((q_ids, q, floor))
 
-        def part(batches, shipped=shipped, width=width):
+        def part(batches, shipped=shipped, width=width, c=c):
             ids, rows = [], []
             for b in batches:
                 ids.append(b["vec_id"].to_numpy(np.int64))
                 rows.append(_matrix(list(b["v"]), width))
             q_ids, q, floor = shipped.value
             if ids and len(q_ids):
-                query, vec, score = _search(np.concatenate(ids), np.concatenate(rows), q_ids, q, floor, k, block)
-                yield pd.DataFrame({"query_id": query, "vec_id": vec, "score": score})
+                at, vec, score = _search(np.concatenate(ids), np.concatenate(rows), q_ids, q, floor, k, block)
+                yield pd.DataFrame({"query_id": q_ids[at], "q": c << 32 | at, "vec_id": vec, "score": score})
 
-        more = dealt.mapInPandas(part, "query_id bigint, vec_id bigint, score bigint")
+        more = dealt.mapInPandas(part, "query_id bigint, q bigint, vec_id bigint, score bigint")
         found = more if found is None else found.unionByName(more)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
