@@ -7,7 +7,7 @@ import re
 import zlib
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -15,7 +15,8 @@ from tokenizers import Tokenizer
 from plumbline.llm import bpe_codec, fingerprints, linking, mixing, near_dedup, quality, secret_scan, sharding, token_counts, topk, toxicity
 from plumbline.llm.common import Scratch
 from plumbline.llm.shingles import shingles
-from plumbline.llm.vocabulary import byte_path
+from plumbline.llm.stores import ENTRY_BYTES, Store, kept
+from plumbline.llm.vocabulary import WORDS, byte_path, spans, units
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -88,6 +89,25 @@ def test_sharding_keeps_every_row_among_long_texts(spark):
     assert max(sizes) - min(sizes) < 2 * len(long[0][1])
 
 
+def test_sharding_of_heavy_tails(spark):
+    r = random.Random(2)
+    rows = [(i, "x" * min(200_000, int(20 * r.paretovariate(0.6))), "en", "s", 1) for i in range(3000)]
+    rows = [(i, f"{i} {t}", *rest) for i, t, *rest in rows]
+    got = sharding.shard(spark.createDataFrame(rows, SCHEMA).repartition(6)).collect()
+    assert collections.Counter((x.doc_id, x.size) for x in got) == collections.Counter((i, len(t) + 8) for i, t, *_ in rows)
+    sizes = check_shards(got, 24)
+    assert max(sizes) <= sum(sizes) / 24 + max(len(t) for _, t, *_ in rows)
+
+
+def test_sharding_keeps_groups_that_fit(spark):
+    groups = [(10_000 * g + i, words(g, 20), "en", "s", 1) for g, n in enumerate((900, 700, 300, 40)) for i in range(n)]
+    rest = [(100_000 + i, words(50 + i, 20), "en", "s", 1) for i in range(6000)]
+    got = sharding.shard(spark.createDataFrame(groups + rest, SCHEMA).repartition(6), 8).collect()
+    sizes = check_shards(got, 8)
+    assert max(sizes) < 1.02 * sum(sizes) / 8 and min(sizes) > 0.98 * sum(sizes) / 8
+    assert all(len({x.shard for x in got if x.doc_id // 10_000 == g}) == 1 for g in range(4))
+
+
 # 2 top-k
 
 
@@ -108,6 +128,19 @@ def test_top_k_is_exact(spark):
     assert topk.exact_top_k(empty, empty).count() == 0
 
 
+def test_top_k_of_odd_vectors(spark):
+    """Unequal lengths, repeated ids, ids with several vectors, and columns of the results' names."""
+    rows = [(1, [1, 2]), (2, [3]), (2, [3]), (3, []), (4, [0, 0, 5]), (4, [7, 0, 1]), (None, [9, 9]), (5, None)]
+    v = spark.createDataFrame(rows, "vec_id bigint, v array<bigint>").withColumn("rank", F.lit("x")).withColumn("score", F.lit("x")).withColumn("q", F.lit(0))
+    got = topk.exact_top_k(v, v, k=3, block=2, seed_rows=2).collect()
+    pad = lambda x: (x + [0, 0, 0])[:3]
+    known, want = [(i, pad(x)) for i, x in rows if i is not None and x is not None], []
+    for i, q in {(i, tuple(x)) for i, x in known}:
+        best = sorted((-sum(a * b for a, b in zip(q, w)), j) for j, w in known if j != i)[:3]
+        want += [(i, n, j, -s) for n, (s, j) in enumerate(best, 1)]
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 # 3 mixing
 
 
@@ -145,9 +178,21 @@ def test_mix_meets_targets(spark, docs, none):
 
 
 def test_mix_of_identical_rows(spark):
-    df = spark.createDataFrame([(1, "a b c", "en", "s", 1)] * 100 + [(2, "d", "en", "t", 1)] * 3, SCHEMA)
-    got = mixing.source_mix(df).collect()
-    assert len(got) == 103 and abs(sum(r.taken for r in got if r.doc_id == 1) - got[0].target) <= 3 or got[0].doc_id == 2
+    df = spark.createDataFrame([(1, "a b c", "en", "s", 1)] * 100 + [(2, "d", "en", "t", 1)] * 3, SCHEMA).repartition(5)
+    got = mixing.source_mix(df.withColumn("taken", F.lit("x")).withColumn("key", F.lit("x"))).collect()
+    for doc, n in ((1, 100), (2, 3)):
+        own = [r for r in got if r.doc_id == doc]
+        assert len(own) == n and abs(sum(r.taken for r in own) - own[0].target) <= own[0]["size"] and len({r.taken for r in own}) <= 2
+
+
+def test_mix_of_many_sources_of_identical_rows(spark):
+    """Each source is one row again and again, so each source's cut lies inside rows that share a key."""
+    rows = [(s, "w " * (1 + s % 3), "en", f"s{s:03d}", 1) for s in range(120) for _ in range(12)]
+    got = mixing.source_mix(spark.createDataFrame(rows, SCHEMA).repartition(5)).collect()
+    assert len(got) == len(rows)
+    for s in range(120):
+        own = [r for r in got if r.doc_id == s]
+        assert len(own) == 12 and abs(sum(r.taken for r in own) - own[0].target) <= own[0]["size"]
 
 
 # 4 toxicity and 7 quality
@@ -259,6 +304,24 @@ def test_counts_equal_the_library(spark, docs, none):
     assert token_counts.count_tokens(none).count() == 0
 
 
+def test_words_of_parts():
+    """Cuts never fall inside a word, whatever white space stands there."""
+    for t in [*tricky_texts(), "a\n \nb", "a \n b", " \x85 b", "x  y "]:
+        want, cut, parts = WORDS.findall(t), units(t), spans(t, 7)
+        assert WORDS.findall(cut[0]) + [w for u in cut[1:] for w in WORDS.findall(" " + u)] == want
+        assert "".join(parts) == t and [w for p in parts for w in WORDS.findall(p)] == want
+
+
+def test_stores_stay_within_bounds():
+    store, learned = Store(40_000), []
+    for i in range(200):
+        look = store.ready({f"w{j}" for j in range(i, i + 20)} | {"x" * 100}, lambda lack: [learned.append(k) or k.upper() for k in lack])
+        assert [look(k) for k in ("w%d" % i, "x" * 100)] == [f"W{i}", "X" * 100]
+    assert len(store.young) + len(store.old) < 40_000 / ENTRY_BYTES + 40 and len(learned) == 219 + 200
+    first = kept("one", dict)
+    assert kept("one", dict) is first and kept("two", list) == [] and kept("one", dict) is not first
+
+
 # 6 secrets
 
 
@@ -289,6 +352,19 @@ def test_spans_equal_plain_search(spark, docs, none):
     assert secret_scan.scan(none).count() == 0
 
 
+def test_spans_of_many_matches_and_clashing_names(spark):
+    """Runs of matches are set off by the runs before them; copies share postings; kinds without a trigram scan every text."""
+    long = " ".join(f"é token={'x' * (i % 9)}abcdef AKIA{'A' * 16}" for i in range(1300))
+    rows = [(1, long, "en", "s", 1), (2, "no secret here", "en", "s", 1), (3, None, "en", "s", 1), (4, "0" * 30, "en", "s", 1)] + [(5, "token: abcdefgh", "en", "s", 1)] * 20
+    df = spark.createDataFrame(rows, SCHEMA).withColumn("_key", F.lit("mine")).withColumn("trigram", F.lit(1)).withColumn("_scan_key", F.lit(1))
+    got = secret_scan.scan(df.repartition(4)).collect()
+    assert len(got) == len(rows) and all(x._key == "mine" and x.trigram == 1 for x in got)
+    for x in got:
+        assert [(s.start, s.nth, s.end) for s in x.secret_spans] == secret_scan.base_spans(x.text)
+    none_named = secret_scan.scan(df, (secret_scan.Rule("digits", "[0-9]{24,}", 0, 24),)).collect()
+    assert sum(len(x.secret_spans) for x in none_named) == 1
+
+
 # 8 fingerprints
 
 
@@ -368,7 +444,7 @@ def linked(spark, sets, bands):
     keys = [hashlib.md5(str(i).encode()).digest() for i in range(len(sets))]
     held = spark.createDataFrame([(k, bands) for k in keys], "key binary, bands array<bigint>")
     texts = spark.createDataFrame([(k, " ".join(map(str, sorted(x)))) for k, x in zip(keys, sets)], "key binary, text string")
-    unpack = lambda t: pd.Series([np.array(x.split(), np.int64) for x in t])
+    unpack = lambda t: pa.array([np.array(x.split(), np.int64) for x in t.to_pylist()], pa.list_(pa.int64()))
     jaccard = lambda a, b: len(np.intersect1d(a, b)) / len(np.union1d(a, b))
     got = {bytes(r["key"]): bytes(r["class"]) for r in linking.link(Scratch(spark, "test"), held, texts, unpack, jaccard, 0.8).collect()}
     near = [[i for i, y in enumerate(sets) if len(x & y) / len(x | y) >= 0.8] for x in sets]
@@ -421,8 +497,18 @@ def test_near_dedup_of_pairs_in_wide_buckets(spark):
 def test_fingerprint_classes_equal_all_pairs(spark):
     rows = near_corpus()
     jaccard = lambda a, b: len(np.intersect1d(a, b)) / max(1, len(np.union1d(a, b)))
-    got = {r.doc_id: r.class_id for r in fingerprints.near_classes(spark.createDataFrame(rows, SCHEMA).repartition(5)).collect()}
-    assert got == brute_classes([r[:2] for r in rows], jaccard)
+    df, want = spark.createDataFrame(rows, SCHEMA).repartition(5), brute_classes([r[:2] for r in rows], jaccard)
+    assert {r.doc_id: r.class_id for r in fingerprints.near_classes(df).collect()} == want
+    assert {r.doc_id: r.class_id for r in fingerprints.compare_edits(df).collect()} == want
+    assert {r.class_id for r in fingerprints.compare_edits(df, classes=False).collect()} == {None}
+
+
+def test_fingerprint_classes_of_odd_rows(spark, docs, none):
+    got = fingerprints.near_classes(docs.withColumn("key", F.lit("x")).withColumn("class_id", F.lit("x"))).collect()
+    assert len(got) == len(odd_rows()) and fingerprints.near_classes(none).count() == 0
+    assert sorted((r.doc_id, r.class_id) for r in got if r.doc_id is not None) == [(1, 1), (2, 1), (3, 3), (3, 3), (4, 3), (5, 5), (6, 6), (7, 7), (8, 8), (9, 9), (10, 10), (11, 10)]
+    same = fingerprints.compare_edits(spark.createDataFrame([(None, "a b", None, None, None)] * 40 + [(7, "a b", None, None, None)], SCHEMA)).collect()
+    assert len(same) == 41 and {r.class_id for r in same} == {7}
 
 
 def test_near_dedup_of_odd_rows(spark, docs, none):
