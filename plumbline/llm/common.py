@@ -30,21 +30,32 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, tag: str):
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}", 0
+        self.held: set[str] = set()
 
     def keep(self, df: DataFrame, name: str = "t") -> DataFrame:
         """Write ``df`` as Parquet and read it back."""
         self.n += 1
         path = f"{self.root}/{self.n:03d}-{name}"
         df.write.parquet(path)
+        self.held.add(path)
         back = self.spark.read.schema(df.schema).parquet(path)
         back._scratch_path = path
         return back
 
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables that nothing will read again."""
-        for t in tables:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(t._scratch_path)
+        self._delete({t._scratch_path for t in tables} & self.held)
+
+    def only(self, table: DataFrame) -> DataFrame:
+        """Delete all tables but this one."""
+        self._delete(self.held - {table._scratch_path})
+        return table
+
+    def _delete(self, names: set[str]) -> None:
+        for name in names:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        self.held -= names
 
 
 #: Bytes of an Arrow batch between Spark and Python, instead of Spark's default of 64 MB.

@@ -78,7 +78,7 @@ def near_classes(documents: DataFrame, threshold: float = 0.8) -> DataFrame:
         return both / max(1, len(a) + len(b) - both)
 
     rows = scratch.keep(own.select("doc_id", F.xxhash64("text").alias("h"), "key", F.arrow_udf(places, "array<bigint>")(F.col("text")).alias("bands")), "rows")
-    found = link(scratch, rows.select("key", "bands"), own.select("key", "text"), unpack, jaccard, threshold)
+    found = link(rows.select("key", "bands"), own.select("key", "text"), unpack, jaccard, threshold)
     ids = scratch.keep(rows.select("doc_id", "h", "key").join(found, "key", "left").withColumn("class", F.coalesce("class", "key")), "ids")
     scratch.drop(rows)
     least = scratch.keep(ids.groupBy("class").agg(F.min("doc_id").alias("class_id")), "least")

@@ -49,9 +49,9 @@ def components(scratch: Scratch, links: DataFrame) -> DataFrame:
 
 
 def _bitmap(spots: DataFrame) -> Broadcast:
-    """A bit for each of the ``spot``s (from 1 to BITMAP) of a table, BITMAP bits whatever its size."""
-    page, bit = F.bitmap_bucket_number("spot"), F.bitmap_bit_position("spot")
-    pages = spots.groupBy(page.alias("page")).agg(F.bitmap_construct_agg(bit).alias("bits")).collect()
+    """A bit for each of the ``spot``s (from 1 to BITMAP) of a table, BITMAP bits whatever its size. Spots are shuffled, not pages of them."""
+    dealt = spots.select(F.bitmap_bucket_number("spot").alias("page"), F.bitmap_bit_position("spot").alias("bit")).repartition("page")
+    pages = dealt.groupBy("page").agg(F.bitmap_construct_agg("bit").alias("bits")).collect()
     bits = np.zeros(BITMAP // 8, np.uint8)
     for p in pages:
         bits[(p["page"] - 1) * PAGE // 8 : p["page"] * PAGE // 8] = np.frombuffer(bytes(p["bits"]), np.uint8)
@@ -103,7 +103,6 @@ def arrays(lists: pa.Array) -> list[np.ndarray]:
 
 
 def link(
-    scratch: Scratch,
     bands: DataFrame,
     contents: DataFrame,
     unpack: Callable[[pa.Array], pa.Array],
@@ -113,8 +112,10 @@ def link(
     """(key, class) of every key that has a link; the class is the least key of its component.
 
     ``bands``: (key, bands array<long>), equal for equal keys. ``contents``: (key, text), from which ``unpack`` makes the
-    array<long> that ``similarity`` compares; only rows with candidates are shuffled or unpacked.
+    array<long> that ``similarity`` compares; only rows with candidates are shuffled or unpacked. Of the tables that this writes to
+    the shared folder, the result alone is left.
     """
+    scratch = Scratch(bands.sparkSession, "links")
     measure = F.arrow_udf(lambda x, y: pa.array([similarity(a, b) for a, b in zip(arrays(x), arrays(y), strict=True)], pa.float64()), "double")
     members = _members(scratch, bands)
     busy = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("key").alias("lo"), F.max("key").alias("hi")).where("n > 1")
@@ -141,7 +142,7 @@ def link(
     some = verified(_few(mixed.where(F.col("n") <= FEW)).distinct().join(done, ["a", "b"], "left_anti"))
     many = _by_blocks(scratch, mixed.where(F.col("n") > FEW), sets, similarity, threshold)
     found = some.unionByName(many)
-    return classes if found.isEmpty() else _merged(scratch, classes, found)
+    return scratch.only(classes if found.isEmpty() else _merged(scratch, classes, found))
 
 
 def _unresolved(active: DataFrame, classes: DataFrame) -> DataFrame:

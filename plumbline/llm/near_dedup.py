@@ -134,10 +134,11 @@ def classes(documents: DataFrame, threshold: float = 0.8) -> DataFrame:
     def unpack(text: pa.Array) -> pa.Array:
         return pa.array([np.sort(shingles(x)).view(np.int64) for texts in text_lists(text) for x in texts], pa.list_(pa.int64()))
 
-    found = link(scratch, rows.select("key", "bands"), real.select("key", "text"), unpack, similarity, threshold)
+    found = link(rows.select("key", "bands"), real.select("key", "text"), unpack, similarity, threshold)
     ids = rows.select("doc_id", "key").join(found, "key", "left").select("doc_id", "key", F.coalesce("class", "key").alias("class"))
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("least")
     ids = scratch.keep(ids, "ids")
+    scratch.drop(rows)
     named = ids.join(scratch.keep(ids.groupBy("class").agg(least), "least"), "class")
     kept = F.col("least.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("least.key") == F.col("key"))
     out = named.select("doc_id", F.col("least.doc_id").alias("class_id"), "key", kept.alias("kept"))

@@ -205,7 +205,8 @@ def scan(documents: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     postings = scratch.keep(_postings(docs, named), "postings")
     candidates = scratch.keep(_candidates(postings, queries, named), "candidates")
     page, bit = F.bitmap_bucket_number(_spot(F.col("_scan_key"))), F.bitmap_bit_position(_spot(F.col("_scan_key")))
-    pages = scratch.keep(candidates.groupBy(page.alias("_scan_page")).agg(F.bitmap_construct_agg(bit).alias("_scan_bits")), "pages")
+    spots = candidates.select(page.alias("_scan_page"), bit.alias("bit")).repartition("_scan_page")  # spots are shuffled, not pages of them
+    pages = scratch.keep(spots.groupBy("_scan_page").agg(F.bitmap_construct_agg("bit").alias("_scan_bits")), "pages")
     docs = docs.withColumn("_scan_at", page).join(F.broadcast(pages), F.col("_scan_at") == F.col("_scan_page"), "left")  # BITMAP / 8 bytes at most
     maybe = F.col("text").isNotNull() & _may_hold(F.col("_scan_key"), F.col("_scan_bits"))
     near = docs.where(maybe).drop("_scan_page", "_scan_bits", "_scan_at").join(candidates, "_scan_key", "left")

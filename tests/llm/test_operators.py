@@ -446,7 +446,7 @@ def linked(spark, sets, bands):
     texts = spark.createDataFrame([(k, " ".join(map(str, sorted(x)))) for k, x in zip(keys, sets)], "key binary, text string")
     unpack = lambda t: pa.array([np.array(x.split(), np.int64) for x in t.to_pylist()], pa.list_(pa.int64()))
     jaccard = lambda a, b: len(np.intersect1d(a, b)) / len(np.union1d(a, b))
-    got = {bytes(r["key"]): bytes(r["class"]) for r in linking.link(Scratch(spark, "test"), held, texts, unpack, jaccard, 0.8).collect()}
+    got = {bytes(r["key"]): bytes(r["class"]) for r in linking.link(held, texts, unpack, jaccard, 0.8).collect()}
     near = [[i for i, y in enumerate(sets) if len(x & y) / len(x | y) >= 0.8] for x in sets]
     return [got.get(k, k) for k in keys], near, keys
 
