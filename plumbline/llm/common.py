@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -47,8 +48,11 @@ class Scratch:
         self._delete({t._scratch_path for t in tables} & self.held)
 
     def only(self, table: DataFrame) -> DataFrame:
-        """Delete all tables but this one."""
+        """Delete all tables but this one, and let Spark's cleaner delete the shuffles that nothing refers to any more: it
+        follows the driver's garbage collection, which else may come after the next shuffles are written."""
         self._delete(self.held - {table._scratch_path})
+        gc.collect()
+        self.spark._jvm.System.gc()
         return table
 
     def _delete(self, names: set[str]) -> None:

@@ -118,7 +118,8 @@ def link(
     scratch = Scratch(bands.sparkSession, "links")
     measure = F.arrow_udf(lambda x, y: pa.array([similarity(a, b) for a, b in zip(arrays(x), arrays(y), strict=True)], pa.float64()), "double")
     members = _members(scratch, bands)
-    busy = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("key").alias("lo"), F.max("key").alias("hi")).where("n > 1")
+    # kept, so that the joins that follow are of plain shuffles, whose hot buckets Spark can split
+    busy = scratch.keep(members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("key").alias("lo"), F.max("key").alias("hi")).where("n > 1"), "busy")
     active = scratch.keep(members.join(busy, "bucket").select("bucket", "key", "lo", "hi"), "active")
     pairs = scratch.keep(_ends(active), "pairs")
     # all later rounds' keys are in a pair of the first
@@ -133,7 +134,7 @@ def link(
     best = F.expr("row_number() over (partition by b order by shared desc, a)")
     firsts = scratch.keep(pairs.withColumn("r", best).where("r = 1").select("a", "b"), "firsts")
     classes = components(scratch, verified(firsts))
-    drawn = _drawn(active, _unresolved(active, classes))
+    drawn = _drawn(scratch, active, _unresolved(active, classes))
     done = scratch.keep(pairs.select("a", "b").unionByName(drawn).distinct(), "pairs")
     found = verified(_between(done.join(firsts, ["a", "b"], "left_anti"), classes))
     if not found.isEmpty():
@@ -153,10 +154,11 @@ def _unresolved(active: DataFrame, classes: DataFrame) -> DataFrame:
     return own.where((F.col("class") != F.coalesce("c_lo", "lo")) & (F.col("class") != F.coalesce("c_hi", "hi")))
 
 
-def _drawn(active: DataFrame, left: DataFrame) -> DataFrame:
+def _drawn(scratch: Scratch, active: DataFrame, left: DataFrame) -> DataFrame:
     """(a, b): unresolved rows with DRAWN members of their bucket, each the least by another hash."""
-    some = active.join(left.select("bucket").distinct(), "bucket", "left_semi")
-    ends = some.groupBy("bucket").agg(*(F.min_by("key", F.xxhash64(F.lit(i), "key")).alias(f"e{i}") for i in range(DRAWN)))
+    left = scratch.keep(left.select("bucket", "key"), "left")
+    some = active.join(scratch.keep(left.select("bucket").distinct(), "buckets"), "bucket", "left_semi")
+    ends = scratch.keep(some.groupBy("bucket").agg(*(F.min_by("key", F.xxhash64(F.lit(i), "key")).alias(f"e{i}") for i in range(DRAWN))), "drawn")
     far = left.select("bucket", "key").join(ends, "bucket").select("key", F.explode(F.array_distinct(F.array(*(f"e{i}" for i in range(DRAWN))))).alias("end")).where("key != end")
     return far.select(F.least("key", "end").alias("a"), F.greatest("key", "end").alias("b")).distinct()
 
@@ -198,7 +200,7 @@ def _mixed(scratch: Scratch, active: DataFrame, classes: DataFrame) -> DataFrame
     own = scratch.keep(own, "own")
     parts = own.groupBy("bucket", "class").agg(F.count("*").alias("m"))
     kinds = parts.groupBy("bucket").agg(F.sum("m").alias("n"), F.max(F.struct("m", "class"))["class"].alias("main"), F.count("*").alias("kinds")).where("kinds > 1")
-    return scratch.keep(own.join(kinds.drop("kinds"), "bucket"), "mixed")
+    return scratch.keep(own.join(scratch.keep(kinds.drop("kinds"), "kinds"), "bucket"), "mixed")
 
 
 def _by_blocks(scratch: Scratch, mixed: DataFrame, sets: DataFrame, similarity: Callable[[np.ndarray, np.ndarray], float], threshold: float) -> DataFrame:
