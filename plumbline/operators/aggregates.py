@@ -276,15 +276,16 @@ def _literal(x) -> Column:
     return F.struct(*(F.lit(v).alias(k) for k, v in x.asDict().items())) if isinstance(x, Row) else F.lit(x)
 
 
-def _part(col: str | Column, cuts: list) -> Column:
-    """The number of cuts at or below a value (0 for null), found by halving."""
+def _part(col: str | Column, cuts: list, kind: str | None = None) -> Column:
+    """The number of cuts, as values of ``kind``, at or below a value (0 for null), found by halving."""
     col = F.col(col) if isinstance(col, str) else col
 
     def halve(lo: int, hi: int) -> Column:
         if lo == hi:
             return F.lit(lo)
         mid = (lo + hi) // 2
-        return F.when(col >= _literal(cuts[mid]), halve(mid + 1, hi)).otherwise(halve(lo, mid))
+        cut = _literal(cuts[mid])
+        return F.when(col >= (cut.cast(kind) if kind else cut), halve(mid + 1, hi)).otherwise(halve(lo, mid))
 
     return halve(0, len(cuts))
 

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .aggregates import _cuts, _part, parts_of
+
 
 def _known(keys: list[str]) -> Column:
     out = F.lit(True)
@@ -21,7 +23,8 @@ def asof_join(left: DataFrame, right: DataFrame, on: str, by: list[str], values:
     """``left`` with the values of the latest ``right`` row of the same keys at or before its time.
 
     The row is matched, not each value, so its null values stay null. Right rows without a time or with a null key match
-    nothing. Among right rows of one time, the last by ``tiebreak`` counts.
+    nothing. Among right rows of one time, the last by ``tiebreak`` counts. Without keys, time is cut into ranges, and a range's rows
+    also see the last right row of the ranges before it: no task holds all rows.
     """
     carried = F.struct(*(F.col(v).alias(f"{v}{suffix}") for v in values), *([F.col(tiebreak).alias("_tie")] if tiebreak else []))
     own = F.struct(*left.columns)
@@ -29,18 +32,28 @@ def asof_join(left: DataFrame, right: DataFrame, on: str, by: list[str], values:
     r_rows = right.where(F.col(on).isNotNull() & _known(by)).select(*by, F.col(on).alias("_t"), F.lit(0).alias("_side"), carried.alias("_r"))
     both = l_rows.unionByName(r_rows, allowMissingColumns=True)
     order = [F.col("_t"), F.col("_side")] + ([F.col("_r._tie")] if tiebreak else [])
-    seen = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    found = both.withColumn("_r", F.last("_r", ignorenulls=True).over(seen)).where("_side = 1")
+    if by:
+        seen = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        found = both.withColumn("_r", F.last("_r", ignorenulls=True).over(seen)).where("_side = 1")
+    else:
+        both = both.withColumn("_part", _part("_t", _cuts(both, "_t", parts_of(both)), dict(both.dtypes)["_t"]))
+        ends = both.groupBy("_part").agg(F.max_by("_r", F.when(F.col("_side") == 0, F.struct(*order))).alias("_end"))
+        before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+        ends = ends.select("_part", F.last("_end", ignorenulls=True).over(before).alias("_carry"))  # a row for each part
+        seen = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        found = both.withColumn("_r", F.last("_r", ignorenulls=True).over(seen)).where("_side = 1")
+        found = found.join(F.broadcast(ends), "_part").withColumn("_r", F.coalesce("_r", "_carry"))
     return found.select("_l.*", *(F.when(_known(by) & F.col("_t").isNotNull(), F.col(f"_r.{v}{suffix}")).alias(f"{v}{suffix}") for v in values))
 
 
 def asof_join_tiers(left: DataFrame, right: DataFrame, on: str, tiers: list[list[str]], value: str, key: str, min_group_size: int = 1, tiebreak: str | None = None) -> DataFrame:
-    """As-of join along a chain of coarser keys: the first tier whose value isn't null and whose group of right rows is large
+    """As-of join along a chain of coarser keys, of none for all rows: the first tier whose value isn't null and whose group of right rows is large
     enough. Adds ``value`` and ``tier`` (-1: none). ``key`` identifies left rows."""
     out = left
     for i, by in enumerate(tiers):
         sizes = right.groupBy(*by).agg(F.count("*").alias(f"_n{i}"))
-        got = asof_join(left.select(key, on, *by), right, on, by, [value], suffix=f"_{i}", tiebreak=tiebreak).join(sizes, by, "left")
+        got = asof_join(left.select(key, on, *by), right, on, by, [value], suffix=f"_{i}", tiebreak=tiebreak)
+        got = got.join(sizes, by, "left") if by else got.join(F.broadcast(sizes), how="left")  # one row
         out = out.join(got.select(key, F.when(F.col(f"_n{i}") >= min_group_size, F.col(f"{value}_{i}")).alias(f"_v{i}")), key, "left")
     tier = F.lit(-1)
     for i in reversed(range(len(tiers))):

@@ -36,8 +36,8 @@ def asof_last_view(read):
     "value",
 )
 def asof_fallback_tiers(read):
-    e = read("events").withColumn("every", F.lit(1))
-    got = asof.asof_join_tiers(e.where(BUYS).select("event_id", "user_id", "every", "ts"), e.where("event_type = 'error'"), "ts", [["user_id"], ["every"]], "value", "event_id", 12, "event_id")
+    e = read("events")
+    got = asof.asof_join_tiers(e.where(BUYS).select("event_id", "user_id", "ts"), e.where("event_type = 'error'"), "ts", [["user_id"], []], "value", "event_id", 12, "event_id")
     return got.select("event_id", "value", "tier")
 
 

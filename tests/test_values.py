@@ -132,3 +132,18 @@ def test_spectral_gap(spark):
     ring = [(1, i, (i + 1) % 6) for i in range(6)] + [(2, 10, 11)]
     got = {r.g: (r.n, r.gap) for r in G.spectral(spark.createDataFrame(ring, "g int, src int, dst int"), "g").collect()}
     assert got[1] == (6, pytest.approx(1.0)) and got[2] == (2, pytest.approx(2.0))
+
+
+def test_asof_without_keys(spark):
+    from plumbline.operators import aggregates, asof
+
+    r = random.Random(11)
+    left = [(i, r.choice([None, r.randrange(100)])) for i in range(200)]
+    right = [(r.randrange(10, 90), j, None if j % 7 == 0 else float(j)) for j in range(60)] + [(None, 99, 5.0)]
+    old, aggregates.RANGE_ROWS = aggregates.RANGE_ROWS, 20
+    l_df, r_df = spark.createDataFrame(left, "k int, t int"), spark.createDataFrame(right, "t int, j int, v double")
+    got = {x.k: x.v for x in asof.asof_join(l_df.repartition(3), r_df.repartition(2), "t", [], ["v"], tiebreak="j").collect()}
+    aggregates.RANGE_ROWS = old
+    for k, t in left:
+        before = [(u, j, v) for u, j, v in right if t is not None and u is not None and u <= t]
+        assert got[k] == (max(before, key=lambda x: x[:2])[2] if before else None)
