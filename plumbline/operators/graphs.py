@@ -82,15 +82,15 @@ def embed(weights: DataFrame, entity: str, item: str, rank: int = 4, rounds: int
 
 def out_of_fold_neighbours(df: DataFrame, key: str, vec: str, y: str, folds: int = 5, k: int = 5) -> DataFrame:
     """(key, fold, guess): mean target of the ``k`` nearest rows of other folds; folds come from a hash of the key."""
-    from .joins import nearest_rows
-
-    f = df.select(key, vec, y, F.pmod(F.xxhash64(key), F.lit(folds)).cast("int").alias("fold"))
-    out = None
-    for i in range(folds):
-        near = nearest_rows(f.where(F.col("fold") == i), f.where(F.col("fold") != i), vec, key, k)
-        got = near.join(df.select(F.col(key).alias("neighbour"), y), "neighbour").groupBy(F.col("query").alias(key)).agg(F.avg(y).alias("guess")).withColumn("fold", F.lit(i))
-        out = got if out is None else out.unionByName(got)
-    return out.select(key, "fold", "guess")
+    from .neighbours import _plain, _ranked, _search
+
+    fold = F.pmod(F.xxhash64(key), F.lit(folds)).cast("int")
+    f = df.withColumn("_id", F.col(key).cast("long"))
+    rows = _plain(f, vec, "_id").join(f.select(F.col("_id").alias("id"), fold.alias("cell")).distinct(), "id")
+    others = F.filter(F.sequence(F.lit(0), F.lit(folds - 1)), lambda i: i != F.col("cell"))
+    near = _ranked(_search(rows, rows.withColumn("cell", F.explode(others)), k, "euclidean"), k)
+    got = near.join(df.select(F.col(key).alias("neighbour"), y), "neighbour").groupBy(F.col("query").alias(key)).agg(F.avg(y).alias("guess"))
+    return got.withColumn("fold", fold).select(key, "fold", "guess")
 
 
 def knn_shapley(train: DataFrame, test: DataFrame, key: str, vec: str, y: str, k: int = 5) -> DataFrame:

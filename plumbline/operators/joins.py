@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import kept_table
+from .neighbours import nearest_rows  # noqa: F401  joins by vector
 
 #: Rows up to which a lookup table is broadcast; a larger one is joined by shuffle.
 SMALL = 100_000
@@ -47,51 +48,6 @@ def affiliation_edges(df: DataFrame, code: str, order: list[str], node: str, max
     return out.where(F.col("dst").isNotNull())
 
 
-def nearest_rows(queries: DataFrame, rows: DataFrame, vec: str, key: str, k: int, block: int = 1024) -> DataFrame:
-    """The ``k`` rows nearest to each query by Euclidean distance, itself left out, with weight 1 / (1 + distance).
-
-    Queries are met in blocks: each block of at most ``block`` query vectors is shipped to the rows' partitions, which keep
-    their ``k`` nearest, and these are merged. Ties go to the smaller key.
-    """
-    import numpy as np
-    import pandas as pd
-
-    spark = rows.sparkSession
-    n = max(1, -(-queries.count() // block))
-    coded = queries.select(key, vec).withColumn("_b", F.pmod(F.xxhash64(key), F.lit(n)))
-    found = None
-    for b in range(n):
-        own = sorted(((r[0], r[1]) for r in coded.where(F.col("_b") == b).select(key, vec).collect()), key=lambda x: x[0])
-        shipped = spark.sparkContext.broadcast((np.array([x[0] for x in own], np.int64), np.array([x[1] for x in own], float)))
-
-        def part(batches, shipped=shipped):
-            ids, q = shipped.value
-            best_d, best_i = np.full((len(ids), k), np.inf), np.full((len(ids), k), np.iinfo(np.int64).max)
-            for batch in batches:
-                for i in range(0, len(batch) if len(ids) else 0, 2048):
-                    some = batch.iloc[i : i + 2048]
-                    v, at = np.array(some[vec].tolist(), float), some[key].to_numpy(np.int64)
-                    square = (q * q).sum(axis=1)[:, None] + (v * v).sum(axis=1)[None, :] - 2 * (q @ v.T)
-                    square[ids[:, None] == at[None, :]] = np.inf
-                    # a little more than the products' rounding is let through; what is let through is measured term by term
-                    limit = np.minimum(best_d[:, -1], np.sqrt(np.maximum(np.partition(square, min(k, len(at)) - 1, axis=1)[:, min(k, len(at)) - 1], 0)) if len(at) >= k else np.inf)
-                    slack = 1e-9 * ((q * q).sum(axis=1).max(initial=0) + (v * v).sum(axis=1).max(initial=0))
-                    near, col = np.nonzero((square <= (limit * limit)[:, None] + slack) & np.isfinite(square))
-                    d = np.sqrt(((v[col] - q[near]) ** 2).sum(axis=1))
-                    for r in np.unique(near):
-                        own = near == r
-                        dist, who = np.concatenate([best_d[r], d[own]]), np.concatenate([best_i[r], at[col[own]]])
-                        top = np.lexsort([who, dist])[:k]
-                        best_d[r], best_i[r] = dist[top], who[top]
-            at, col = np.nonzero(np.isfinite(best_d))
-            yield pd.DataFrame({"query": ids[at], "neighbour": best_i[at, col], "distance": best_d[at, col]})
-
-        got = rows.select(key, vec).mapInPandas(part, "query bigint, neighbour bigint, distance double")
-        found = got if found is None else found.unionByName(got)
-    order = Window.partitionBy("query").orderBy("distance", "neighbour")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).withColumn("weight", 1 / (1 + F.col("distance")))
-
-
 def connected(edges: DataFrame, nodes: DataFrame, node: str) -> DataFrame:
     """``nodes`` with the least node that each is connected with. Labels spread along edges (a, b) and jump to their label's label, so a
     chain takes rounds in the logarithm of its length. Edges' ends that aren't in ``nodes`` link their neighbours all the same."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import asof, joins
+from ..operators import asof, joins, neighbours
 from .registry import query
 
 VIEWS = "event_type = 'view'"
@@ -149,3 +149,48 @@ def radius_linkage(read):
 def sibling_fill(read):
     o = read("orders").withColumn("v", F.expr("case when o_orderkey % 4 <> 0 and o_custkey % 10 <> 3 then o_totalprice end"))
     return joins.sibling_fill(o, "o_custkey", "o_orderdate", "v", "o_orderkey").select("o_orderkey", "filled")
+
+
+@query(
+    """WITH v AS (SELECT vec_id, embedding, label FROM embeddings), d AS (SELECT q.vec_id AS query, r.vec_id AS neighbour,
+         list_sum(list_transform(list_zip(q.embedding, r.embedding), lambda p: abs(CAST(p[1] AS DOUBLE) - CAST(p[2] AS DOUBLE)))) AS distance
+         FROM v q JOIN v r ON q.label = r.label AND q.vec_id <> r.vec_id WHERE q.vec_id % 20 = 0),
+       o AS (SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY distance, neighbour) AS INTEGER) AS rank FROM d)
+       SELECT query, neighbour, distance, rank, 1 / (1 + distance) AS weight FROM o WHERE rank <= 5""",
+    "distance weight",
+)
+def knn_within_labels(read):
+    v = read("embeddings")
+    return neighbours.nearest_rows(v.where("vec_id % 20 = 0"), v, "embedding", "vec_id", 5, "manhattan", F.col("label"))
+
+
+@query(
+    """WITH v AS (SELECT vec_id, embedding, (vec_id * 7919) % 1009 AS t FROM embeddings), d AS (SELECT q.vec_id AS query, r.vec_id AS neighbour,
+         1 - list_sum(list_transform(list_zip(q.embedding, r.embedding), lambda p: CAST(p[1] AS DOUBLE) * p[2])) / sqrt(list_sum(list_transform(q.embedding, lambda x: CAST(x AS DOUBLE) * x)) * list_sum(list_transform(r.embedding, lambda x: CAST(x AS DOUBLE) * x))) AS distance
+         FROM v q JOIN v r ON r.t < q.t),
+       o AS (SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY distance, neighbour) AS INTEGER) AS rank FROM d)
+       SELECT query, neighbour, distance, rank, 1 / (1 + distance) AS weight FROM o WHERE rank <= 5""",
+    "distance weight",
+)
+def knn_earlier(read):
+    v = read("embeddings").withColumn("t", F.col("vec_id") * 7919 % 1009)
+    return neighbours.nearest_earlier(v, "embedding", "vec_id", "t", 5, "cosine")
+
+
+@query()
+def knn_approximate(read):
+    v = read("embeddings")
+    return neighbours.approximate_neighbours(v.where("vec_id % 20 = 0"), v, "embedding", "vec_id", 10)
+
+
+@query(
+    """WITH m AS (SELECT CAST(year(o_orderdate) * 12 + month(o_orderdate) AS INTEGER) AS month, avg(o_totalprice) / 1000 AS price, avg(o_custkey) / 10 AS customer FROM orders GROUP BY 1),
+       d AS (SELECT a.month, b.price, b.customer, sqrt((a.price - b.price) ** 2 + (a.customer - b.customer) ** 2) AS d FROM m a JOIN m b ON a.month <> b.month),
+       r AS (SELECT *, row_number() OVER (PARTITION BY month ORDER BY d) AS i FROM d)
+       SELECT month, avg(price) AS price_mean, stddev_pop(price) AS price_std, avg(customer) AS customer_mean, stddev_pop(customer) AS customer_std,
+         CASE WHEN max(d) FILTER (i = 5) > 0 THEN min(d) / (max(d) FILTER (i = 5)) ELSE 1.0 END AS distance_ratio FROM r WHERE i <= 5 GROUP BY 1""",
+    "price_mean price_std customer_mean customer_std distance_ratio",
+)
+def snapshot_neighbours(read):
+    o = read("orders").select((F.year("o_orderdate") * 12 + F.month("o_orderdate")).alias("month"), (F.col("o_totalprice") / 1000).alias("price"), (F.col("o_custkey") / 10).alias("customer"))
+    return neighbours.snapshot_neighbours(o, "month", ["price", "customer"], 5)

@@ -55,7 +55,7 @@ def run_in_turn(tables: list[DataFrame], build: Callable[[DataFrame], DataFrame]
     spark = tables[0].sparkSession
     root = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     for rows in tables:
-        rows.coalesce(1).write.mode("append").parquet(f"{root}/in")
+        rows.write.mode("append").parquet(f"{root}/in")
         source = spark.readStream.schema(tables[0].schema).parquet(f"{root}/in")
         sink = build(source).writeStream.outputMode("append").format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state")
         sink.trigger(availableNow=True).start().awaitTermination()
