@@ -11,13 +11,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, small_batches, text_lists
+from .shingles import GOLDEN, mix
 
 #: Words of a shard; a longer text is cut between words, each cut followed by the words that n-grams beginning before it need.
 SHARD_WORDS = 1 << 19
+#: Bits of the map that tells frequent phrases: 16 MB. A full one lets all longer phrases through and loses none.
+BITS = 1 << 27
 #: What ends a piece, by UTF-8 byte. A-Z are put in lower case; the ends become full stops.
 ENDS = b".,;:!?\n\x0b\x0c\r"
 TABLE = bytes(ord(".") if c in ENDS else c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -75,29 +79,58 @@ def lcp_intervals(a: np.ndarray, most: int, starts: int) -> Iterator[tuple[np.nd
         yield at[first], np.diff(np.append(first, len(at)))
 
 
-def shard_counts(lang: str, a: np.ndarray, vocabulary: pa.Array, most: int) -> Iterator[pa.RecordBatch]:
-    """(lang, phrase, words, f) of one shard; the phrase of no words counts all words."""
+def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
+    """A hash for each run of ``n`` of a row's word hashes (any leading axes)."""
+    m = words.shape[-1] - n + 1
+    out = np.zeros((*words.shape[:-1], max(m, 0)), np.uint64)
+    for j in range(n):
+        out = (out + words[..., j : j + max(m, 0)]) * GOLDEN
+    return mix(out)
+
+
+def word_hash(lang: str, word: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(word, xxhash.xxh3_64_intdigest(lang.encode("utf-8", "surrogatepass")))
+
+
+def shard_counts(lang: str, a: np.ndarray, words: list[bytes], lengths: range, bits: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    """(lang, phrase, f) of one shard's phrases of these lengths; the phrase of no words, with those of one, counts all words.
+
+    ``bits`` marks hashes of phrases that are one word shorter and stand often enough: a phrase of which one part isn't marked can't
+    do so itself and is left out.
+    """
+    vocabulary, most = pa.array(words, pa.binary()), lengths[-1]
+    hashes = np.fromiter((word_hash(lang, w) for w in words), np.uint64, len(words)) if bits is not None else None
+
+    def batch(phrases: pa.Array, f: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([lang]).take(pa.array(np.zeros(len(f), np.int64))), phrases, pa.array(f)], names=["lang", "phrase", "f"])
+
     for lo in range(0, len(a), SHARD_WORDS):
         part = a[lo : lo + SHARD_WORDS + most - 1]
         starts = min(SHARD_WORDS, len(part))
-        total = int((part[:starts] > 0).sum())
-        yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([""]), pa.array([0], pa.int32()), pa.array([total], pa.int64())], names=["lang", "phrase", "words", "f"])
+        if 1 in lengths:
+            yield batch(pa.array([""]), np.array([(part[:starts] > 0).sum()], np.int64))
         for n, (at, count) in enumerate(lcp_intervals(part, most, starts), 1):
+            if n not in lengths:
+                continue
+            if bits is not None and len(at):
+                spot = gram_hashes(hashes[part[at[:, None] + np.arange(n)]], n - 1) & np.uint64(8 * len(bits) - 1)
+                often = ((bits[spot >> np.uint64(3)] >> (spot & np.uint64(7)).astype(np.uint8)) & 1).all(axis=1)
+                at, count = at[often], count[often]
             for i in range(0, len(at), 50_000):
-                own, f = at[i : i + 50_000], count[i : i + 50_000]
+                own = at[i : i + 50_000]
                 columns = [vocabulary.take(pa.array(part[own + j])) for j in range(n)]
-                phrase = pc.binary_join_element_wise(*columns, b" ") if n > 1 else columns[0]
-                yield pa.RecordBatch.from_arrays([pa.array([lang]).take(pa.array(np.zeros(len(own), np.int64))), phrase.cast(pa.string()), pa.array(np.full(len(own), n, np.int32)), pa.array(f)], names=["lang", "phrase", "words", "f"])
+                yield batch((pc.binary_join_element_wise(*columns, b" ") if n > 1 else columns[0]).cast(pa.string()), count[i : i + 50_000])
 
 
-def _count_shards(most: int):
+def _count_shards(lengths: range, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = None if shared is None else np.frombuffer(shared.value, np.uint8)
         ids, held, size = _Ids(), {}, 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            vocabulary = pa.array(list(ids), pa.binary())
+            words = list(ids)
             for lang, parts in held.items():
-                yield from shard_counts(lang, np.concatenate(parts), vocabulary, most)
+                yield from shard_counts(lang, np.concatenate(parts), words, lengths, bits)
 
         for batch in batches:
             langs, at = batch.column("lang").to_pylist(), 0
@@ -114,14 +147,53 @@ def _count_shards(most: int):
     return run
 
 
-def ngram_counts(documents: DataFrame, most: int = 3) -> DataFrame:
-    """(lang, phrase, words, f): how often each phrase of up to ``most`` words stands within a piece, over all texts of a language;
-    the phrase of no words has the number of all words. A null lang is ``und``, a null text empty."""
+def ngram_counts(documents: DataFrame, lengths: range, shared=None) -> DataFrame:
+    """(lang, phrase, f): how often each phrase of these lengths stands within a piece, over all texts of a language; the phrase of no
+    words has the number of all words. A null lang is ``und``, a null text empty."""
     small_batches(documents.sparkSession)
     rows = documents.select(F.coalesce("lang", F.lit(UNKNOWN_LANG)).alias("lang"), "text")
-    counts = rows.mapInArrow(_count_shards(most), "lang string, phrase string, words int, f long")
+    counts = rows.mapInArrow(_count_shards(lengths, shared), "lang string, phrase string, f long")
     # A shard has one row for a phrase, so an aggregate before the shuffle would find little to add.
-    return counts.repartition("lang", "phrase").groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f"))
+    return counts.repartition("lang", "phrase").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
+
+
+def _marks(phrases: DataFrame, n: int) -> np.ndarray:
+    """A map of BITS bits in which the hashes of (lang, phrase) of ``n`` words are set: a page for each range of bits reaches the driver."""
+
+    def spots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = zip(b.column("lang").to_pylist(), b.column("phrase").to_pylist(), strict=True)
+            words = np.array([[word_hash(lang, w.encode("utf-8")) for w in phrase.split(" ")] for lang, phrase in rows], np.uint64).reshape(-1, n)
+            spot = (gram_hashes(words, n)[:, 0] & np.uint64(BITS - 1)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(spot >> 15), pa.array(spot & 32767)], names=["page", "bit"])
+
+    pages = phrases.select("lang", "phrase").mapInArrow(spots, "page long, bit long").groupBy("page").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    out = np.zeros(BITS // 8, np.uint8)
+    for r in pages.collect():
+        out[r["page"] * 4096 : (r["page"] + 1) * 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    return out
+
+
+def frequent(documents: DataFrame, least: int, most: int, scratch: Scratch) -> DataFrame:
+    """(lang, phrase, words, f) of phrases that stand ``least`` times or more, and of the phrase of no words.
+
+    Words and pairs are counted in one pass; longer phrases in a pass each, in which only those are sent whose parts of one word less
+    are frequent, as far as a map of bounded size can tell: it may let others through, which the count then leaves out.
+    """
+    spark, out, lengths, shared = documents.sparkSession, None, range(1, min(most, 2) + 1), None
+    while True:
+        spaces = F.length("phrase") - F.length(F.replace("phrase", F.lit(" "), F.lit("")))
+        found = ngram_counts(documents, lengths, shared).where((F.col("f") >= least) | (F.col("phrase") == ""))
+        found = scratch.keep(found.select("lang", "phrase", F.when(F.col("phrase") == "", 0).otherwise(spaces + 1).alias("words"), "f"), f"counts-{lengths[-1]}")
+        out = found if out is None else out.unionByName(found)
+        if shared is not None:
+            shared.unpersist()
+        if lengths[-1] >= most:
+            return out
+        if len(lengths) > 1:
+            scratch.only(found)  # the pairs' shuffle can go
+        shared = spark.sparkContext.broadcast(_marks(found.where(F.col("words") == lengths[-1]), lengths[-1]).tobytes())
+        lengths = range(lengths[-1] + 1, lengths[-1] + 2)
 
 
 def _join_words(words: Column, start, length) -> Column:
@@ -139,7 +211,7 @@ def collocations(documents: DataFrame, least: int = 10, most: int = 3, inside: i
     Products are decimals of 38 digits. No texts or no candidates: no rows. Repeated rows count each time.
     """
     scratch = Scratch(documents.sparkSession, "collocations")
-    counts = scratch.keep(ngram_counts(documents, most).where((F.col("f") >= least) | (F.col("words") == 0)), "counts")
+    counts = frequent(documents, least, most, scratch)
     candidates = counts.where("words > 1").select("lang", "phrase", "words", F.col("f").alias("a"), F.split("phrase", " ").alias("w"))
 
     def of(name: str, value: str) -> DataFrame:

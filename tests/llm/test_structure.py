@@ -195,11 +195,11 @@ def test_suffix_array_sorts_suffixes(seed):
 def test_large_counts_stay_exact(spark):
     rows = [("x", "p q", 2, 10**12 + 7), ("x", "p", 1, 10**12 + 9), ("x", "q", 1, 10**12 + 11), ("x", "", 0, 3 * 10**12)]
     counts = spark.createDataFrame(rows, "lang string, phrase string, words int, f bigint")
-    real, collocations.ngram_counts = collocations.ngram_counts, lambda *a: counts
+    real, collocations.frequent = collocations.frequent, lambda *a: counts
     try:
         (got,) = collocations.collocations(counts).collect()
     finally:
-        collocations.ngram_counts = real
+        collocations.frequent = real
     a, left, right = 10**12 + 7, 10**12 + 9, 10**12 + 11
     assert (got.a, got.l, got.r, got.score) == (a, left, right, 10**6 * a * a // (left * right))
 
