@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .windows import named
+
 
 def undirected(edges: DataFrame) -> DataFrame:
     """Each edge both ways once, without loops."""
@@ -129,6 +131,6 @@ def spectral(edges: DataFrame, component: str, most: int = 500) -> DataFrame:
                 m[names[s], names[d]] = m[names[d], names[s]] = -1
             np.fill_diagonal(m, 0)
             gap = float(np.sort(np.linalg.eigvalsh(m - np.diag(m.sum(axis=1))))[1])
-        return pd.DataFrame({component: [g[component].iloc[0]], "n": [len(names)], "gap": [gap]})
+        return pd.DataFrame({component: named(g, component), "n": [len(names)], "gap": [gap]})
 
     return edges.groupBy(component).applyInPandas(run, f"{component} {dict(edges.dtypes)[component]}, n bigint, gap double")

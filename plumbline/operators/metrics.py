@@ -151,21 +151,6 @@ def correlations(df: DataFrame, x: str, y: str, keys: list[str]) -> DataFrame:
     return r.groupBy(*keys).agg(corr(x, y).alias("pearson"), corr("_rx", "_ry").alias("spearman"))
 
 
-def pair_concordance(df: DataFrame, group: str, y: str, p: str, key: str) -> DataFrame:
-    """Kendall's tau-b and the C-index of pairs within each group; pairs of equal y don't count for the index. Rows equal in both columns
-    are counted first, then pairs of distinct rows meet in their group."""
-    n = df.groupBy(group, y, p).agg(F.count("*").alias("n"))
-    a, b = n.select(group, *(F.col(c).alias(f"{c}_a") for c in (y, p, "n"))), n.select(group, *(F.col(c).alias(f"{c}_b") for c in (y, p, "n")))
-    pairs = a.join(b, group)
-    w = F.col("n_a") * F.col("n_b")
-    dy, dp = F.signum(F.col(f"{y}_a") - F.col(f"{y}_b")), F.signum(F.col(f"{p}_a") - F.col(f"{p}_b"))
-    t = pairs.groupBy(group).agg(
-        F.sum(w * dy * dp).alias("s"), F.sum(w * F.abs(dy)).alias("ny"), F.sum(w * F.abs(dp)).alias("np"),
-        F.sum(F.when(dy != 0, w * F.when(dp == dy, 1.0).when(dp == 0, 0.5).otherwise(0.0))).alias("c"),
-    )
-    return t.select(group, _safe(F.col("s"), F.sqrt(F.col("ny") * F.col("np"))).alias("tau_b"), _safe(F.col("c"), F.col("ny")).alias("c_index"))
-
-
 def wilson(successes: Column, n: Column, z: float = 1.959963984540054) -> tuple[Column, Column]:
     """Wilson interval of a proportion."""
     p = successes / n

@@ -9,6 +9,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .dominance import causal_rank  # noqa: F401  a rank along an entity
+
+
+def named(g: pd.DataFrame, key: str, n: int = 1) -> pd.Series:
+    """A group's key, ``n`` times; of type object, as Arrow can't take a column of pandas' own strings from a new frame here."""
+    at = g[key].iloc[0]
+    return pd.Series([None if pd.isna(at) else at] * n, dtype=object)
+
 
 def by(entity: str | list[str], order: list[str]):
     return Window.partitionBy(*([entity] if isinstance(entity, str) else entity)).orderBy(*order)
@@ -36,29 +44,6 @@ def group_rank(df: DataFrame, entity: str, value: str, tiebreak: list[str]) -> D
     return df.withColumn("rank_avg", average_rank(value, [entity])).withColumn("rank_pct", F.col("rank_avg") / n).withColumn("rank_ord", F.row_number().over(by(entity, [value, *tiebreak])))
 
 
-def causal_rank(df: DataFrame, entity: str, order: list[str], value: str, exclude_self: bool = False) -> DataFrame:
-    """Percentile rank of a row's value among its entity's rows so far: (less + (equal + 1) / 2) / n; with ``exclude_self``
-    among the earlier rows only, the first row's being null. An entity's sorted values are kept in Python: its rank is a
-    sequential order statistic, for which Spark has no window."""
-    from bisect import bisect_left, bisect_right, insort
-
-    kind = f"{df.schema.simpleString()[7:-1]},causal_rank:double".replace(":", " ")
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(order, kind="stable")
-        seen, out = [], []
-        for v in g[value]:
-            less, upto = bisect_left(seen, v), bisect_right(seen, v)
-            if exclude_self:
-                out.append((less + (upto - less + 1) / 2) / len(seen) if seen else None)
-            else:
-                out.append((less + (upto - less + 2) / 2) / (len(seen) + 1))
-            insort(seen, v)
-        return g.assign(causal_rank=pd.Series(out, index=g.index, dtype="float64"))
-
-    return df.groupBy(entity).applyInPandas(run, kind)
-
-
 def cumulative_counts(df: DataFrame, entity: str, order: list[str], value: str) -> DataFrame:
     """Counts forward and in reverse, and the running sum and maximum."""
     w = by(entity, order)
@@ -141,7 +126,7 @@ def adaptive_ewma(df: DataFrame, entity: str, order: list[str], value: str, alph
         v = g.sort_values(order, kind="stable")[value].astype(float).fillna(0.0)
         errors = [float(((v - v.ewm(alpha=a, adjust=False).mean().shift()).iloc[1:].tail(tail) ** 2).sum()) for a in alphas]
         best = int(np.argmin(errors))
-        return pd.DataFrame({entity: [g[entity].iloc[0]], "alpha": [alphas[best]], "sse": [errors[best]]})
+        return pd.DataFrame({entity: named(g, entity), "alpha": [alphas[best]], "sse": [errors[best]]})
 
     return df.select(*dict.fromkeys([entity, *order, value])).groupBy(entity).applyInPandas(run, f"{entity} {dict(df.dtypes)[entity]}, alpha double, sse double")
 
@@ -192,7 +177,7 @@ def merge_short_states(df: DataFrame, entity: str, order: list[str], state: str,
             runs[i - 1][1] += runs.pop(i)[1]
             if i < len(runs) and runs[i][0] == runs[i - 1][0]:
                 runs[i - 1][1] += runs.pop(i)[1]
-        return pd.DataFrame({key: g[key].to_numpy(), state: [s for s, n in runs for _ in range(n)]})
+        return pd.DataFrame({key: g[key].astype(object), state: pd.Series([s for s, n in runs for _ in range(n)], index=g.index, dtype=object)})
 
     return df.select(*dict.fromkeys([entity, *order, state, key])).groupBy(entity).applyInPandas(run, f"{key} {dict(df.dtypes)[key]}, {state} string")
 
@@ -290,11 +275,15 @@ def bin_smooth(df: DataFrame, value: str, edges: list[float], fn: str = "mean")
     return binned.join(F.broadcast(stat), "bin")  # a row for each bin
 
 
-def change_points(df: DataFrame, entity: str, order: list[str], value: str, penalty: float, least: int = 2) -> DataFrame:
-    """(entity, at): starts of new segments by exact pruned dynamic programming of squared error plus ``penalty`` a segment."""
+def change_points(df: DataFrame, entity: str, order: list[str], value: str, penalty: float, least: int = 2, effect: float = 0.0) -> DataFrame:
+    """(entity, at): starts of new segments by exact pruned dynamic programming of squared error plus ``penalty`` a segment. Rows with a
+    null or NaN are in no segment; ``at`` counts all rows. With ``effect``, a start stays only if the means of the segments on its
+    two sides differ by at least so many of the entity's deviations (of all its values); the segments aren't joined anew."""
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
-        v = g.sort_values(order, kind="stable")[value].to_numpy(float)
+        every = g.sort_values(order, kind="stable")[value].to_numpy(float, na_value=np.nan)
+        where = np.flatnonzero(~np.isnan(every))
+        v = every[where]
         n = len(v)
         s, q = np.concatenate([[0], np.cumsum(v)]), np.concatenate([[0], np.cumsum(v * v)])
         best, came, open_ = np.full(n + 1, np.inf), np.zeros(n + 1, int), np.array([0])
@@ -311,7 +300,10 @@ def change_points(df: DataFrame, entity: str, order: list[str], value: str, pena
         while at and came[at]:
             out.append(int(came[at]))
             at = came[at]
-        return pd.DataFrame({entity: [g[entity].iloc[0]] * len(out), "at": sorted(out)})
+        cuts = [0, *sorted(out), n]
+        means = [(s[b] - s[a]) / (b - a) if b > a else 0.0 for a, b in zip(cuts, cuts[1:], strict=False)]
+        out = [c for i, c in enumerate(cuts[1:-1]) if abs(means[i + 1] - means[i]) >= effect * v.std()]
+        return pd.DataFrame({entity: named(g, entity, len(out)), "at": where[out].astype(int) if out else []})
 
     return df.select(*dict.fromkeys([entity, *order, value])).groupBy(entity).applyInPandas(run, f"{entity} {dict(df.dtypes)[entity]}, at int")
 
@@ -331,7 +323,7 @@ def density_mode(df: DataFrame, entity: str, order: list[str], value: str, half_
                 xs = np.linspace(v.min(), v.max(), grid)
                 d = (w * np.exp(-0.5 * ((xs[:, None] - v) / width) ** 2)).sum(axis=1) / (w.sum() * width * np.sqrt(2 * np.pi))
                 mode, peak = float(xs[d.argmax()]), float(d.max())
-        return pd.DataFrame({entity: [g[entity].iloc[0]], "mode": [mode], "peak": [peak]})
+        return pd.DataFrame({entity: named(g, entity), "mode": [mode], "peak": [peak]})
 
     return df.select(*dict.fromkeys([entity, *order, value])).groupBy(entity).applyInPandas(run, f"{entity} {dict(df.dtypes)[entity]}, mode double, peak double")
 
@@ -362,10 +354,13 @@ def cumsum_to_amount(df: DataFrame, entity: str, order: list[str], value: str, a
 
 def best_positions(df: DataFrame, entity: str, order: list[str], price: str, fee: float = 0.0) -> DataFrame:
     """(entity, step, position, profit): positions -1, 0 or 1 for each step between prices with the largest total profit, a change
-    of position costing ``fee`` of the price for each unit. Dynamic programming along each entity."""
+    of position costing ``fee`` of the price for each unit. Dynamic programming along each entity. Rows with a null or NaN price are
+    passed over: a step goes from a known price to the next known one, and the steps from rows without a price are null."""
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
-        p = g.sort_values(order, kind="stable")[price].to_numpy(float)
+        every = g.sort_values(order, kind="stable")[price].to_numpy(float, na_value=np.nan)
+        where = np.flatnonzero(~np.isnan(every))
+        p = every[where]
         moves, states = np.diff(p), np.array([0, 1, -1])
         worth, came = np.array([0.0, -np.inf, -np.inf]), []
         for i, m in enumerate(moves):
@@ -377,6 +372,9 @@ def best_positions(df: DataFrame, entity: str, order: list[str], price: str, fee
             path.append(at)
             at = int(c[at])
         held = states[path[::-1]] if path else np.empty(0, int)
-        return pd.DataFrame({entity: g[entity].iloc[0], "step": np.arange(len(moves)), "position": held, "profit": held * moves})
+        steps = max(len(every) - 1, 0)
+        position, profit = np.full(steps, None, object), np.full(steps, None, object)
+        position[where[:-1]], profit[where[:-1]] = held, held * moves
+        return pd.DataFrame({entity: named(g, entity, steps), "step": np.arange(steps), "position": position, "profit": profit})
 
     return df.select(*dict.fromkeys([entity, *order, price])).groupBy(entity).applyInPandas(run, f"{entity} {dict(df.dtypes)[entity]}, step int, position int, profit double")

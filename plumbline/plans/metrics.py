@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import dominance
 from ..operators import metrics as M
 from .registry import query
 
@@ -130,7 +131,7 @@ def correlations(read):
 )
 def kendall_c_index(read):
     s = scored(read).select("doc_id", "lang", F.floor(F.col("p") * 5).alias("y"), F.floor(F.col("p2") * 10).alias("p"))
-    return M.pair_concordance(s, "lang", "y", "p", "doc_id")
+    return dominance.pair_concordance(s, "lang", "y", "p")
 
 
 _Z = 1.959963984540054
