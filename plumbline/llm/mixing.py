@@ -1,9 +1,9 @@
 """Mixing overlapping sources to target weights by min-cost flow.
 
-Documents are aggregated by membership pattern (the set of sources they belong to). A small flow network
-on the driver routes each pattern's token capacity to the sources' quotas; the e-th repetition of a
-pattern costs more than the one before it (convex costs), so data is repeated as little as the quotas
-allow. Every pattern's flow is then spent on whole documents in a seeded order.
+Documents are aggregated by membership pattern (the set of sources they belong to). A flow network on the driver routes each
+pattern's token capacity to the sources' quotas; the e-th repetition of a pattern costs more than the one before it (convex costs),
+so data is repeated as little as the quotas allow. Sources that share no pattern with another have the flow in closed form, so only
+overlaps are searched. Every pattern's flow is then spent on whole documents in a seeded order.
 """
 
 from __future__ import annotations
@@ -11,13 +11,15 @@ from __future__ import annotations
 import heapq
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch
 
-MAX_NODES = 100_000
-BITS, FINAL_ROWS, SALTS = 10, 512, 256
+#: Bits of the seeded key that one step of the descent settles; rows at the cut that are filled one by one; salts of equal keys; tables of
+#: fewer patterns or sources than the last are broadcast.
+BITS, FINAL_ROWS, SALTS, SMALL = 10, 512, 256, 10_000
 
 
 def word_count(text: Column) -> Column:
@@ -43,6 +45,23 @@ def targets(sizes: dict, cycle: tuple = (5, 2, 1), share: float = 1.5, cap: floa
     return out
 
 
+def route(capacity: dict, members: dict, quota: dict, epochs: int) -> dict:
+    """Flow (pattern, source) -> tokens, as ``min_cost_flow`` has it. A pattern of one source that stands in no other pattern fills the
+    source's quota as far as it can: there is nothing to choose. Only the other patterns are searched, so what limits the
+    search is their number."""
+    shared = {p for p, own in members.items() if len(own) > 1}
+    uses: dict = {}
+    for p, own in members.items():
+        for s in own:
+            uses[s] = uses.get(s, 0) + 1
+    rest = {p for p, own in members.items() if p in shared or any(uses[s] > 1 for s in own)}
+    out = {(p, members[p][0]): t for p in members if p not in rest and members[p] and (t := min(quota[members[p][0]], epochs * capacity[p]))}
+    if rest:
+        own = {s: quota[s] for p in rest for s in members[p]}
+        out |= min_cost_flow({p: capacity[p] for p in rest}, {p: members[p] for p in rest}, own, epochs)
+    return out
+
+
 def min_cost_flow(capacity: dict, members: dict, quota: dict, epochs: int) -> dict:
     """Flow (pattern, source) -> tokens that fills the quotas as far as possible at least cost.
 
@@ -118,45 +137,46 @@ def _fill(items: list[tuple[int, int, int]], left: int) -> list[tuple[int, int]]
     return [(k, int(t)) for (k, *_), t in zip(items, take, strict=True) if t]
 
 
-def _choose(rows: DataFrame, rest: dict) -> dict:
-    """For each pattern a cut: (level bits, prefix, chosen keys) whose sizes come near rest[pattern].
+def _choose(scratch: Scratch, rows: DataFrame, rest: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """For each pattern of ``rest`` (pattern, left) a cut (pattern, shift, cut) of its rows (pattern, key, size), below which all are
+    taken, and the rows (pattern, key, take) at the cut that are, so that the sizes come near ``left``. A null cut takes all.
 
-    A distributed radix descent on the seeded key: 2**BITS sums for each pattern and level go to the driver,
-    until at most FINAL_ROWS rows stand at the cut; these fill what is left.
+    A radix descent on the seeded key: 2**BITS sums for each pattern and level, along which a window finds the bucket in which
+    ``left`` is passed, until at most FINAL_ROWS rows stand there; these fill what is left, a group for each pattern. Only the
+    number of patterns that are still open reaches the driver.
     """
-    spark, cuts, open_ = rows.sparkSession, {}, {p: (0, 0, r) for p, r in rest.items() if r > 0}
-    level = 0
-    while open_:
+    spark, edges, picks = rows.sparkSession, [], []
+    open_, level = scratch.keep(rest.where("left > 0").withColumn("prefix", F.lit(0).cast("long")), "open"), 0
+    while not open_.isEmpty():
         shift = 62 - BITS * (level + 1)
-        at = spark.createDataFrame([(p, x[1]) for p, x in open_.items()], "pattern int, prefix bigint")
         key = F.shiftright("key", shift) if shift >= 0 else F.col("key")
-        up = F.shiftright("key", shift + BITS) if level else F.lit(0)
-        inside = rows.join(F.broadcast(at), "pattern").where(up == F.col("prefix"))  # a row for each open pattern
-        sums = inside.groupBy("pattern", key.alias("b")).agg(F.sum("size").alias("t"), F.count("*").alias("n")).collect()
-        by: dict = {}
-        for r in sums:
-            by.setdefault(r["pattern"], []).append((r["b"], r["t"], r["n"]))
-        final, deeper = {}, {}
-        for p, (_, _, left) in open_.items():
-            for b, t, n in sorted(by.get(p, [])):
-                if t <= left:
-                    left -= t
-                    continue
-                (final if n <= FINAL_ROWS or shift < BITS else deeper)[p] = (b, left)
-                break
-            else:
-                cuts[p] = (0, None, [])  # everything fits
-        if final:
-            at = spark.createDataFrame([(p, b) for p, (b, _) in final.items()], "pattern int, b bigint")
-            last = rows.withColumn("b", key).join(F.broadcast(at), ["pattern", "b"])
-            groups: dict = {}
-            for r in last.groupBy("pattern", "key", "size").agg(F.count("*").alias("n")).collect():
-                groups.setdefault(r["pattern"], []).append((r["key"], r["size"], r["n"]))
-            for p, (b, left) in final.items():
-                cuts[p] = (shift, b, _fill(sorted(groups[p]), left))
-        open_ = {p: (0, b, left) for p, (b, left) in deeper.items()}
+        up = F.shiftright("key", shift + BITS) if level else F.lit(0).cast("long")
+        inside = rows.select("pattern", "key", "size", up.alias("prefix"), key.alias("b")).join(open_, ["pattern", "prefix"])
+        sums = inside.groupBy("pattern", "left", "b").agg(F.sum("size").alias("t"), F.count("*").alias("n"))
+        along = Window.partitionBy("pattern").orderBy("b").rowsBetween(Window.unboundedPreceding, 0)  # 2**BITS rows
+        passed = F.when(F.col("upto") > F.col("left"), F.struct("b", (F.col("left") - F.col("upto") + F.col("t")).alias("left"), "n"))
+        at = sums.withColumn("upto", F.sum("t").over(along)).groupBy("pattern").agg(F.min(passed).alias("at"))
+        at = scratch.keep(at.select("pattern", "at.b", "at.left", "at.n"), f"at-{level}")
+        edges.append(at.where("b is null").select("pattern", F.lit(0).alias("shift"), F.col("b").alias("cut")))
+        last = F.col("n") <= FINAL_ROWS if shift >= BITS else F.lit(True)
+        final = at.where(F.col("b").isNotNull() & last)
+        edges.append(final.select("pattern", F.lit(shift).alias("shift"), F.col("b").alias("cut")))
+        groups = rows.select("pattern", "size", "key", key.alias("b")).join(final, ["pattern", "b"]).groupBy("pattern", "left", "key", "size").agg(F.count("*").alias("n"))
+        picks.append(groups.groupBy("pattern").applyInPandas(_filled, "pattern int, key bigint, take bigint"))
+        open_ = at.where(F.col("b").isNotNull() & ~last).select("pattern", "left", F.col("b").alias("prefix"))
         level += 1
-    return cuts
+    both = []
+    for parts, schema, name in ((edges, "pattern int, shift int, cut bigint", "edges"), (picks, "pattern int, key bigint, take bigint", "picks")):
+        out = spark.createDataFrame([], schema)
+        for p in parts:
+            out = out.unionByName(p)
+        both.append(scratch.keep(out, name))
+    return both[0], both[1]
+
+
+def _filled(g: pd.DataFrame) -> pd.DataFrame:
+    items = sorted(zip(g["key"].tolist(), g["size"].tolist(), g["n"].tolist(), strict=True))
+    return pd.DataFrame([(g["pattern"].iloc[0], k, t) for k, t in _fill(items, int(g["left"].iloc[0]))], columns=["pattern", "key", "take"])
 
 
 def mix(documents: DataFrame, quotas, size: Column, members: Column, epochs: int = 2, seed: int = 5, carry: tuple = ("doc_id",)) -> DataFrame:
@@ -165,35 +185,31 @@ def mix(documents: DataFrame, quotas, size: Column, members: Column, epochs: int
     ``members`` is an array of the sources that a document belongs to; ``quotas`` maps {source: tokens} (all
     tokens of its documents) to {source: target}. Returns ``carry``, members, size, and taken: 0 to ``epochs``
     times the size. Rows with null members or ids are ordinary rows; identical rows share a key and are taken as
-    many times as fits; an empty table gives no rows. The patterns and sources go to the driver: more than
-    MAX_NODES of them is an error. Choices depend on the rows' contents and ``seed`` alone, so reruns agree.
+    many times as fits; an empty table gives no rows. One row for each pattern and source goes to the driver, and the flow between
+    overlapping patterns is searched there. Choices depend on the rows' contents and ``seed`` alone, so reruns agree.
     """
     spark = documents.sparkSession
     scratch = Scratch(spark, "mix")
     rows = scratch.keep(
         documents.select(*carry, F.sort_array(members).alias("members"), size.alias("size"), F.shiftrightunsigned(F.xxhash64(F.lit(seed), *carry, F.xxhash64("text")), 2).alias("key"), (F.monotonically_increasing_id() % SALTS).alias("salt")), "rows"
     )
-    found = rows.groupBy("members").agg(F.sum("size").alias("size")).limit(MAX_NODES + 1).collect()
-    if len(found) > MAX_NODES:
-        raise ValueError(f"over {MAX_NODES} membership patterns")
+    found = rows.groupBy("members").agg(F.sum("size").alias("size")).collect()
     found.sort(key=lambda r: repr(r["members"]))
     capacity, belongs = {i: r["size"] for i, r in enumerate(found)}, {i: r["members"] for i, r in enumerate(found)}
     sizes: dict = {}
     for i, own in belongs.items():
         for s in own:
             sizes[s] = sizes.get(s, 0) + capacity[i]
-    flow = min_cost_flow(capacity, belongs, {s: round(t) for s, t in quotas(sizes).items()}, epochs)
+    flow = route(capacity, belongs, {s: round(t) for s, t in quotas(sizes).items()}, epochs)
     spent = {i: 0 for i in capacity}
     for (i, _), t in flow.items():
         spent[i] += t
     full = {i: spent[i] // c if c else 0 for i, c in capacity.items()}
-    small = len(found) <= 10_000
-    hint = F.broadcast if small else (lambda x: x)
-    index = spark.createDataFrame([(i, belongs[i], full[i]) for i in capacity], "pattern int, members array<string>, full bigint")
-    rows = rows.join(hint(index), rows["members"].eqNullSafe(index["members"])).drop(index["members"])
-    cuts = _choose(rows.select("pattern", "key", "size"), {i: spent[i] - full[i] * capacity[i] for i in capacity})
-    edge = spark.createDataFrame([(i, s, b) for i, (s, b, _) in cuts.items()], "pattern int, shift int, cut bigint")
-    picked = spark.createDataFrame([(i, k, t) for i, (_, _, c) in cuts.items() for k, t in c], "pattern int, key bigint, take bigint")
+    hint = F.broadcast if len(found) <= SMALL else (lambda x: x)
+    index = spark.createDataFrame([(i, belongs[i], full[i], spent[i] - full[i] * capacity[i]) for i in capacity], "pattern int, members array<string>, full bigint, left bigint")
+    index = scratch.keep(index, "index")
+    rows = rows.join(hint(index.drop("left")), rows["members"].eqNullSafe(index["members"])).drop(index["members"])
+    edge, picked = _choose(scratch, rows.select("pattern", "key", "size"), index.select("pattern", "left"))
     rows = rows.join(hint(edge), "pattern", "left").join(hint(picked), ["pattern", "key"], "left")  # at most FINAL_ROWS keys a pattern
     below = F.col("shift").isNotNull() & (F.col("cut").isNull() | (F.expr("shiftright(key, shift)") < F.col("cut")))
     # rows at the cut that share a key: only so many of them as fit, counted off salt by salt
@@ -223,5 +239,5 @@ def source_mix(documents: DataFrame, carry: tuple = ("doc_id",)) -> DataFrame:
     mixed = mix(documents, quotas, word_count(F.col("text")), F.array(F.col("source").cast("string")), carry=carry)
     names = [(s, held["sizes"][s], float(held["targets"][s])) for s in held.get("sizes", {})]
     per = documents.sparkSession.createDataFrame(names, "name string, source_size bigint, target double")
-    per = F.broadcast(per) if len(names) <= 10_000 else per
+    per = F.broadcast(per) if len(names) <= SMALL else per
     return mixed.join(per, mixed["members"][0].eqNullSafe(per["name"])).select(*carry, "size", "source_size", "target", "taken")

@@ -195,6 +195,67 @@ def test_mix_of_many_sources_of_identical_rows(spark):
         assert len(own) == 12 and abs(sum(r.taken for r in own) - own[0].target) <= own[0]["size"]
 
 
+def test_route_equals_the_search(spark):
+    """What has no overlap is routed in closed form; all of it together is what the search alone finds."""
+    r = random.Random(3)
+    for _ in range(30):
+        members = {i: sorted(r.sample("abcdef", r.choice([1, 1, 1, 2, 3]))) for i in range(r.randrange(1, 7))}
+        members = {i: m for n, (i, m) in enumerate(members.items()) if m not in list(members.values())[:n]}
+        capacity, quota = {i: r.randrange(9) for i in members}, {s: r.randrange(30) for s in "abcdef"}
+        a, b = mixing.route(capacity, members, quota, 2), mixing.min_cost_flow(capacity, members, quota, 2)
+        total = lambda f, c: {s: sum(t for (_, x), t in f.items() if x == s) for s in quota} if c is None else sum(min(u, capacity[c]) + 4 * max(0, u - capacity[c]) for u in [sum(t for (p, _), t in f.items() if p == c)])
+        assert sum(total(a, None).values()) == sum(total(b, None).values())
+        assert sum(total(a, c) for c in members) == sum(total(b, c) for c in members)
+
+
+def test_route_of_many_sources_needs_no_search():
+    n = 100_000
+    members = {i: [f"s{i}"] for i in range(n)} | {n: ["x", "y"], n + 1: ["y"]}
+    flow = mixing.route({i: 10 for i in members}, members, {f"s{i}": 15 for i in range(n)} | {"x": 5, "y": 20}, 2)
+    assert sum(flow.values()) == 15 * n + 25 and flow[7, "s7"] == 15
+
+
+def plain_cut(rows, left):
+    """Rows (key, size) taken by the descent: whole buckets of the key's leading bits in order, then the best filling at the cut."""
+    taken, inside, shift = [], sorted(rows), 62
+    while True:
+        shift, upto, after = shift - mixing.BITS, 0, None
+        by = collections.defaultdict(list)
+        for k, size in inside:
+            by[k >> shift if shift >= 0 else k].append((k, size))
+        for b in sorted(by):
+            if left < sum(s for _, s in by[b]):
+                after = by[b]
+                break
+            left -= sum(s for _, s in by[b])
+            taken += by[b]
+        if after is None:
+            return collections.Counter(taken)
+        if len(after) <= mixing.FINAL_ROWS or shift < mixing.BITS:
+            groups = collections.Counter(after)
+            for k, t in mixing._fill(sorted((k, s, n) for (k, s), n in groups.items()), left):
+                taken += [(k, next(s for q, s in after if q == k))] * t
+            return collections.Counter(taken)
+        inside = after
+
+
+def test_choice_equals_the_plain_descent(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "FINAL_ROWS", 4)
+    r = random.Random(9)
+    low = lambda: r.randrange(1 << 62) if r.random() < 0.7 else (5 << 50) + r.randrange(1 << 12)
+    rows = [(p, k, s) for p in range(5) for k, s in ((low(), r.randrange(1, 40)) for _ in range(60))] + [(5, 77, 3)] * 50
+    rest = {p: r.randrange(1, 900) for p in range(4)} | {4: 10**6, 5: 31, 6: 9}
+    df = spark.createDataFrame(rows, "pattern int, key bigint, size bigint")
+    edges, picks = mixing._choose(Scratch(spark, "choice"), df, spark.createDataFrame(list(rest.items()), "pattern int, left bigint"))
+    cut, take = {e.pattern: e for e in edges.collect()}, {(p.pattern, p.key): p.take for p in picks.collect()}
+    for p in range(6):
+        own = [(k, s) for q, k, s in rows if q == p]
+        e = cut[p]
+        got = collections.Counter(x for x in own if e.cut is None or (x[0] >> e.shift if e.shift >= 0 else x[0]) < e.cut)
+        got += collections.Counter({(k, s): take[p, k] for k, s in set(own) if (p, k) in take})
+        assert got == plain_cut(own, rest[p])
+
+
 # 4 toxicity and 7 quality
 
 
