@@ -300,8 +300,9 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", per_class
     """Train on a bounded sample of labelled documents outside the held-out fold; None without both classes.
 
     At most ``per_class`` documents of each class are drawn, in an order by hash, and of them as many as come to half of
-    MOST_WORDS words; documents of more than an eighth of MOST_WORDS words aren't drawn. All windows of a drawn document are
-    learned from. Of several texts of an id one is taken, and of several labels the largest.
+    MOST_WORDS words. Windows of a drawn document are learned from, whatever its length: all of them, or, of a document of more than
+    an eighth of MOST_WORDS words, as many as come to that, in an order by hash. Of several texts of an id one is taken, and of
+    several labels the largest.
     """
     small_batches(documents.sparkSession)
     rates = {r["y"]: r["n"] for r in labels.where(F.col(label).isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy(F.col(label).cast("int").alias("y")).agg(F.count("*").alias("n")).collect()}
@@ -313,18 +314,27 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", per_class
             for i in range(0, len(b), 100):
                 some = b.iloc[i : i + 100]
                 texts = ((d, words_of(t), y) for d, t, y in zip(some["doc_id"], some["text"], some["y"], strict=True))
-                out = [(d, j, " ".join(words[s : s + WINDOW]), y) for d, words, y in texts for j, s in enumerate(window_starts(len(words)))]
+                out = [(d, j, " ".join(words[s : s + WINDOW]), y) for d, words, y in texts for j, s in drawn_windows(d, len(words))]
                 yield pd.DataFrame(out, columns=["doc_id", "j", "words", "y"])
 
     sized = labelled(documents, labels, label, per_class).withColumn("n", F.coalesce(F.regexp_count("text", F.lit(r"\S+")), F.lit(0)))
     turn = Window.partitionBy("y").orderBy(F.xxhash64(F.lit(7), "doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)  # per_class rows at most
-    drawn = sized.where(F.col("n") <= MOST_WORDS // 8).withColumn("so_far", F.sum("n").over(turn)).where(F.col("so_far") <= MOST_WORDS // 2)
+    counted = sized.withColumn("n", F.least("n", F.lit(MOST_WORDS // 8)))
+    drawn = counted.withColumn("so_far", F.sum("n").over(turn)).where(F.col("so_far") <= MOST_WORDS // 2)
     rows = drawn.select("doc_id", "text", "y").mapInPandas(cut, "doc_id bigint, j int, words string, y int").collect()
     rows = [(r["doc_id"], r["words"].split(), r["y"]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["j"], r["words"]))]
     rows = [r for r in rows if r[1]]
     return train(rows, rates[1] / sum(rates.values())) if len({r[2] for r in rows}) == 2 else None
 
 
+def drawn_windows(doc_id: int, n: int, most: int = MOST_WORDS // 8 // STRIDE) -> list[tuple[int, int]]:
+    """(number, start) of the windows of a document of ``n`` words that are learned from: all, or ``most`` in an order by hash."""
+    every = list(enumerate(window_starts(n)))
+    if len(every) <= most:
+        return every
+    return sorted(sorted(every, key=lambda w: (zlib.crc32(f"{doc_id}:{w[0]}".encode()), w[0]))[:most])
+
+
 def score_documents(documents: DataFrame, net: Network | None, threshold: float = 0.5) -> DataFrame:
     """All columns of ``documents`` with held_out, score (0 to 1) and predicted (1 if score >= threshold).
 

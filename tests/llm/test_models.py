@@ -140,3 +140,14 @@ def test_batches_are_bounded_unless_the_user_says_so(spark):
     small_batches(spark)
     assert spark.conf.get(name) == "1m"
     spark.conf.unset(name)
+
+
+def test_long_labelled_texts_are_learned_from(spark):
+    """A document of any length is drawn; of a very long one so many windows that they come to its share of words."""
+    assert toxicity.drawn_windows(1, 20) == [(0, 0)]
+    few = toxicity.drawn_windows(7, 1_000_000)
+    assert len(few) == toxicity.MOST_WORDS // 8 // toxicity.STRIDE and few == sorted(few) and few == toxicity.drawn_windows(7, 1_000_000)
+    assert few[-1][0] > 15_000 and {s for _, s in few} <= set(toxicity.window_starts(1_000_000))
+    docs = spark.createDataFrame([(1, "bad words here " * 60_000), (2, "nice words there"), (3, "nice again"), (4, "bad again")], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0), (4, 0)], "doc_id bigint, toxic int")
+    assert toxicity.fit(docs, labels) is not None  # the only toxic one is very long
