@@ -56,9 +56,10 @@ def zero_sum(df: DataFrame, key: str, p: str, w: str | Column | None = None, tar
     return df.withColumn(f"{p}_adjusted", F.col(p) - F.coalesce(shift, F.lit(0.0)))
 
 
-def zero_sums(df: DataFrame, keys: list[str], p: str, rounds: int = 10, tol: float = 1e-8) -> DataFrame:
-    """Several groupings' sums brought to zero in turn, until all are within ``tol`` or ``rounds`` sweeps are over. A sweep is one job for
-    each grouping; what is swept is one offset a group, so rows aren't shuffled: rows are summed by all keys together first."""
+def zero_sums(df: DataFrame, keys: list[str], p: str, rounds: int = 100, tol: float = 1e-8) -> DataFrame:
+    """Several groupings' sums brought to zero in turn, until the largest is within ``tol`` of the values' largest sum by all keys; an error if
+    it isn't after ``rounds`` sweeps. A sweep is one job for each grouping; what is swept is one offset a group, so rows aren't
+    shuffled: rows are summed by all keys together first."""
     cells = kept_table(df.groupBy(*keys).agg(F.sum(F.col(p).cast("double")).alias("_s"), F.count(p).alias("_n")))
     shifts = {k: kept_table(df.select(k).distinct().withColumn(f"_d_{i}", F.lit(0.0))) for i, k in enumerate(keys)}
 
@@ -67,20 +68,23 @@ def zero_sums(df: DataFrame, keys: list[str], p: str, rounds: int = 10, tol: flo
             t = t.join(d.withColumnRenamed(k, f"_k_{k}"), F.col(k).eqNullSafe(F.col(f"_k_{k}")), "left").drop(f"_k_{k}")
         return t.withColumn("_shift", sum(F.coalesce(f"_d_{i}", F.lit(0.0)) for i in range(len(keys)))).drop(*(f"_d_{i}" for i in range(len(keys))))
 
+    scale = 1 + (cells.agg(F.max(F.abs("_s"))).first()[0] or 0.0)
     for _ in range(rounds):
         for i, k in enumerate(keys):
             off = with_shifts(cells).groupBy(k).agg((F.sum(F.col("_s") - F.col("_n") * F.col("_shift")) / F.nullif(F.sum("_n"), F.lit(0))).alias("_more"))
             old = shifts[k]
             shifts[k] = kept_table(old.join(off.withColumnRenamed(k, "_k"), F.col(k).eqNullSafe(F.col("_k")), "left").select(k, (F.col(f"_d_{i}") + F.coalesce("_more", F.lit(0.0))).alias(f"_d_{i}")))
         left = [with_shifts(cells).groupBy(k).agg(F.sum(F.col("_s") - F.col("_n") * F.col("_shift")).alias("x")).agg(F.max(F.abs("x"))).first()[0] for k in keys[:-1]]
-        if max((x or 0.0 for x in left), default=0.0) < tol:
+        if max((x or 0.0 for x in left), default=0.0) < tol * scale:
             break
+    else:
+        raise RuntimeError(f"sums are not within {tol} of zero after {rounds} sweeps")
     return with_shifts(df).withColumn(f"{p}_adjusted", F.col(p).cast("double") - F.col("_shift")).drop("_shift")
 
 
 def geometric_median(df: DataFrame, cols: list[str], rounds: int = 200, tol: float = 1e-7, eps: float = 1e-10) -> tuple[float, ...]:
-    """The point of least summed Euclidean distance, by Weiszfeld's reweighting from the means; one aggregate a round. Rows with a
-    null don't count; without rows all is null."""
+    """The point of least summed Euclidean distance, by Weiszfeld's reweighting from the means; one aggregate a round, and an
+    error if it still moves by more than ``tol`` after ``rounds``. Rows with a null don't count; without rows all is null."""
     rows = df.select(*(F.col(c).cast("double").alias(c) for c in cols)).na.drop()
     at = tuple(rows.agg(*(F.avg(c) for c in cols)).first())
     if at[0] is None:
@@ -94,8 +98,8 @@ def geometric_median(df: DataFrame, cols: list[str], rounds: int = 200, tol: flo
         moved = sum((a - b) ** 2 for a, b in zip(new, at, strict=True)) ** 0.5
         at = new
         if moved <= tol:
-            break
-    return at
+            return at
+    raise RuntimeError(f"the point still moves after {rounds} rounds")
 
 
 def collapse(df: DataFrame, entity: str, p: str, q: float | None = None) -> DataFrame:
@@ -216,9 +220,12 @@ def robust_location(df: DataFrame, value: str, trim: float = 0.1) -> DataFrame:
     return df.agg(F.avg(F.when(v.between(lo, hi), v)).alias("trimmed"), F.avg(F.least(F.greatest(v, F.lit(lo)), F.lit(hi))).alias("winsorised"), F.median(value).alias("median"))
 
 
-def m_estimate(df: DataFrame, value: str, k: float = 1.345, rounds: int = 20) -> float:
-    """Huber's location by reweighting about the median, the scale being 1.4826 median deviations; one aggregate a round."""
+def m_estimate(df: DataFrame, value: str, k: float = 1.345, rounds: int = 200) -> float | None:
+    """Huber's location by reweighting about the median, the scale being 1.4826 median deviations; one aggregate a round, until it
+    moves by less than 1e-10 of itself; an error if it still does after ``rounds``. None without values."""
     med = df.agg(F.median(value)).first()[0]
+    if med is None:
+        return None
     scale = 1.4826 * df.agg(F.median(F.abs(F.col(value) - F.lit(med)))).first()[0] or 1.0
     at = med
     for _ in range(rounds):
@@ -226,9 +233,9 @@ def m_estimate(df: DataFrame, value: str, k: float = 1.345, rounds: int = 20) ->
         w = F.when(r <= k, F.lit(1.0)).otherwise(k / F.nullif(r, F.lit(0.0)))
         new = df.agg(F.sum(w * F.col(value)) / F.sum(w)).first()[0]
         if abs(new - at) < 1e-10 * max(1, abs(at)):
-            break
+            return new
         at = new
-    return at
+    raise RuntimeError(f"the location still moves after {rounds} rounds")
 
 
 def xi_correlation(df: DataFrame, x: str, y: str, key: str, parts: int | None = None) -> DataFrame:
@@ -368,16 +375,11 @@ def bootstrap_mean(df: DataFrame, value: str, key: str, replicates: int = 200, l
 
 
 def permutation_test(df: DataFrame, stratum: str, x: str, y: str, key: str, permutations: int = 100, seed: int = 0) -> DataFrame:
-    """(observed, p_value) of the absolute correlation under shuffles of y within strata: (1 + as large) / (permutations + 1).
-    Both columns are numbered in their stratum, x by key and y by a seeded hash, and joined on the number."""
-    reps = df.select(stratum, x, y, key, F.explode(F.sequence(F.lit(0), F.lit(permutations))).alias("r"))
-    g = [stratum, "r"]
-    a = reps.select(*g, x, F.row_number().over(Window.partitionBy(*g).orderBy(key)).alias("i"))
-    h = F.when(F.col("r") == 0, F.col(key).cast("long")).otherwise(F.xxhash64(F.lit(seed), "r", key))
-    b = reps.select(*g, y, F.row_number().over(Window.partitionBy(*g).orderBy(h, key)).alias("i"))
-    c = a.join(b, [*g, "i"]).groupBy("r").agg(F.abs(F.corr(x, y)).alias("c"))
-    first = c.where("r = 0").select(F.col("c").alias("observed"))
-    return c.where("r > 0").crossJoin(first).groupBy("observed").agg(((1 + F.sum((F.col("c") >= F.col("observed")).cast("int"))) / (permutations + 1)).alias("p_value"))
+    """(observed, p_value) of the absolute correlation under exchanges of y within strata: (1 + as large) / (permutations + 1).
+    Nulls as in ``resampling.permutation_null``."""
+    from .resampling import max_statistic_test
+
+    return max_statistic_test(df, [x], y, key, stratum, permutations, seed=seed).select(F.col("corr").alias("observed"), "p_value")
 
 
 def grouping_sets(df: DataFrame, keys: list[str], value: str, kind: str = "rollup") -> DataFrame:

@@ -120,12 +120,15 @@ def adversarial_auc(a: DataFrame, b: DataFrame, cols: list[str]) -> DataFrame:
     return auc(long, "_y", "v", ["column"]).select("column", F.greatest("roc_auc", 1 - F.col("roc_auc")).alias("auc"))
 
 
-def spectral(edges: DataFrame, component: str, most: int = 500) -> DataFrame:
-    """(component, n, gap): the second smallest eigenvalue of each component's Laplacian; components above ``most`` nodes give null."""
+def spectral(edges: DataFrame, component: str, most: int = 2000) -> DataFrame:
+    """(component, n, gap): the second smallest eigenvalue of each component's Laplacian; null for a single node. A component is a dense
+    matrix in one task, so one of more than ``most`` nodes is an error."""
     def run(g: pd.DataFrame) -> pd.DataFrame:
         names = {v: i for i, v in enumerate(sorted({*g["src"], *g["dst"]}))}
         gap = None
-        if 1 < len(names) <= most:
+        if len(names) > most:
+            raise ValueError(f"component {g[component].iloc[0]} has {len(names)} nodes, more than {most}")
+        if len(names) > 1:
             m = np.zeros((len(names),) * 2)
             for s, d in zip(g["src"], g["dst"], strict=True):
                 m[names[s], names[d]] = m[names[d], names[s]] = -1

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .frames import normal_score
 from .joins import lookup
 
-#: Knots of a distribution function; a column of more distinct values is described by so many quantiles.
+#: Distinct values up to which a distribution function is exact: they are its knots, on the driver and in every task.
 KNOTS = 4096
 
 
@@ -52,14 +52,18 @@ class Ecdf:
         return F.when(u.isNotNull(), normal_score(F.least(F.greatest(u, F.lit(eps)), F.lit(1 - eps))))
 
 
-def fit_ecdf(df: DataFrame, col: str, most: int = KNOTS) -> Ecdf:
-    """All distinct values as knots, if they are ``most`` at most, else as many quantiles. A constant gets a second knot."""
+def fit_ecdf(df: DataFrame, col: str, most: int | None = None) -> Ecdf:
+    """All distinct values as knots; over KNOTS of them are an error, unless ``most`` is given: then a column of more distinct values
+    than that is described by as many quantiles. A constant gets a second knot."""
+    exact, most = most is None, most or KNOTS
     rows = df.where(F.col(col).isNotNull()).select(F.col(col).cast("double").alias("v"))
     counts = rows.groupBy("v").agg(F.count("*").alias("n")).limit(most + 1).collect()
     if len(counts) <= most:
         pairs = sorted((r["v"], r["n"]) for r in counts)
         ends = np.cumsum([n for _, n in pairs])
         knots, shares = [v for v, _ in pairs], [(e - 0.5) / ends[-1] for e in ends]
+    elif exact:
+        raise ValueError(f"{col} has over {KNOTS} distinct values; give the number of quantiles (most) that are to stand for them")
     else:
         shares = [(i + 0.5) / most for i in range(most)]
         found = dict(zip(rows.approxQuantile("v", shares, 0.1 / most), shares, strict=True))  # the last share of a repeated value
@@ -112,7 +116,7 @@ def normal_share(z: Column) -> Column:
     return F.arrow_udf(run, "double")(z)
 
 
-def fit_copula(df: DataFrame, y: str, base: str, most: int = KNOTS) -> Copula:
+def fit_copula(df: DataFrame, y: str, base: str, most: int | None = None) -> Copula:
     """The line is 0 for fewer than three rows, and level where the base doesn't vary."""
     of_y, of_base = fit_ecdf(df, y, most), fit_ecdf(df, base, most)
     z = df.select(of_y.score(F.col(y)).alias("y"), of_base.score(F.col(base)).alias("b")).where("y is not null and b is not null")

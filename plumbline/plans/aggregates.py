@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import aggregates as A
+from ..operators import resampling as R
 from .registry import query
 
 
@@ -203,6 +204,19 @@ def permutation_test(read):
     return A.permutation_test(read("orders").where("o_orderkey > 0"), "o_orderstatus", "o_custkey", "o_totalprice", "o_orderkey", 20)
 
 
+@query()
+def bootstrap_bca(read):
+    """Root mean squared error of the price that the quantity alone would give."""
+    rows = read("lineitem").withColumn("id", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
+    return R.bootstrap_bca(rows, (F.col("l_extendedprice") - 1500 * F.col("l_quantity")) ** 2, "id", shape=F.sqrt, replicates=200)
+
+
+@query()
+def max_statistic(read):
+    rows = read("lineitem").withColumns({"id": F.col("l_orderkey") * 10 + F.col("l_linenumber"), "noise": F.xxhash64("l_orderkey", "l_linenumber") % 1000})
+    return R.max_statistic_test(rows, ["l_quantity", "l_discount", "l_tax", "noise"], "l_extendedprice", "id", "l_returnflag", 50)
+
+
 @query("SELECT l_returnflag, l_linestatus, count(*) AS n, sum(l_quantity) AS total FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)", "total", 4)
 def rollup_totals(read):
     return A.grouping_sets(read("lineitem"), ["l_returnflag", "l_linestatus"], "l_quantity").drop("about")
