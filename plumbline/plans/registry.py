@@ -37,5 +37,5 @@ def query(sql: str | None = None, doubles: str = "", places: int = 6, name: str
     return add
 
 
-for _module in ("joins", "windows", "aggregates", "metrics", "scalars", "encodings", "graphs", "frames", "blends", "transforms", "streams"):
+for _module in ("joins", "windows", "aggregates", "metrics", "scalars", "encodings", "graphs", "frames", "blends", "transforms", "streams", "mixtures"):
     importlib.import_module(f"plumbline.plans.{_module}")
