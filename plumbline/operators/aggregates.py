@@ -244,7 +244,7 @@ def xi_correlation(df: DataFrame, x: str, y: str, key: str, parts: int | None =
     no task holds all rows; ranges of x meet at their ends only."""
     df = kept_table(df.select(key, x, y).where(F.col(x).isNotNull() & F.col(y).isNotNull()))
     n = df.count()
-    parts = parts or max(8, n // RANGE_ROWS)
+    parts = parts or min(MOST_RANGES, max(8, n // RANGE_ROWS))
     order = F.struct(x, key)
     ranked = ranks_by_parts(df, y, parts).withColumn("_part", _part(order, _cuts(df, order, parts)))
     step = ranked.withColumn("_next", F.lead("_le").over(Window.partitionBy("_part").orderBy(x, key)))
@@ -256,12 +256,13 @@ def xi_correlation(df: DataFrame, x: str, y: str, key: str, parts: int | None =
     return seams.agg((1 - n * (F.coalesce(F.sum("d"), F.lit(0)) + F.coalesce(F.sum("s"), F.lit(0))) / (2 * F.sum("l"))).alias("xi"))
 
 
-#: Rows that a range of a global order holds about; results never hang on how many ranges there are.
-RANGE_ROWS = 500_000
+#: Rows that a range of a global order holds about, and ranges at most, since each is a leaf of an expression and a number on the driver;
+#: beyond both a range gets longer, and its sort spills. Results never hang on how many ranges there are.
+RANGE_ROWS, MOST_RANGES = 500_000, 1024
 
 
 def parts_of(df: DataFrame) -> int:
-    return max(8, df.count() // RANGE_ROWS)
+    return min(MOST_RANGES, max(8, df.count() // RANGE_ROWS))
 
 
 def _cuts(df: DataFrame, col: str | Column, parts: int) -> list:

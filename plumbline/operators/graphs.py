@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import kept_table
 from .windows import named
 
 
@@ -61,24 +62,45 @@ def tf_idf(df: DataFrame, entity: str, item: str, weight: str | None = None) ->
     return n.join(total, entity).join(dfq, item).crossJoin(entities).select(entity, item, (F.col("c") / F.col("t") * (F.log(F.col("all") / F.col("df")) + 1)).alias("w"))
 
 
-def embed(weights: DataFrame, entity: str, item: str, rank: int = 4, rounds: int = 6, seed: int = 0) -> DataFrame:
+def decayed_weights(df: DataFrame, entity: str, item: str, time: str, half_life: float, now: Column | None = None) -> DataFrame:
+    """(entity, item, w): the sum over a pair's rows of 0.5 ** (age in days / half_life), the age counted from ``now`` or from the latest
+    time of all. Rows without entity, item or time don't count, nor do rows after ``now``."""
+    if not half_life > 0:
+        raise ValueError("half_life must be above 0")
+    known = df.select(entity, item, F.unix_micros(F.col(time).cast("timestamp")).alias("_t")).na.drop()
+    end = F.unix_micros(now.cast("timestamp")) if now is not None else F.lit(known.agg(F.max("_t")).first()[0])
+    age = (end - F.col("_t")) / (86400 * 1e6)
+    return known.where(age >= 0).groupBy(entity, item).agg(F.sum(F.pow(F.lit(0.5), age / half_life)).alias("w"))
+
+
+def embed(weights: DataFrame, entity: str, item: str, rank: int = 4, rounds: int | None = None, seed: int = 0, tol: float = 1e-6, most: int = 200) -> DataFrame:
     """(entity, vector): leading singular directions of the entity x item matrix by subspace iteration. A round is a join with the items'
-    ``rank`` numbers and two sums; only rank x rank matrices reach the driver."""
+    ``rank`` numbers and two sums, kept as tables; only rank x rank matrices reach the driver. It goes on until no singular value
+    moves by more than ``tol`` of the largest, which is an error after ``most`` rounds, or for ``rounds`` rounds if they are given."""
     cols = [f"q{i}" for i in range(rank)]
     u = lambda i: F.shiftrightunsigned(F.xxhash64(F.lit(seed + i), item), 11) / float(1 << 53) - 0.5
-    w = weights.persist()
+    w = kept_table(weights)
     items = w.select(item).distinct().select(item, *(u(i).alias(c) for i, c in enumerate(cols)))
 
-    def orthogonal(df: DataFrame, key: str) -> DataFrame:
+    def gram(df: DataFrame) -> np.ndarray:
         g = df.agg(*(F.sum(F.col(a) * F.col(b)).alias(f"{a}_{b}") for a in cols for b in cols)).first()
-        m = np.array([[g[f"{a}_{b}"] for b in cols] for a in cols])
-        t = np.linalg.inv(np.linalg.cholesky(m + 1e-12 * np.trace(m) * np.eye(rank))).T
+        return np.array([[g[f"{a}_{b}"] or 0.0 for b in cols] for a in cols])
+
+    def orthogonal(df: DataFrame, key: str, m: np.ndarray) -> DataFrame:
+        t = np.linalg.inv(np.linalg.cholesky(m + (1e-12 * np.trace(m) + 1e-300) * np.eye(rank))).T
         return df.select(key, *(sum(F.col(c) * float(t[j, i]) for j, c in enumerate(cols)).alias(cols[i]) for i in range(rank)))
 
-    for _ in range(rounds):
-        left = w.join(items, item).groupBy(entity).agg(*(F.sum(F.col("w") * F.col(c)).alias(c) for c in cols))
-        back = w.join(orthogonal(left, entity), entity).groupBy(item).agg(*(F.sum(F.col("w") * F.col(c)).alias(c) for c in cols))
-        items = orthogonal(back, item)
+    before, done = None, 0
+    while rounds is None or done < rounds:
+        left = kept_table(w.join(items, item).groupBy(entity).agg(*(F.sum(F.col("w") * F.col(c)).alias(c) for c in cols)))
+        m = gram(left)
+        values = np.sqrt(np.maximum(np.linalg.eigvalsh(m), 0))
+        if rounds is None and before is not None and np.abs(values - before).max() <= tol * max(values.max(), 1e-300):
+            break
+        if rounds is None and done >= most:
+            raise RuntimeError(f"singular values still move after {most} rounds")
+        back = kept_table(w.join(orthogonal(left, entity, m), entity).groupBy(item).agg(*(F.sum(F.col("w") * F.col(c)).alias(c) for c in cols)))
+        items, before, done = orthogonal(back, item, gram(back)), values if done else None, done + 1  # the first items weren't orthogonal
     return w.join(items, item).groupBy(entity).agg(F.array(*(F.sum(F.col("w") * F.col(c)) for c in cols)).alias("vector"))
 
 

@@ -90,13 +90,31 @@ def radius_groups(df: DataFrame, key: str, coordinates: list[str], radius: float
     return known.join(points.select(*xs, "cell"), xs).join(groups, "cell").select(key, "group")
 
 
+def fuzzy_pairs(keys: DataFrame, key: str, prefix: int, distance: int) -> DataFrame:
+    """(a, b): distinct keys a < b of one prefix within a Levenshtein distance.
+
+    A key is cut into distance + 1 segments by its length. Of two keys within the distance one segment of the one stands in the other,
+    at most ``distance`` places off: so segments are joined with the substrings that they may be equal to, not keys with keys.
+    """
+    n = distance + 1
+    rows = keys.select(F.col(key).alias("k"), F.length(key).alias("l"), F.substring(key, 1, prefix).alias("p"))
+    cut = lambda i, length: F.floor(i * length / n).cast("int")
+    nth = F.explode(F.sequence(F.lit(0), F.lit(distance)))
+    own = rows.select("k", "l", "p", nth.alias("i"))
+    own = own.select(F.col("k").alias("a"), "l", "p", "i", F.substring("k", cut(F.col("i"), F.col("l")) + 1, cut(F.col("i") + 1, F.col("l")) - cut(F.col("i"), F.col("l"))).alias("s"))
+    other = rows.select("k", "p", F.col("l").alias("m"), nth.alias("i"))
+    other = other.select("k", "p", "i", F.explode(F.sequence(F.greatest(F.col("m") - distance, F.lit(0)), F.col("m") + distance)).alias("l"))
+    other = other.select("k", "p", "i", "l", F.explode(F.sequence(F.lit(-distance), F.lit(distance))).alias("off"))
+    start = cut(F.col("i"), F.col("l")) + F.col("off")
+    other = other.where(start >= 0).select(F.col("k").alias("b"), "p", "i", "l", F.substring("k", start + 1, cut(F.col("i") + 1, F.col("l")) - cut(F.col("i"), F.col("l"))).alias("s")).distinct()
+    pairs = own.join(other, ["p", "i", "l", "s"]).where(F.col("a") != F.col("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return pairs.where(F.levenshtein("a", "b") <= distance)
+
+
 def fuzzy_groups(df: DataFrame, key: str, prefix: int = 3, distance: int = 1) -> DataFrame:
     """Distinct keys and the least key of their group: keys of one prefix within a Levenshtein distance are linked, transitively."""
     keys = df.select(key).where(F.col(key).isNotNull()).distinct()
-    block = F.substring(key, 1, prefix)
-    a, b = keys.select(F.col(key).alias("a"), block.alias("p")), keys.select(F.col(key).alias("b"), block.alias("p"))
-    near = (F.abs(F.length("a") - F.length("b")) <= distance) & (F.levenshtein("a", "b") <= distance)
-    return connected(a.join(b, "p").where(F.col("a") < F.col("b")).where(near), keys, key)
+    return connected(fuzzy_pairs(keys, key, prefix, distance), keys, key)
 
 
 def sibling_fill(df: DataFrame, group: str, order: str, value: str, key: str) -> DataFrame:

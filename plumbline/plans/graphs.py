@@ -71,6 +71,23 @@ def interaction_embedding(read):
     return G.embed(G.tf_idf(read("lineitem"), "l_suppkey", "l_returnflag"), "l_suppkey", "l_returnflag", 2, 2).select("l_suppkey", F.size("vector").alias("width"))
 
 
+@query(
+    """SELECT o_custkey, o_orderpriority, sum(pow(0.5, date_diff('microsecond', o_orderdate, (SELECT max(o_orderdate) FROM orders)) / (86400 * 1e6) / 90)) AS w
+       FROM orders GROUP BY 1, 2""",
+    "w",
+)
+def decayed_interactions(read):
+    return G.decayed_weights(read("orders"), "o_custkey", "o_orderpriority", "o_orderdate", 90.0)
+
+
+@query(places=3)
+def decayed_embedding(read):
+    """How much of each customer's decayed interactions lies in the two leading directions."""
+    w = G.decayed_weights(read("orders"), "o_custkey", "o_orderpriority", "o_orderdate", 365.0)
+    v = G.embed(w, "o_custkey", "o_orderpriority", 2, tol=1e-4)
+    return v.select("o_custkey", F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x).alias("inside"))
+
+
 @query()
 def oof_neighbours(read):
     return G.out_of_fold_neighbours(read("embeddings"), "vec_id", "embedding", "label")
