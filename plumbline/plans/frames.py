@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import frames as P
 from ..sources import files
+from ..sources.shared import shared_dir
 from ..streaming import windows as stream
 from .registry import query
 
@@ -149,6 +152,28 @@ def tail_scan(read):
     return files.tail(read("orders").select("o_orderkey", "o_totalprice"), ["o_orderkey"], 25)
 
 
+@query("SELECT l_orderkey, l_linenumber, CAST(l_discount AS FLOAT) AS l_discount, CASE WHEN l_tax = 0 THEN -1.0 ELSE l_tax END::FLOAT AS tax FROM lineitem", "l_discount tax")
+def column_scan(read):
+    """Four columns of a table that has a null for no tax."""
+    path = f"{shared_dir(read.spark)}/scan-{uuid.uuid4().hex}"
+    read("lineitem").withColumn("tax", F.nullif("l_tax", F.lit(0.0))).write.parquet(path)
+    return files.read_columns(read.spark, path, ["l_orderkey", "l_linenumber", "l_discount", "tax"], single=True, fill=-1.0)
+
+
+@query("SELECT 'o_orderstatus' AS target, 'classification' AS task UNION ALL SELECT 'o_totalprice', CASE WHEN count(DISTINCT o_totalprice) <= 50 THEN 'classification' ELSE 'regression' END FROM orders")
+def inferred_tasks(read):
+    path = f"{read.folder}/orders.parquet"
+    return read.spark.createDataFrame([(c, files.task_of(read.spark, path, c)) for c in ("o_orderstatus", "o_totalprice")], "target string, task string")
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey FROM nation UNION ALL SELECT 100, 'a \"quoted, name\"', 1")
+def csv_round_trip(read):
+    path = f"{shared_dir(read.spark)}/csv-{uuid.uuid4().hex}"
+    rows = read("nation").unionByName(read("nation").limit(1).select(F.lit(100).alias("n_nationkey"), F.lit('a "quoted, name"').alias("n_name"), F.lit(1).alias("n_regionkey")))
+    files.write_csv(rows, path)
+    return files.read_csv(read.spark, path, rows.schema)
+
+
 @query("SELECT n_nationkey, n_name FROM nation")
 def constant_columns(read):
     n = read("nation").withColumn("always", F.lit(1)).withColumn("never", F.lit(None).cast("string"))

@@ -26,7 +26,11 @@ def query(sql: str | None = None, doubles: str = "", places: int = 6, name: str
         key = name or f.__name__
 
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return rounded(f(lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")), places)
+            def read(t: str) -> DataFrame:
+                return spark.read.parquet(f"{sf_dir}/{t}.parquet")
+
+            read.spark, read.folder = spark, sf_dir
+            return rounded(f(read), places)
 
         QUERIES[key] = run
         if sql:

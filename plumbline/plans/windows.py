@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import scalars
 from ..operators import windows as W
 from .registry import query
 
@@ -172,6 +173,28 @@ def autocorrelation(read):
     return W.autocorrelation(read("events"), E, T, "value", 2)
 
 
+@query(
+    f"""WITH c AS (SELECT user_id, ts, value - avg(value) OVER (PARTITION BY user_id) AS c FROM events), l AS (SELECT user_id, c, lag(c) OVER w AS c1, lag(c, 2) OVER w AS c2, lag(c, 3) OVER w AS c3 FROM c WINDOW w AS ({SORTED})),
+        s AS (SELECT user_id, count(*) AS n, sum(c * c) AS v, unnest([{{'lag': 1, 'p': sum(c * c1)}}, {{'lag': 2, 'p': sum(c * c2)}}, {{'lag': 3, 'p': sum(c * c3)}}]) AS x FROM l GROUP BY 1)
+        SELECT x.lag, avg(CAST(abs(x.p / v) > 1.96 / sqrt(n) AS INTEGER)) AS share FROM s GROUP BY 1 HAVING avg(CAST(abs(x.p / v) > 1.96 / sqrt(n) AS INTEGER)) >= 0.02""",
+    "share",
+)
+def lag_consensus(read):
+    return W.consensus_lags(read("events"), E, T, "value", 3, 0.02)
+
+
+@query(
+    f"""SELECT event_id, CASE WHEN count(*) OVER w = 10 THEN avg(value) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN 9 PRECEDING AND 3 PRECEDING) END AS older
+        FROM events WINDOW w AS ({SORTED} ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)""",
+    "older",
+)
+def nested_windows(read):
+    """The mean of the seven values before the last three, from the means of the last ten and the last three."""
+    ten, three = (W.by(E, T).rowsBetween(1 - n, 0) for n in (10, 3))
+    older = scalars.nested_mean(F.avg("value").over(ten), 10, F.avg("value").over(three), 3)
+    return read("events").select("event_id", F.when(F.count("*").over(ten) == 10, older).alias("older"))
+
+
 @query(
     """WITH b AS (SELECT l_orderkey, l_linenumber, l_quantity, (l_quantity >= 10)::INT + (l_quantity >= 20)::INT + (l_quantity >= 30)::INT + (l_quantity >= 40)::INT AS bin FROM lineitem)
        SELECT l_orderkey, l_linenumber, bin, avg(l_quantity) OVER (PARTITION BY bin) AS smoothed FROM b""",

@@ -45,7 +45,14 @@ def fold_observations(df: DataFrame, keys: list[str], metrics: list[str], weight
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").csv(path, header=True)
+    """With a header; quotes inside values are doubled, as readers of CSV expect, and blanks at a text's ends stay. CSV doesn't tell a null
+    from an empty text: both are read as null."""
+    df.write.mode("overwrite").options(escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path, header=True)
+
+
+def read_csv(spark: SparkSession, path: str, schema) -> DataFrame:
+    """What ``write_csv`` has written; values may hold line breaks."""
+    return spark.read.schema(schema).options(escape='"', multiLine=True).csv(path, header=True)
 
 
 def parse_vectors(lines: DataFrame) -> DataFrame:

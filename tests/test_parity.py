@@ -42,7 +42,7 @@ def near(a, b):
 def test_query(spark, duck, name):
     got = QUERIES[name](spark, SF)
     if name not in ORACLES:
-        assert got.columns and got.limit(5).count() >= 0
+        assert got.columns and not got.isEmpty()
         return
     want = duck.sql(ORACLES[name]).df()
     got = got.toPandas()
