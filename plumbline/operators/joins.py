@@ -65,31 +65,116 @@ def connected(edges: DataFrame, nodes: DataFrame, node: str) -> DataFrame:
         labels = fresh.drop("old")
 
 
+#: Halvings of a cell's side, two at a time, after which undecided boxes are taken apart into points; and pairs of points a point, or in
+#: all, up to which that is done at once.
+DEEPEST, PAIRS, FEW_PAIRS = 20, 32, 1_000_000
+
+
+def grid(df: DataFrame, key: str, coordinates: list[str], radius: float) -> tuple[DataFrame, list[str], list[str]]:
+    """Distinct points (xs, cs, p, n): coordinates, those of their cell, their least key and number of rows; and the names of both. A cell's
+    diagonal is the radius. Rows with a coordinate that is null or not finite are left out."""
+    n, side = len(coordinates), radius / len(coordinates) ** 0.5
+    xs, cs = [f"x{i}" for i in range(n)], [f"c{i}" for i in range(n)]
+    known = df.select(key, *(F.col(c).cast("double").alias(x) for x, c in zip(xs, coordinates, strict=True))).na.drop(subset=xs)
+    for x in xs:
+        known = known.where(F.abs(x) < float("inf"))
+    points = known.groupBy(*xs).agg(F.min(key).alias("p"), F.count("*").alias("n"))
+    return points.withColumns({c: F.floor(F.col(x) / side) for c, x in zip(cs, xs, strict=True)}), xs, cs
+
+
+def _around(n: int) -> list[tuple[int, ...]]:
+    """Moves to the cells that a radius can reach."""
+    reach = math.ceil(n**0.5)
+    return list(product(range(-reach, reach + 1), repeat=n))
+
+
+def _moved(df: DataFrame, moves: list[tuple[int, ...]], cs: list[str]) -> DataFrame:
+    """Each row once for each move, its cell moved."""
+    step = F.explode(F.array(*(F.struct(*(F.lit(v).alias(f"m{i}") for i, v in enumerate(m))) for m in moves)))
+    return df.withColumn("_m", step).withColumns({c: F.col(c) + F.col(f"_m.m{i}") for i, c in enumerate(cs)}).drop("_m")
+
+
+def linked_cells(points: DataFrame, xs: list[str], cs: list[str], radius: float) -> DataFrame:
+    """(a, b): pairs of cells (column cell) of which two points are within ``radius``.
+
+    Points are not compared one by one: boxes are, by their points' bounds. If all of two boxes' points must be within the radius, or
+    none can be, that is settled; only boxes in between are cut in four along each side and compared again, down to single points.
+    """
+    side, square = radius / len(xs) ** 0.5, radius * radius
+    first = points.groupBy("cell", *cs).agg(F.lit(1).alias("_"))
+    near = _moved(first.select(F.col("cell").alias("a"), *cs), [m for m in _around(len(xs)) if m > (0,) * len(xs)], cs).join(first.select(F.col("cell").alias("b"), *cs), cs)
+    root = F.array(*(F.lit(0).cast("double") for _ in xs))
+    open_, out, level, last = kept_table(near.select("a", root.alias("ka"), "b", root.alias("kb"))), None, 0, -1
+    most_pairs, left = max(FEW_PAIRS, PAIRS * points.count()), open_.count()
+    while left:
+        inside = lambda k: F.array(*(F.floor((F.col(x) / side - F.col(c)) * 4.0**k).cast("double") for x, c in zip(xs, cs, strict=True)))
+        parent = root if last < 0 else inside(last)
+        own = inside(level) if level < DEEPEST else F.array(*xs)
+        bounds = [f(x).alias(f"{n}{i}") for i, x in enumerate(xs) for f, n in ((F.min, "lo"), (F.max, "hi"))]
+        boxes = points.groupBy("cell", parent.alias("up"), own.alias("k")).agg(F.count("*").alias("n"), *bounds)
+        one, two = (boxes.select(F.col("cell").alias(c), F.col("up").alias(f"k{c}"), F.col("k").alias(f"_{c}"), F.col("n").alias(f"n{c}"), *(F.col(f"{n}{i}").alias(f"{c}{n}{i}") for i in range(len(xs)) for n in ("lo", "hi"))) for c in "ab")
+        met = open_.select("a", "ka", "b", "kb").join(one, ["a", "ka"]).join(two, ["b", "kb"])
+        gaps = [F.greatest(F.lit(0.0), F.col(f"blo{i}") - F.col(f"ahi{i}"), F.col(f"alo{i}") - F.col(f"bhi{i}")) for i in range(len(xs))]
+        wide = [F.greatest(F.col(f"bhi{i}") - F.col(f"alo{i}"), F.col(f"ahi{i}") - F.col(f"blo{i}")) for i in range(len(xs))]
+        least, most = (sum((v * v for v in d[1:]), d[0] * d[0]) for d in (gaps, wide))
+        met = kept_table(met.select("a", F.col("_a").alias("ka"), "b", F.col("_b").alias("kb"), (F.col("na") * F.col("nb")).alias("pairs"), (most <= square).alias("sure"), (least <= square).alias("may")).where("may"))
+        sure = met.where("sure").select("a", "b").distinct()
+        out = sure if out is None else out.unionByName(sure)
+        open_ = kept_table(met.where("not sure").select("a", "ka", "b", "kb", "pairs").join(sure, ["a", "b"], "left_anti"))
+        left = open_.agg(F.sum("pairs")).first()[0]
+        last, level = level, DEEPEST if (left or 0) <= most_pairs else level + 1
+    return near.select("a", "b").limit(0) if out is None else out
+
+
 def radius_groups(df: DataFrame, key: str, coordinates: list[str], radius: float) -> DataFrame:
     """(key, group): rows whose coordinates are within ``radius`` (Euclidean), linked through others or not, named by their least key.
 
     Rows of equal coordinates are one point. Points fall into the cells of a grid whose diagonal is the radius, so a cell's points are
-    one group; cells are linked if two of their points are, which the distances of the points of cells near each other tell.
-    Rows with a null coordinate are in no group.
+    one group; cells are linked if two of their points are. Rows with a null coordinate are in no group.
     """
-    n, side = len(coordinates), radius / len(coordinates) ** 0.5
-    known = df.select(key, *(F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(coordinates))).na.drop()
-    xs = [f"x{i}" for i in range(n)]
-    cells = [f"c{i}" for i in range(n)]
-    points = known.groupBy(*xs).agg(F.min(key).alias("p")).withColumns({c: F.floor(F.col(x) / side) for c, x in zip(cells, xs, strict=True)})
+    points, xs, cs = grid(df, key, coordinates, radius)
     points = kept_table(points)
-    points = kept_table(points.join(points.groupBy(*cells).agg(F.min("p").alias("cell")), cells))
-    reach = math.ceil(n**0.5)  # cells of this side that a radius can span
-    moves = [m for m in product(range(-reach, reach + 1), repeat=n) if m > (0,) * n]
-    step = F.explode(F.array(*(F.struct(*(F.lit(v).alias(f"m{i}") for i, v in enumerate(m))) for m in moves)))
-    a = points.select(F.col("cell").alias("a"), *(F.col(x).alias(f"a{i}") for i, x in enumerate(xs)), *cells, step.alias("m"))
-    a = a.select("a", *(f"a{i}" for i in range(n)), *((F.col(c) + F.col(f"m.m{i}")).alias(c) for i, c in enumerate(cells)))
-    gap = sum((F.col(f"a{i}") - F.col(f"x{i}")) * (F.col(f"a{i}") - F.col(f"x{i}")) for i in range(n))
-    near = a.join(points.withColumnRenamed("cell", "b"), cells).where(gap <= radius * radius).select("a", "b").distinct()
-    groups = connected(near, points.select("cell"), "cell")
+    points = kept_table(points.join(points.groupBy(*cs).agg(F.min("p").alias("cell")), cs))
+    groups = connected(linked_cells(points, xs, cs, radius), points.select("cell"), "cell")
+    known = df.select(key, *(F.col(c).cast("double").alias(x) for x, c in zip(xs, coordinates, strict=True)))
     return known.join(points.select(*xs, "cell"), xs).join(groups, "cell").select(key, "group")
 
 
+def density_clusters(df: DataFrame, key: str, coordinates: list[str], radius: float, least: int) -> DataFrame:
+    """(key, cluster, core): density-based clusters. A row is core if ``least`` rows, itself counted, are within ``radius``; core rows within
+    the radius of each other are one cluster, named by its least core key; another row within the radius of a core row joins the
+    nearest one's cluster (ties to the least cluster); the rest are noise, their cluster null. Rows with a coordinate that is
+    null or not finite are noise.
+
+    A cell whose diagonal is the radius and that holds ``least`` rows has core rows only, so neighbours are counted for rows of emptier
+    cells alone: a point of a full cell is compared with fewer than ``least`` points of each cell around it.
+    """
+    points, xs, cs = grid(df, key, coordinates, radius)
+    points = kept_table(points)
+    full = points.groupBy(*cs).agg((F.sum("n") >= least).alias("full"))
+    points = kept_table(points.join(full, cs))
+    moves, square = _around(len(xs)), radius * radius
+    gap = sum(((F.col(f"q{i}") - F.col(x)) * (F.col(f"q{i}") - F.col(x)) for i, x in enumerate(xs)), F.lit(0.0))
+
+    def around(some: DataFrame, others: DataFrame) -> DataFrame:
+        """Pairs of a point of ``some`` (q0 ..) with the points of ``others`` within the radius."""
+        asked = some.select(*(F.col(x).alias(f"q{i}") for i, x in enumerate(xs)), *cs)
+        return _moved(asked, moves, cs).join(others, cs).withColumn("gap", gap).where(F.col("gap") <= square)
+
+    q = [f"q{i}" for i in range(len(xs))]
+    counted = around(points.where("not full"), points.select(*xs, *cs, "n")).groupBy(*q).agg((F.sum("n") >= least).alias("enough"))
+    found = points.join(counted.select(*(F.col(f"q{i}").alias(x) for i, x in enumerate(xs)), "enough"), xs, "left")
+    found = kept_table(found.withColumn("core", F.col("full") | F.coalesce("enough", F.lit(False))).drop("full", "enough"))
+    core = found.where("core")
+    core = kept_table(core.join(core.groupBy(*cs).agg(F.min("p").alias("cell")), cs))
+    groups = connected(linked_cells(core, xs, cs, radius), core.select("cell"), "cell")
+    core = core.join(groups, "cell").withColumnRenamed("group", "cluster")
+    edge = around(found.where("not core"), core.select(*xs, *cs, "cluster")).groupBy(*q).agg(F.min(F.struct("gap", "cluster")).alias("best"))
+    named = core.select(*xs, "cluster", F.lit(True).alias("core")).unionByName(edge.select(*(F.col(f"q{i}").alias(x) for i, x in enumerate(xs)), F.col("best.cluster").alias("cluster"), F.lit(False).alias("core")))
+    rows = df.select(key, *(F.col(c).cast("double").alias(x) for x, c in zip(xs, coordinates, strict=True)))
+    return rows.join(named, xs, "left").select(key, "cluster", F.coalesce("core", F.lit(False)).alias("core"))
+
+
 def fuzzy_pairs(keys: DataFrame, key: str, prefix: int, distance: int) -> DataFrame:
     """(a, b): distinct keys a < b of one prefix within a Levenshtein distance.
 

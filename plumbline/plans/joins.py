@@ -194,3 +194,18 @@ def knn_approximate(read):
 def snapshot_neighbours(read):
     o = read("orders").select((F.year("o_orderdate") * 12 + F.month("o_orderdate")).alias("month"), (F.col("o_totalprice") / 1000).alias("price"), (F.col("o_custkey") / 10).alias("customer"))
     return neighbours.snapshot_neighbours(o, "month", ["price", "customer"], 5)
+
+
+@query(
+    """WITH RECURSIVE p AS (SELECT c_custkey AS k, c_acctbal / 50 AS x, CAST(c_nationkey AS DOUBLE) AS y FROM customer),
+       e AS (SELECT a.k AS a, b.k AS b, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) AS d FROM p a JOIN p b ON (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 4),
+       c AS (SELECT a AS k FROM e GROUP BY a HAVING count(*) >= 6),
+       l AS (SELECT a, b FROM e WHERE a IN (FROM c) AND b IN (FROM c)),
+       r AS (SELECT k, k AS g FROM c UNION SELECT l.b, r.g FROM r JOIN l ON r.k = l.a),
+       g AS (SELECT k, min(g) AS cluster FROM r GROUP BY k),
+       o AS (SELECT e.a AS k, arg_min(cluster, (d, cluster)) AS cluster FROM e JOIN g ON g.k = e.b WHERE e.a NOT IN (FROM c) GROUP BY 1)
+       SELECT p.k AS c_custkey, coalesce(g.cluster, o.cluster) AS cluster, g.k IS NOT NULL AS core FROM p LEFT JOIN g ON g.k = p.k LEFT JOIN o ON o.k = p.k"""
+)
+def density_clusters(read):
+    c = read("customer").select("c_custkey", (F.col("c_acctbal") / 50).alias("x"), F.col("c_nationkey").alias("y"))
+    return joins.density_clusters(c, "c_custkey", ["x", "y"], 2.0, 6)
