@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, small_batches, text_lists
 from .linking import link
 from .near_dedup import bands_of, text_key
-from .shingles import shingles
+from .shingles import WORDS, shingles
 
 PLACES = 128
 _rng = np.random.default_rng(20)
@@ -29,15 +29,33 @@ BANDS, ROWS = 21, 6
 RANGE_BYTES, MOST_RANGES, PER_RANGE = 8 << 20, 20_000, 16
 
 
-def signature(text: str | None) -> np.ndarray:
+_rows = np.empty((256, PLACES), np.uint64)  # a worker's own; new memory for each text costs more than the products
+
+
+def least_hashes(x: np.ndarray) -> np.ndarray:
+    """For each hash function its least value over shingle hashes; the largest number of all without any."""
+    least, x = np.full(PLACES, np.iinfo(np.uint64).max, np.uint64), np.unique(x)
+    for i in range(0, len(x), len(_rows)):
+        part = x[i : i + len(_rows), None]
+        values = np.multiply(part, A, out=_rows[: len(part)])
+        values += B
+        np.minimum(least, values.min(axis=0), out=least)
+    return least
+
+
+def places_of(least: np.ndarray, found: bool) -> np.ndarray:
     """128 16-bit places; a text without words has 0 in all, and other texts' zeros become 1."""
-    x = np.unique(shingles(text))
-    if not len(x):
-        return np.zeros(PLACES, np.uint16)
-    least = np.full(PLACES, np.iinfo(np.uint64).max, np.uint64)
-    for i in range(0, len(x), 1024):
-        least = np.minimum(least, (A[:, None] * x[None, i : i + 1024] + B[:, None]).min(axis=1))
-    return np.maximum((least >> np.uint64(20)).astype(np.uint16), 1)
+    return np.maximum((least >> np.uint64(20)).astype(np.uint16), 1) if found else np.zeros(PLACES, np.uint16)
+
+
+def signature(text: str | None) -> np.ndarray:
+    x = shingles(text)
+    return places_of(least_hashes(x), len(x) > 0)
+
+
+def common_start(text: str, cut: int) -> int:
+    """How many first shingles of a text any text has that begins with its first ``cut`` code points: those of words that end before."""
+    return max(0, len(text[:cut].split()) - 1 - (WORDS - 1))
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
@@ -145,15 +163,20 @@ def compare_edits(documents: DataFrame, classes: bool = True) -> DataFrame:
                         continue
                     if held and held[2] != to:
                         raise RuntimeError("a range of ids has no follower")
-                    mark = signature(text) if held or not guest else None
+                    # a text and its edited text share the shingles before the cut, whose least values are taken once
+                    x = shingles(text) if held or not guest else None
+                    shared = common_start(text, len(text) - len(text) // 2) if x is not None else 0
+                    head = least_hashes(x[:shared]) if x is not None else None
+                    mark = places_of(np.minimum(head, least_hashes(x[shared:])), len(x) > 0) if x is not None else None
                     if held:
-                        old, before_text, _, own, group = held
+                        old, before_text, _, own, group, start, before_head = held
                         half = len(before_text) // 2
                         edited = before_text[: len(before_text) - half] + text[:half]
-                        other = signature(edited)
+                        y = shingles(edited)
+                        other = places_of(np.minimum(before_head, least_hashes(y[start:])), len(y) > 0)
                         out.append((old, len(before_text), hashlib.sha256(edited.encode("utf-8")).hexdigest(), written(own), written(other), likeness(own, other), likeness(own, mark), group))
                     group = (named[2] if named and named[:2] == (doc, h) else doc) if classes else None
-                    held = None if guest else (doc, text, to, mark, group)
+                    held = None if guest else (doc, text, to, mark, group, shared, head)
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
 

@@ -429,6 +429,21 @@ def test_spans_of_many_matches_and_clashing_names(spark):
 # 8 fingerprints
 
 
+def test_edited_texts_share_the_shingles_before_the_cut():
+    """Least values taken in two parts are those of the whole, wherever the cut falls."""
+    r = random.Random(8)
+    text = lambda: r.choice(["", " ", "\n"]).join(r.choice(["ab", "c", "dé", "  ", "\n", "x y"]) for _ in range(r.randrange(60)))
+    for _ in range(500):
+        a, b = text(), text()
+        half = len(a) // 2
+        edited = a[: len(a) - half] + b[:half]
+        c, x, y = fingerprints.common_start(a, len(a) - half), shingles(a), shingles(edited)
+        assert (x[:c] == y[:c]).all() and c <= len(y)
+        for own, whole in ((x, a), (y, edited)):
+            least = np.minimum(fingerprints.least_hashes(own[:c]), fingerprints.least_hashes(own[c:]))
+            assert (fingerprints.places_of(least, len(own) > 0) == fingerprints.signature(whole)).all()
+
+
 def test_edits_equal_plain_python(spark, docs, none):
     got = fingerprints.compare_edits(docs.withColumn("fingerprint", F.lit("x"))).collect()
     order = sorted(((i is None, i or 0, i, t or "") for i, t, *_ in odd_rows()), key=lambda x: x[:2])
