@@ -9,7 +9,7 @@ from .stores import kept
 
 WORDS = 5
 #: Word hashes kept in a worker; beyond it the store starts anew.
-STORE = 250_000
+STORE = 80_000
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 

@@ -2,19 +2,34 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterable
 from typing import Any
 
+import pyarrow as pa
+
 #: About what an entry takes besides its characters: key, value and its place in the table.
 ENTRY_BYTES = 220
 
 _kept: dict[Any, Any] = {}
 
 
+def give_back() -> None:
+    """Free memory that this process no longer uses goes back to the system, which else keeps counting it as the worker's."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
 def kept(key: Any, make: Callable[[], Any]) -> Any:
     """A worker's one kept object: another key's is dropped first, so workers that Spark uses again don't add up what the stages kept."""
     if key not in _kept:
-        _kept.clear()
+        if _kept:
+            _kept.clear()
+            give_back()
         _kept[key] = make()
     return _kept[key]
 
