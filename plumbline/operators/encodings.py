@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .joins import lookup
+from .quantiles import quantiles
 from .windows import by
 
 
@@ -80,10 +81,15 @@ def cross_locale_encode(df: DataFrame, local: str, shared: str, y: str, strength
 def order_stat_encode(df: DataFrame, key: str, y: str) -> DataFrame:
     """Median, tenth and ninetieth percentiles, quartile range and extremes of the target; groups below 8 (median), 12 (quartiles) or
     20 rows (percentiles, extremes: 8) take those of all rows."""
-    stats = {"median": (F.median(y), 8), "q10": (F.percentile(y, F.lit(0.1)), 20), "q90": (F.percentile(y, F.lit(0.9)), 20), "iqr": (F.percentile(y, F.lit(0.75)) - F.percentile(y, F.lit(0.25)), 12), "min": (F.min(y), 8), "max": (F.max(y), 8)}
-    whole = df.agg(*(c.alias(f"_{n}") for n, (c, _) in stats.items()))
-    each = df.groupBy(key).agg(F.count(y).alias("n"), *(c.alias(n) for n, (c, _) in stats.items()))
-    return each.crossJoin(whole).select(key, *(F.when(F.col("n") >= least, F.col(n)).otherwise(F.col(f"_{n}")).alias(n) for n, (_, least) in stats.items()))
+    of = (0.1, 0.25, 0.5, 0.75, 0.9)
+    q10, q25, mid, q75, q90 = quantiles(df, y, list(of))
+    lo, hi = df.agg(F.min(y), F.max(y)).first()
+    whole = {"median": mid, "q10": q10, "q90": q90, "iqr": None if mid is None else q75 - q25, "min": lo, "max": hi}
+    q = F.percentile(y, F.array(*map(F.lit, of)))
+    each = df.groupBy(key).agg(F.count(y).alias("n"), q.alias("_q"), F.min(y).alias("min"), F.max(y).alias("max"))
+    at = lambda p: F.col("_q")[of.index(p)]
+    stats = {"median": (at(0.5), 8), "q10": (at(0.1), 20), "q90": (at(0.9), 20), "iqr": (at(0.75) - at(0.25), 12), "min": (F.col("min"), 8), "max": (F.col("max"), 8)}
+    return each.select(key, *(F.when(F.col("n") >= least, c).otherwise(F.lit(whole[n])).alias(n) for n, (c, least) in stats.items()))
 
 
 def union_frequency(train: DataFrame, test: DataFrame, col: str) -> DataFrame:
