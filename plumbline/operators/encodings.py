@@ -160,13 +160,15 @@ def regime_impute(df: DataFrame, value: str, regime: str, finer: str | None = No
     for i, keys in enumerate(levels):
         out = out.join(df.groupBy(*keys).agg(F.median(value).alias(f"_m{i}")), keys, "left")
         fills.append(F.col(f"_m{i}"))
-    out = out.crossJoin(df.agg(F.median(value).alias("_all")))
+    out = out.withColumn("_all", F.lit(quantiles(df, value, [0.5])[0]).cast("double"))
     return out.withColumn(f"{value}_was_missing", F.col(value).isNull().cast("int")).withColumn(f"{value}_filled", F.coalesce(*fills, "_all")).drop("_all", *(f"_m{i}" for i in range(len(levels))))
 
 
 def fit_imputes(df: DataFrame, cols: list[str], how: str = "mean") -> dict:
     """{column: fill} by mean, median or mode (ties: the least)."""
-    of = {"mean": F.avg, "median": F.median, "mode": lambda c: F.mode(c, True)}[how]
+    if how == "median":
+        return {c: quantiles(df, c, [0.5])[0] for c in cols}
+    of = {"mean": F.avg, "mode": lambda c: F.mode(c, True)}[how]
     return df.agg(*(of(c).alias(c) for c in cols)).first().asDict()
 
 
@@ -177,13 +179,16 @@ def apply_imputes(df: DataFrame, fills: dict) -> DataFrame:
 def fit_bounds(df: DataFrame, col: str, rule: str = "auto") -> tuple[float, float]:
     """Outlier bounds: iqr (1.5 ranges beyond the quartiles), mad (3 * 1.4826 deviations about the median), sd (3 about the mean); auto
     takes iqr where the absolute skewness is above 1, else sd."""
-    q1, med, q3, m, s, skew = df.agg(F.percentile(col, F.lit(0.25)), F.median(col), F.percentile(col, F.lit(0.75)), F.avg(col), F.stddev_samp(col), F.skewness(col)).first()
-    rule = ("iqr" if abs(skew or 0) > 1 else "sd") if rule == "auto" else rule
+    if rule == "auto":
+        rule = "iqr" if abs(df.agg(F.skewness(col)).first()[0] or 0) > 1 else "sd"
     if rule == "iqr":
+        q1, q3 = quantiles(df, col, [0.25, 0.75])
         return q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)
     if rule == "mad":
-        d = 3 * 1.4826 * df.agg(F.median(F.abs(F.col(col) - F.lit(med)))).first()[0]
+        med = quantiles(df, col, [0.5])[0]
+        d = 3 * 1.4826 * quantiles(df, F.abs(F.col(col) - F.lit(med)), [0.5])[0]
         return med - d, med + d
+    m, s = df.agg(F.avg(col), F.stddev_samp(col)).first()
     return m - 3 * s, m + 3 * s
 
 

@@ -9,14 +9,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.aggregates import _part
+from ..operators.quantiles import quantiles
 
 
 def sketch(df: DataFrame, columns: list[str], bins: int = 10) -> DataFrame:
     """(column, edges, counts): edges at the quantiles k / bins, equal ones once, and the numbers of values between them (an edge
     belongs to the bin above). Nulls don't count; a column without values has no edges and one empty bin. A row for each column."""
     shares = [i / bins for i in range(1, bins)]
-    edges = df.agg(*(F.array_distinct(F.percentile(F.col(c).cast("double"), F.array(*map(F.lit, shares)))).alias(c) for c in columns)).first()
-    found = {c: edges[c] or [] for c in columns}
+    found = {c: [e for e in dict.fromkeys(quantiles(df, c, shares)) if e is not None] for c in columns}
     counts = histogram(df, found).first()
     rows = [(c, found[c], [int(counts[f"{c}_{i}"]) for i in range(len(found[c]) + 1)]) for c in columns]
     return df.sparkSession.createDataFrame(rows, "column string, edges array<double>, counts array<bigint>")
