@@ -11,13 +11,16 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
+from ..sources.shared import kept_table
 from .frames import normal_score
 from .joins import lookup
+from .quantiles import quantiles
+from .windows import by
 
 #: Distinct values up to which a distribution function is exact: they are its knots, on the driver and in every task.
 KNOTS = 4096
@@ -154,10 +157,11 @@ def fit_robust_plane(df: DataFrame, y: str, bases: list[str], cut: float = 3.0,
     rows = df.select(*(F.col(c).cast("double").alias(c) for c in [*bases, y])).na.drop()
     beta = fit_plane(rows, y, bases)
     left = rows.withColumn("_r", F.col(y) - plane(bases, beta))
-    n, med, size = left.agg(F.count("*"), F.percentile("_r", F.lit(0.5)), F.percentile(F.abs("_r"), F.lit(0.5))).first()
+    n = left.count()
     if n < len(bases) + 2:
         return beta
-    sigma = 1.4826 * left.agg(F.percentile(F.abs(F.col("_r") - F.lit(med)), F.lit(0.5))).first()[0]
+    (med,), (size,) = quantiles(left, "_r", [0.5]), quantiles(left, F.abs("_r"), [0.5])
+    sigma = 1.4826 * quantiles(left, F.abs(F.col("_r") - F.lit(med)), [0.5])[0]
     if sigma <= max(1e-12, 1e-9 * (size or 1.0)):
         return beta
     inner = left.where(F.abs(F.col("_r") - F.lit(med)) <= cut * sigma)
@@ -175,7 +179,7 @@ def plane_inverse(t: Column, bases: list[str], beta: np.ndarray) -> Column:
 
 def fit_anchor(df: DataFrame, y: str, anchor: str, prior: float = 0.5, weight: float = 20.0, least: int = 5) -> float:
     """The share of an earlier value to subtract: the robust slope, drawn to ``prior`` by n / (n + ``weight``), within [0, 1]."""
-    rows = df.where(F.col(y).isNotNull() & F.col(anchor).isNotNull())
+    rows = kept_table(df.select(y, anchor).where(F.col(y).isNotNull() & F.col(anchor).isNotNull()))  # an anchor is mostly a window's
     n = rows.count()
     slope = float(fit_robust_plane(rows, y, [anchor])[0]) if n >= least else prior
     return min(1.0, max(0.0, (n * slope + weight * prior) / (n + weight) if n >= least else prior))
@@ -203,37 +207,44 @@ class Volatility:
 
 
 def volatility_traces(df: DataFrame, entity: str, order: list[str], base: str, key: str, span: int, level: float, volatility: float) -> DataFrame:
-    """(key, level, volatility): each entity's exponential averages, of weight 2 / (span + 1), of the base and of its distance from the
-    level, from the given starts; a null base leaves them. A recursion along an entity: grouped pandas."""
-    a = 2 / (span + 1)
-
-    def smooth(v: pd.Series, start: float) -> pd.Series:
-        known = v.dropna()
-        run = pd.concat([pd.Series([start]), known]).ewm(alpha=a, adjust=False).mean().iloc[1:]
-        return pd.Series(run.to_numpy(), index=known.index).reindex(v.index).ffill().fillna(start)
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(order, kind="stable").reset_index(drop=True)
-        v = g[base].astype(float)
-        at = smooth(v, level)
-        return pd.DataFrame({key: g[key], "level": at, "volatility": smooth((v - at).abs(), volatility)})
-
-    return df.select(*dict.fromkeys([entity, *order, base, key])).groupBy(entity).applyInPandas(run, f"{key} {dict(df.dtypes)[key]}, level double, volatility double")
+    """``df`` with level and volatility: each entity's exponential averages, of weight 2 / (span + 1), of the base and of its distance from the
+    level, from the given starts; a null base leaves them. A recursion along an entity: its rows are a stream in order, of which two
+    numbers are carried on, so an entity may be of any length, and short ones cost no call each. ``key`` must name a row."""
+    a, names = 2 / (span + 1), df.columns
+
+    def run(batches):
+        at, away = level, volatility
+        for b in batches:
+            levels, volatilities = [], []
+            for v, first in zip(b["_v"].to_pylist(), b["_first"].to_pylist(), strict=True):
+                if first:
+                    at, away = level, volatility
+                if v is not None and v == v:
+                    at = (1 - a) * at + a * v
+                    away = (1 - a) * away + a * abs(v - at)
+                levels.append(at)
+                volatilities.append(away)
+            yield pa.RecordBatch.from_arrays([*(b[c] for c in names), pa.array(levels, pa.float64()), pa.array(volatilities, pa.float64())], [*names, "level", "volatility"])
+
+    first = F.row_number().over(by(entity, [*order, key])) == 1
+    rows = df.withColumn("_v", F.col(base).cast("double")).withColumn("_first", first).sortWithinPartitions(entity, *order, key)
+    return rows.mapInArrow(run, StructType([*df.schema.fields, StructField("level", DoubleType()), StructField("volatility", DoubleType())]))
 
 
 def fit_volatility(df: DataFrame, entity: str, order: list[str], base: str, key: str, span: int = 7, least: float = 1e-3) -> Volatility:
     """Starts are the base's mean and its mean distance from the level; the floor is ``least`` of the median volatility."""
+    df = df.select(*dict.fromkeys([entity, *order, base, key]))
     level = df.agg(F.avg(base)).first()[0] or 0.0
-    trace = volatility_traces(df, entity, order, base, key, span, level, 0.0)
-    away = trace.join(df.select(key, F.col(base).alias("_b")), key).agg(F.avg(F.abs(F.col("_b") - F.col("level")))).first()[0] or 0.0
-    middle = volatility_traces(df, entity, order, base, key, span, level, away).agg(F.percentile("volatility", F.lit(0.5))).first()[0] or 0.0
+    away = volatility_traces(df, entity, order, base, key, span, level, 0.0).agg(F.avg(F.abs(F.col(base) - F.col("level")))).first()[0] or 0.0
+    traced = kept_table(volatility_traces(df, entity, order, base, key, span, level, away).select("volatility"))
+    middle = quantiles(traced, "volatility", [0.5])[0] or 0.0
     return Volatility(span, level, away, max(least * middle, 1e-12))
 
 
 def with_volatility(df: DataFrame, entity: str, order: list[str], base: str, key: str, fit: Volatility) -> DataFrame:
     """``df`` with level and (floored) volatility, for ``volatility_forward`` and ``volatility_inverse``; ``key`` names a row."""
     t = volatility_traces(df, entity, order, base, key, fit.span, fit.level, fit.volatility)
-    return df.join(t, key).withColumn("volatility", F.greatest("volatility", F.lit(fit.floor)))
+    return t.withColumn("volatility", F.greatest("volatility", F.lit(fit.floor)))
 
 
 def volatility_forward(y: Column) -> Column:
