@@ -130,9 +130,11 @@ def radius_groups(df: DataFrame, key: str, coordinates: list[str], radius: float
     """(key, group): rows whose coordinates are within ``radius`` (Euclidean), linked through others or not, named by their least key.
 
     Rows of equal coordinates are one point. Points fall into the cells of a grid whose diagonal is the radius, so a cell's points are
-    one group; cells are linked if two of their points are. Rows with a null coordinate are in no group.
+    one group; cells are linked if two of their points are. On a line, groups lie between gaps. Rows with a null coordinate are in no group.
     """
     points, xs, cs = grid(df, key, coordinates, radius)
+    if len(xs) == 1:
+        return _line_groups(df, key, coordinates[0], points.select("x0", "p"), radius)
     points = kept_table(points)
     points = kept_table(points.join(points.groupBy(*cs).agg(F.min("p").alias("cell")), cs))
     groups = connected(linked_cells(points, xs, cs, radius), points.select("cell"), "cell")
@@ -140,6 +142,23 @@ def radius_groups(df: DataFrame, key: str, coordinates: list[str], radius: float
     return known.join(points.select(*xs, "cell"), xs).join(groups, "cell").select(key, "group")
 
 
+def _line_groups(df: DataFrame, key: str, coordinate: str, points: DataFrame, radius: float) -> DataFrame:
+    """``radius_groups`` of points (x0, p) on a line: gaps are counted within ranges, set off by the ranges' numbers of gaps."""
+    from .aggregates import _cuts, _part, parts_of
+
+    points = kept_table(points)
+    parted = points.withColumn("_part", _part("x0", _cuts(points, "x0", parts_of(points))))
+    w = Window.partitionBy("_part").orderBy("x0")
+    gaps = parted.withColumn("_gap", (F.coalesce(F.col("x0") - F.lag("x0").over(w), F.lit(0.0)) > radius).cast("long"))
+    ends = gaps.groupBy("_part").agg(F.min("x0").alias("lo"), F.max("x0").alias("hi"), F.sum("_gap").alias("_s"))
+    order = Window.orderBy("_part")  # a row for each part
+    ends = ends.withColumn("_seam", (F.coalesce(F.col("lo") - F.lag("hi").over(order), F.lit(0.0)) > radius).cast("long"))
+    ends = ends.select("_part", (F.coalesce(F.sum("_s").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.sum("_seam").over(order.rowsBetween(Window.unboundedPreceding, 0))).alias("_before"))
+    placed = gaps.withColumn("_g", F.sum("_gap").over(w.rowsBetween(Window.unboundedPreceding, 0))).join(F.broadcast(ends), "_part").select("x0", "p", (F.col("_g") + F.col("_before")).alias("_g"))
+    named = placed.join(placed.groupBy("_g").agg(F.min("p").alias("group")), "_g").select("x0", "group")
+    return df.select(key, F.col(coordinate).cast("double").alias("x0")).join(named, "x0").select(key, "group")
+
+
 def density_clusters(df: DataFrame, key: str, coordinates: list[str], radius: float, least: int) -> DataFrame:
     """(key, cluster, core): density-based clusters. A row is core if ``least`` rows, itself counted, are within ``radius``; core rows within
     the radius of each other are one cluster, named by its least core key; another row within the radius of a core row joins the
