@@ -26,6 +26,13 @@ def predict(x: np.ndarray, precision: np.ndarray, weighted: np.ndarray, noise: f
     mean, var = np.full(len(x), np.nan), np.full(len(x), np.nan)
     if known.any():
         x, p = x[known], precision[known]
+        if x.shape[1] == 2:  # by determinants, so that sums alike in SQL give the same last digit
+            a, b, d, (u, v) = p[:, 0, 0], p[:, 0, 1], p[:, 1, 1], weighted[known].T
+            one, other = x.T
+            whole = a * d - b * b
+            mean[known] = (one * (d * u - b * v) + other * (a * v - b * u)) / whole
+            var[known] = (one * one * d - 2 * b * one * other + a * other * other) / whole + noise * noise
+            return mean, var
         mean[known] = (x * np.linalg.solve(p, weighted[known][:, :, None])[:, :, 0]).sum(axis=1)
         var[known] = (x * np.linalg.solve(p, x[:, :, None])[:, :, 0]).sum(axis=1) + noise * noise
     return mean, var
