@@ -22,6 +22,15 @@ def by(entity: str | list[str], order: list[str]):
     return Window.partitionBy(*([entity] if isinstance(entity, str) else entity)).orderBy(*order)
 
 
+#: Rows that a task sorts about, where partitions are made for that.
+TASK_ROWS = 250_000
+
+
+def dealt(df: DataFrame, keys: list[str]) -> DataFrame:
+    """``df`` dealt by ``keys`` over as many partitions as its rows need, so that what a task holds doesn't grow with the table."""
+    return df.repartition(max(8, df.count() // TASK_ROWS), *keys)
+
+
 def shift_diff(df: DataFrame, entity: str, order: list[str], cols: list[str], lags: tuple[int, ...] = (1,)) -> DataFrame:
     """Values ``lags`` rows back and the differences from them; null in an entity's first rows."""
     w = by(entity, order)
@@ -41,7 +50,7 @@ def average_rank(value: str | Column, groups: list[str], descending: bool = Fals
 def group_rank(df: DataFrame, entity: str, value: str, tiebreak: list[str]) -> DataFrame:
     """Average rank, its share of the group's size, and the ordinal rank with ties settled by ``tiebreak``."""
     n = F.count("*").over(Window.partitionBy(entity))
-    return df.withColumn("rank_avg", average_rank(value, [entity])).withColumn("rank_pct", F.col("rank_avg") / n).withColumn("rank_ord", F.row_number().over(by(entity, [value, *tiebreak])))
+    return dealt(df, [entity]).withColumn("rank_avg", average_rank(value, [entity])).withColumn("rank_pct", F.col("rank_avg") / n).withColumn("rank_ord", F.row_number().over(by(entity, [value, *tiebreak])))
 
 
 def cumulative_counts(df: DataFrame, entity: str, order: list[str], value: str) -> DataFrame:
