@@ -11,6 +11,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .joins import SMALL
+from .windows import TASK_ROWS
+
 #: Poisson(1)'s distribution function, from which a row's weights in replicates are drawn.
 POISSON = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(12)])
 #: Rows within which values are exchanged.
@@ -109,7 +112,8 @@ def permutation_null(df: DataFrame, features: list[str], y: str, key: str, strat
     means = rows.agg(*(F.avg(c).alias(c) for c in ("y", *xs))).first()
     sizes = rows.groupBy("g").agg(F.count("*").alias("n"))  # a row for each stratum
     mean = {c: means[c] or 0.0 for c in ("y", *xs)}
-    rows = rows.join(sizes, "g").select("g", "k", F.pmod(F.xxhash64(F.lit(seed), "k"), F.ceil(F.col("n") / BLOCK)).alias("b"), *((F.coalesce(c, F.lit(mean[c])) - mean[c]).alias(c) for c in ("y", *xs)))
+    few = sizes.limit(SMALL + 1).count() <= SMALL
+    rows = rows.join(F.broadcast(sizes) if few else sizes, "g").select("g", "k", F.pmod(F.xxhash64(F.lit(seed), "k"), F.ceil(F.col("n") / BLOCK)).alias("b"), *((F.coalesce(c, F.lit(mean[c])) - mean[c]).alias(c) for c in ("y", *xs)))
     squares = rows.agg(F.count("*"), *(F.sum(F.col(c) ** 2) for c in ("y", *xs)), *(F.sum(F.col(c) * F.col("y")) for c in xs)).first()
     n, spread, own = squares[0], squares[1 : 2 + len(xs)], squares[2 + len(xs) :]
     scale = np.array([1 / math.sqrt(v * spread[0]) if n and v > 1e-300 and spread[0] > 1e-300 else 0.0 for v in spread[1:]]) if n else np.zeros(len(xs))
@@ -137,7 +141,7 @@ def permutation_null(df: DataFrame, features: list[str], y: str, key: str, strat
         r, c = np.indices(total.shape)
         yield pa.RecordBatch.from_arrays([pa.array(r.ravel()), pa.array(c.ravel()), pa.array(total.ravel())], ["r", "f", "s"])
 
-    blocked = rows.withColumn("block", F.xxhash64("g", "b")).repartition("block").sortWithinPartitions("block", "k", "y", *xs)
+    blocked = rows.withColumn("block", F.xxhash64("g", "b")).repartition(max(8, (n or 0) // TASK_ROWS), "block").sortWithinPartitions("block", "k", "y", *xs)
     null = blocked.select("block", "y", *xs).mapInArrow(sums, "r bigint, f bigint, s double").groupBy("r", "f").agg(F.sum("s").alias("s"))
     spark = df.sparkSession
     names = spark.createDataFrame([(i, c, float(scale[i]), float(abs((own[i] or 0.0) * scale[i]))) for i, c in enumerate(features)], "f bigint, feature string, scale double, corr double")
