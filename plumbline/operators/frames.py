@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from itertools import combinations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,23 +83,31 @@ def rank_ecdf(df: DataFrame, y: str, parts: int | None = None) -> DataFrame:
     return ranks_by_parts(df, y, parts).withColumn("u", (F.col("_le") - 0.5) / n).drop("_le", "_ge")
 
 
+# fixed values: the published coefficients of Acklam's approximation
+_A = (-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02, 1.383577518672690e02, -3.066479806614716e01, 2.506628277459239e00)
+_B = (-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02, 6.680131188771972e01, -1.328068155288572e01, 1.0)
+_C = (-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e00, -2.549732539343734e00, 4.374664141464968e00, 2.938163982698783e00)
+_D = (7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00, 3.754408661907416e00, 1.0)
+
+
+def _poly(cs: tuple, x):
+    out = cs[0]
+    for v in cs[1:]:
+        out = x * out + v
+    return out
+
+
 def normal_score(u: Column) -> Column:
     """Inverse of the normal distribution function by Acklam's rational approximation (relative error 1.2e-9)."""
-    # fixed values: the approximation's published coefficients
-    a = (-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02, 1.383577518672690e02, -3.066479806614716e01, 2.506628277459239e00)
-    b = (-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02, 6.680131188771972e01, -1.328068155288572e01, 1.0)
-    c = (-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e00, -2.549732539343734e00, 4.374664141464968e00, 2.938163982698783e00)
-    d = (7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00, 3.754408661907416e00, 1.0)
-
-    def poly(cs: tuple, x: Column) -> Column:
-        out = F.lit(cs[0])
-        for v in cs[1:]:
-            out = out * x + v
-        return out
-
     q = u - 0.5
-    tail = lambda p: poly(c, F.sqrt(-2 * F.log(p))) / poly(d, F.sqrt(-2 * F.log(p)))
-    return F.when(u < 0.02425, tail(u)).when(u > 1 - 0.02425, -tail(1 - u)).otherwise(poly(a, q * q) * q / poly(b, q * q))
+    tail = lambda p: _poly(_C, F.sqrt(-2 * F.log(p))) / _poly(_D, F.sqrt(-2 * F.log(p)))
+    return F.when(u < 0.02425, tail(u)).when(u > 1 - 0.02425, -tail(1 - u)).otherwise(_poly(_A, q * q) * q / _poly(_B, q * q))
+
+
+def normal_scores(u: np.ndarray) -> np.ndarray:
+    """``normal_score`` of shares inside (0, 1), for use in tasks."""
+    q, t = u - 0.5, np.sqrt(-2 * np.log(np.minimum(u, 1 - u)))
+    return np.where(np.abs(q) > 0.5 - 0.02425, -np.sign(q) * _poly(_C, t) / _poly(_D, t), _poly(_A, q * q) * q / _poly(_B, q * q))
 
 
 # rank aggregation over a long table (task, model, score), higher being better

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..sources.shared import kept_table
-from .frames import normal_score
+from .frames import normal_scores
 from .joins import lookup
 from .quantiles import quantiles
 from .windows import by
@@ -50,9 +50,13 @@ class Ecdf:
 
     def score(self, value: Column) -> Column:
         """The normal score of a value's share, kept off 0 and 1 by half a knot."""
-        eps = 1 / (2 * max(2, len(self.knots)))
-        u = self.share(value)
-        return F.when(u.isNotNull(), normal_score(F.least(F.greatest(u, F.lit(eps)), F.lit(1 - eps))))
+        eps, xs, ys = 1 / (2 * max(2, len(self.knots))), np.array(self.knots), np.array(self.shares)
+
+        def run(v: pa.Array) -> pa.Array:
+            given = v.to_numpy(zero_copy_only=False).astype(float)
+            return pa.array(normal_scores(np.clip(np.interp(given, xs, ys), eps, 1 - eps)), mask=np.isnan(given))
+
+        return F.arrow_udf(run, "double")(value.cast("double"))
 
 
 def fit_ecdf(df: DataFrame, col: str, most: int | None = None) -> Ecdf:
@@ -122,11 +126,16 @@ def normal_share(z: Column) -> Column:
 def fit_copula(df: DataFrame, y: str, base: str, most: int | None = None) -> Copula:
     """The line is 0 for fewer than three rows, and level where the base doesn't vary."""
     of_y, of_base = fit_ecdf(df, y, most), fit_ecdf(df, base, most)
-    z = df.select(of_y.score(F.col(y)).alias("y"), of_base.score(F.col(base)).alias("b")).where("y is not null and b is not null")
-    n, slope, intercept, mean = z.agg(F.count("*"), F.regr_slope("y", "b"), F.regr_intercept("y", "b"), F.avg("y")).first()
+    pairs = df.where(F.col(y).isNotNull() & F.col(base).isNotNull()).groupBy(F.col(y).cast("double").alias("y"), F.col(base).cast("double").alias("b")).agg(F.count("*").alias("n"))
+    z = kept_table(pairs.select(of_y.score(F.col("y")).alias("y"), of_base.score(F.col("b")).alias("b"), "n").where("y is not null and b is not null"))
+    n, mean, at = z.agg(F.coalesce(F.sum("n"), F.lit(0)), F.sum(F.col("n") * F.col("y")) / F.sum("n"), F.sum(F.col("n") * F.col("b")) / F.sum("n")).first()
     if n < 3:
         return Copula(of_y, of_base, 0.0, 0.0)
-    return Copula(of_y, of_base, slope, intercept) if slope is not None else Copula(of_y, of_base, 0.0, mean)
+    if z.agg(F.min("b") == F.max("b")).first()[0]:
+        return Copula(of_y, of_base, 0.0, mean)
+    d = F.col("b") - F.lit(at)
+    slope = z.agg(F.sum(F.col("n") * d * (F.col("y") - F.lit(mean))) / F.sum(F.col("n") * d * d)).first()[0]
+    return Copula(of_y, of_base, slope, mean - slope * at)
 
 
 # lines that outliers don't bend
