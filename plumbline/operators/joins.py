@@ -8,7 +8,7 @@ from itertools import product
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.shared import kept_table
+from ..sources.shared import kept_table, written_table
 from .neighbours import nearest_rows  # noqa: F401  joins by vector
 
 #: Rows up to which a lookup table is broadcast; a larger one is joined by shuffle.
@@ -52,14 +52,14 @@ def connected(edges: DataFrame, nodes: DataFrame, node: str) -> DataFrame:
     """``nodes`` with the least node that each is connected with. Labels spread along edges (a, b) and jump to their label's label, so a
     chain takes rounds in the logarithm of its length. Edges' ends that aren't in ``nodes`` link their neighbours all the same."""
     links = edges.select("a", "b").where("a is not null and b is not null and a != b")
-    links = kept_table(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    links = written_table(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     own = nodes.select(F.col(node).alias("node")).where(F.col(node).isNotNull())
-    labels = kept_table(own.unionByName(links.select(F.col("a").alias("node"))).distinct().withColumn("label", F.col("node")))
+    labels = written_table(own.unionByName(links.select(F.col("a").alias("node"))).distinct().withColumn("label", F.col("node")))
     while True:
         near = links.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("near"))
         low = labels.join(near, F.col("node") == F.col("a"), "left").select("node", F.col("label").alias("old"), F.least("label", F.coalesce("near", "label")).alias("label"))
         top = labels.select(F.col("node").alias("label"), F.col("label").alias("top"))
-        fresh = kept_table(low.join(top, "label").select("node", "old", F.least("label", "top").alias("label")))
+        fresh = written_table(low.join(top, "label").select("node", "old", F.least("label", "top").alias("label")))
         if fresh.where("label != old").isEmpty():
             return own.distinct().join(fresh, "node").select(F.col("node").alias(node), F.col("label").alias("group"))
         labels = fresh.drop("old")
