@@ -66,6 +66,19 @@ def test_stream_regression_goes_on_after_restarts(spark):
     same(got.collect(), plain(data))
 
 
+def test_f20_a_call_of_python_serves_many_entities(spark, monkeypatch):
+    """Entities of one bucket keep apart, through restarts; Python is called by bucket, not by entity."""
+    monkeypatch.setattr(regression, "BUCKETS", 2)
+    r = random.Random(5)
+    data = [(r.choice([*map(str, range(40)), "", None]), i, r.gauss(0, 2), r.random(), r.random()) for i in range(300)]
+    df = spark.createDataFrame(data, ROWS)
+    regression.with_rocksdb(spark)
+    built = regression.running_regression(df, "e", ["i"], "y", ["a", "b"], 2.0, 0.5)
+    assert "entity_bucket" in built._jdf.queryExecution().logical().toString()
+    got = stream.run_in_turn([df.where("i < 150"), df.where("i >= 150")], lambda x: regression.running_regression(x, "e", ["i"], "y", ["a", "b"], 2.0, 0.5))
+    same(got.collect(), plain(data))
+
+
 def plain_psi(values, edges, reference):
     counts = lambda vs: [sum(sum(e <= v for e in edges) == i for v in vs if v is not None) for i in range(len(edges) + 1)]
     p, q = counts(values), counts(reference)
