@@ -74,6 +74,19 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_BYTES))
 
 
+#: Arrow's types of the columns of local tables.
+KINDS = {"int": pa.int32(), "bigint": pa.int64(), "double": pa.float64(), "string": pa.string(), "array<string>": pa.list_(pa.string())}
+
+
+def local_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A table of the driver's ``rows``, sent as Arrow. Lists are unpickled by Python workers of another kind than functions', which
+    then stay beside those on the executors."""
+    columns = [c.split(" ") for c in schema.split(", ")]
+    values = zip(*rows, strict=True) if rows else [[]] * len(columns)
+    arrays = [pa.array(list(v), KINDS[kind]) for v, (_, kind) in zip(values, columns, strict=True)]
+    return spark.createDataFrame(pa.table(arrays, [name for name, _ in columns]), schema)
+
+
 def text_lists(text: pa.Array, most: int = 500) -> Iterator[list[str]]:
     """An Arrow array's texts, a few at a time, so that a batch isn't held twice; nulls as empty texts."""
     for i in range(0, len(text), most):

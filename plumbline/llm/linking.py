@@ -90,7 +90,9 @@ def _members(scratch: Scratch, bands: DataFrame) -> DataFrame:
         ends = np.cumsum(np.concatenate([[0], keep]))[np.cumsum(np.concatenate([[0], sizes]))]
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat[keep]))
 
-    some = bands.select("key", F.arrow_udf(shared, "array<bigint>")(F.col("bands")).alias("bands")).where(F.size("bands") > 0)
+    # a deterministic function's filter is pushed below it, so that each task runs the function twice, in two workers at once
+    once = F.arrow_udf(shared, "array<bigint>").asNondeterministic()
+    some = bands.select("key", once(F.col("bands")).alias("bands")).where(F.size("bands") > 0)
     few = scratch.keep(some.groupBy("key").agg(F.first("bands").alias("bands")), "few")
     return few.select("key", F.explode("bands").alias("bucket"))
 

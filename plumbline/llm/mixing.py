@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, local_table
 
 #: Bits of the seeded key that one step of the descent settles; rows at the cut that are filled one by one; salts of equal keys; tables of
 #: fewer patterns or sources than the last are broadcast.
@@ -167,7 +167,7 @@ def _choose(scratch: Scratch, rows: DataFrame, rest: DataFrame) -> tuple[DataFra
         level += 1
     both = []
     for parts, schema, name in ((edges, "pattern int, shift int, cut bigint", "edges"), (picks, "pattern int, key bigint, take bigint", "picks")):
-        out = spark.createDataFrame([], schema)
+        out = local_table(spark, [], schema)
         for p in parts:
             out = out.unionByName(p)
         both.append(scratch.keep(out, name))
@@ -206,7 +206,7 @@ def mix(documents: DataFrame, quotas, size: Column, members: Column, epochs: int
         spent[i] += t
     full = {i: spent[i] // c if c else 0 for i, c in capacity.items()}
     hint = F.broadcast if len(found) <= SMALL else (lambda x: x)
-    index = spark.createDataFrame([(i, belongs[i], full[i], spent[i] - full[i] * capacity[i]) for i in capacity], "pattern int, members array<string>, full bigint, left bigint")
+    index = local_table(spark, [(i, belongs[i], full[i], spent[i] - full[i] * capacity[i]) for i in capacity], "pattern int, members array<string>, full bigint, left bigint")
     index = scratch.keep(index, "index")
     rows = rows.join(hint(index.drop("left")), rows["members"].eqNullSafe(index["members"])).drop(index["members"])
     edge, picked = _choose(scratch, rows.select("pattern", "key", "size"), index.select("pattern", "left"))
@@ -238,6 +238,6 @@ def source_mix(documents: DataFrame, carry: tuple = ("doc_id",)) -> DataFrame:
 
     mixed = mix(documents, quotas, word_count(F.col("text")), F.array(F.col("source").cast("string")), carry=carry)
     names = [(s, held["sizes"][s], float(held["targets"][s])) for s in held.get("sizes", {})]
-    per = documents.sparkSession.createDataFrame(names, "name string, source_size bigint, target double")
+    per = local_table(documents.sparkSession, names, "name string, source_size bigint, target double")
     per = F.broadcast(per) if len(names) <= SMALL else per
     return mixed.join(per, mixed["members"][0].eqNullSafe(per["name"])).select(*carry, "size", "source_size", "target", "taken")

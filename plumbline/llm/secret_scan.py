@@ -16,7 +16,7 @@ from re import _parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, local_table
 
 #: Expansions of a stretch of a regex that are followed before its trigrams are taken.
 MOST = 64
@@ -157,7 +157,7 @@ def _candidates(postings: DataFrame, queries: list[list[list[list[str]]]], named
     """(_scan_key, _scan_kinds): the rules whose queries a key meets, from the intersections of their posting lists."""
     spark, at = postings.sparkSession, {t: i for i, t in enumerate(named)}
     terms = [(at[t], r, c, o, len(every)) for r, q in enumerate(queries) for c, either in enumerate(q) for o, every in enumerate(either) for t in every]
-    terms = F.broadcast(spark.createDataFrame(terms, "trigram int, rule int, clause int, option int, need int"))  # the rules' trigrams
+    terms = F.broadcast(local_table(spark, terms, "trigram int, rule int, clause int, option int, need int"))  # the rules' trigrams
     sizes = F.create_map(*(F.lit(x) for r, q in enumerate(queries) if q for x in (r, len(q))))
     lists = postings.repartition("_scan_key").join(terms, "trigram")  # all that follows is by key
     met = lists.groupBy("_scan_key", "rule", "clause", "option").agg(F.count("*").alias("n"), F.first("need").alias("need")).where("n = need")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import json
 import re
 
@@ -55,8 +54,8 @@ class Vocabulary:
         return [(p, "") if p in self.special else (None, p) for p in self.cut.split(text) if p]
 
 
-@functools.lru_cache(maxsize=4)
 def load(path: str) -> Vocabulary:
+    """A vocabulary; who uses it keeps it (see ``stores.kept``), so that it goes with what else they keep."""
     return Vocabulary(path)
 
 

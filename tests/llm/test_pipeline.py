@@ -1,13 +1,15 @@
 """The pipeline's stages against plain versions of them, and its run on the smallest tables."""
 
 import collections
+import gc
 import hashlib
 import re
+import weakref
 
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from plumbline.llm import near_dedup, quality, secret_scan
+from plumbline.llm import bpe_codec, near_dedup, quality, secret_scan, stores
 from plumbline.llm.common import Scratch, table
 from plumbline.llm.vocabulary import byte_path
 
@@ -54,3 +56,23 @@ def test_stages_take_nulls_and_empty_tables(spark):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, odd, SF).count() >= 0
         assert stage(spark, odd.limit(0), SF).count() == 0
+
+
+def test_executors_run_few_python_workers(spark, monkeypatch):
+    """No stage's task runs the same function twice, in two workers, and no table comes through workers of another kind."""
+    plans, keep = [], Scratch.keep
+    monkeypatch.setattr(Scratch, "keep", lambda self, df, name="t": plans.append(df._jdf.queryExecution().executedPlan().toString()) or keep(self, df, name))
+    docs = table(spark, SF, "documents").limit(60)
+    for name, stage in corpus_pipeline.STAGES:
+        docs = Scratch(spark, "test").keep(stage(spark, docs, SF), name)
+    runs = [re.findall(r"ArrowEvalPython \[(\w+)\(", p) for p in plans]
+    assert any("shared" in r for r in runs) and all(r.count("shared") <= 1 for r in runs)
+    assert not [p for p in plans if "ExistingRDD" in p]
+
+
+def test_a_dropped_encoder_takes_its_vocabulary_with_it():
+    bpe_codec.encoder(byte_path())
+    held = weakref.ref(bpe_codec.encoder(byte_path()).v)
+    stores.kept("test", dict)
+    gc.collect()
+    assert held() is None
